@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, simhash_dedup, token_counts, url_filter
-from .common import table
+from . import language_id, line_dedup, simhash_dedup, token_counts, toxicity, url_filter
+from .common import crc_mod, table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -19,6 +19,20 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    model = language_id.fit(docs, crc_mod("doc_id", 5) != 0)
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    lexicon = toxicity.fit(docs, labels, crc_mod("doc_id", 3) != 1)
+    return toxicity.score_toxicity(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -42,5 +56,5 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (l
 FROM judged GROUP BY r
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op7_simhash_dedup, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op4_language_id, op6_toxicity, op7_simhash_dedup, op9_line_dedup)}
 ORACLE_SQL = {"op9_line_dedup": OP9_SQL}
