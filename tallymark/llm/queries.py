@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, simhash_dedup, token_counts, toxicity, url_filter
+from . import language_id, line_dedup, nn_descent, simhash_dedup, token_counts, topk_search, toxicity, url_filter
 from .common import crc_mod, table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -19,6 +19,23 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(topk_search.usable(F.col("embedding")), topk_search.quantised(F.col("embedding"))).alias("vector"))
+    found = topk_search.search(rows, F.col("vec_id") % 20 == 0, 20, vector_col="vector")
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("score").cast("long").alias("score"))
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.x) = len(q.x) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
@@ -43,6 +60,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nn_descent.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 OP9_SQL = r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT r, doc_id, i, string_split(text, chr(10))[i] AS line
@@ -56,5 +78,5 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (l
 FROM judged GROUP BY r
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op4_language_id, op6_toxicity, op7_simhash_dedup, op9_line_dedup)}
-ORACLE_SQL = {"op9_line_dedup": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_topk_search, op4_language_id, op6_toxicity, op7_simhash_dedup, op9_line_dedup, op10_nn_descent)}
+ORACLE_SQL = {"op3_topk_search": OP3_SQL, "op9_line_dedup": OP9_SQL}

@@ -130,9 +130,16 @@ def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
     """Log-odds of the terms that tell; a term that only lengthens a chosen one
     is left out. The heaviest first: number of toxic texts times log-odds."""
     odds = {t: math.log((n + 0.5) / (n_toxic + 1)) - math.log((clean.get(t, 0) + 0.5) / (n_clean + 1)) for t, n in toxic.items()}
+    longer: dict[str, str] = {}
+    for t in toxic:
+        if t[:-1] in toxic and toxic[t] > toxic.get(longer.get(t[:-1], ""), 0):
+            longer[t[:-1]] = t
     chosen: dict[str, float] = {}
     for t in sorted(odds, key=lambda t: (-toxic[t] * odds[t], len(t), t)):
-        if odds[t] >= math.log(least_odds) and not any(t[:k] in chosen for k in range(2, len(t))):
+        if odds[t] >= math.log(least_odds) and not any(t[:k] in chosen for k in range(2, len(t) + 1)):
+            n = toxic[t]
+            while toxic.get(longer.get(t, ""), 0) >= 0.9 * n:  # as far as nearly all its words go on alike
+                t = longer[t]
             chosen[t] = odds[t]
             if len(chosen) == most:
                 break
