@@ -17,8 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import keep_fraction
 
@@ -42,6 +44,7 @@ def _folds() -> np.ndarray:
 
 def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a column of texts, and where each text starts and the last ends."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     if column.null_count:
         column = column.fill_null("")
@@ -159,25 +162,27 @@ def fit(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: s
     return Model.fitted(found) if found else None
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score for every row. score is the share of the predicted
-    language in the probabilities that all languages give the text. No shuffle."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    rows = rows.select("id", "body", F.col("body").rlike(r"\p{L}").alias("worded"))
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """row (a struct of docs' columns), lang_pred, score for every row. score is
+    the share of the predicted language in the probabilities that all languages
+    give the text. No shuffle."""
+    worded = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(F.struct("*").alias("row"), worded.alias("worded"))
     if model is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.kind, model.table))
+    place = docs.columns.index(text_col)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         own.table = np.asfortranarray(own.table)
         for batch in batches:
-            bits = own.lengths(*_buffer(batch.column(1)))
+            bits = own.lengths(*_buffer(pc.struct_field(batch.column(0), [place])))
             best = bits.argmin(axis=1)
             score = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
-            worded = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            worded = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             lang = np.where(worded, np.array(own.langs, object)[best], UNKNOWN)
-            yield pa.record_batch([batch.column(0), pa.array(lang, pa.string()), pa.array(np.where(worded, score, 0.0))], names=["id", "lang_pred", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(lang, pa.string()), pa.array(np.where(worded, score, 0.0))], names=["row", "lang_pred", "score"])
 
-    out = rows.mapInArrow(predicted, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
-    return out.withColumnRenamed("id", id_col)
+    schema = StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(predicted, schema)

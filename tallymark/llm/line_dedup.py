@@ -87,15 +87,16 @@ class LineRuns:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4) -> DataFrame:
-    """Drop repeated lines: id, kept (text), n_lines, n_dropped, one row per
-    input row. Lines whose key has min_length code points or more and occurs in
+    """Drop repeated lines: row (a struct of the columns but the text), kept
+    (the text), n_lines, n_dropped, one row per input row. Lines whose key has min_length code points or more and occurs in
     min_docs documents or more stay only in the largest id that holds it.
 
     The documents are added to the runs in `batches` parts by id. Only hashes
     are shuffled for the counts; then each document gets the hashes it loses.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).withColumn("row", F.xxhash64("id", "body"))
+    others = F.struct(*(F.col(c) for c in docs.columns if c != text_col))
+    rows = docs.select(others.alias("own"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).withColumn("row", F.xxhash64("id", "body"))
     part = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(batches)).cast("int")
     path = new_path(spark, "line-hashes")
     hashes(rows.withColumn("part", part), min_length, ("row", "part")).write.partitionBy("part").parquet(path)
@@ -114,9 +115,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split(F.col("body"), "\n", -1)
     stays = lambda x: x["h"].isNull() | ~F.array_contains(F.get("lost", F.pmod(F.xxhash64(x["h"]), F.col("n")).cast("int")), x["h"])
     kept = F.transform(F.filter(F.arrays_zip(lines.alias("line"), line_hashes(F.col("body"), min_length).alias("h")), stays), lambda x: x["line"])
-    out = both.select("id", "body", F.when(F.col("lost").isNull(), lines).otherwise(kept).alias("stay"))
+    out = both.select("own", "body", F.when(F.col("lost").isNull(), lines).otherwise(kept).alias("stay"))
     return out.select(
-        F.col("id").alias(id_col),
+        F.col("own").alias("row"),
         F.array_join("stay", "\n").alias("kept"),
         F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size("stay")).cast("long").alias("n_dropped"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, nn_descent, simhash_dedup, token_counts, topk_search, toxicity, url_filter
+from . import language_id, line_dedup, nn_descent, packing, simhash_dedup, source_mix, token_counts, topk_search, toxicity, url_filter
 from .common import crc_mod, table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -40,7 +40,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     model = language_id.fit(docs, crc_mod("doc_id", 5) != 0)
-    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    found = language_id.identify(docs.select("doc_id", "text"), model).select("row.doc_id", "lang_pred", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.char_length("text").alias("size"))
+    return source_mix.mix(docs, F.col("size")).select("row.doc_id", "row.source", "block", "release", "deadline", "slot", "turn")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +61,13 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), F.char_length("text"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,5 +88,5 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (l
 FROM judged GROUP BY r
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_topk_search, op4_language_id, op6_toxicity, op7_simhash_dedup, op9_line_dedup, op10_nn_descent)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_topk_search, op4_language_id, op5_source_mix, op6_toxicity, op7_simhash_dedup, op8_packing, op9_line_dedup, op10_nn_descent)}
 ORACLE_SQL = {"op3_topk_search": OP3_SQL, "op9_line_dedup": OP9_SQL}
