@@ -14,7 +14,8 @@ one of candidates, of bounded size, and keeps k rows for each query.
 Defined cases: vectors that are null or hold null or non-finite components take
 no part, nor do rows without an id; vectors of different lengths don't meet;
 rows that repeat an id each count as a candidate, and none of them answers a
-query of the same id. An empty table has an empty result.
+query of the same id; an id is one query, of its least vector if it has many.
+An empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def search(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", ve
     """
     good = rows.select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col).alias("vector")).filter(F.col(id_col).isNotNull() & usable(F.col("vector")))
     good = good.withColumn("size", F.size("vector"))
-    queries = good.filter(is_query)
+    queries = good.filter(is_query).groupBy(id_col).agg(F.min("vector").alias("vector")).withColumn("size", F.size("vector"))
     sizes = good.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     n_x, n_q = -(-sizes[0] // candidate_block) or 1, -(-sizes[1] // query_block) or 1
     block = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")

@@ -1,0 +1,79 @@
+from collections import defaultdict
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tallymark.llm import packing
+from tallymark.llm.packing import best_fit, pack, pack_shard, sequence_cost
+from tallymark.llm.queries import op8_packing
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def plain_best_fit(sizes, lengths, opening):
+    """Best fit by looking at every bin."""
+    bins = []
+    where = []
+    for n in sizes:
+        fits = [(room, k) for k, (room, _) in enumerate(bins) if room >= n and room > 0]
+        if fits:
+            k = min(fits)[1]
+        else:
+            k = len(bins)
+            bins.append((max(opening, min(x for x in lengths if x >= n)), 0))
+        bins[k] = (bins[k][0] - n, bins[k][1] + n)
+        where.append(k)
+    return where, [min(x for x in lengths if x >= used) for _, used in bins]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 64), max_size=60), st.sampled_from([16, 32, 64]))
+def test_best_fit_against_looking_at_all_bins(sizes, opening):
+    sizes = sorted(sizes, reverse=True)
+    assert best_fit(sizes, (16, 32, 64), opening) == plain_best_fit(sizes, (16, 32, 64), opening)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 64), max_size=60))
+def test_the_cheapest_opening_wins(sizes):
+    sizes = sorted(sizes, reverse=True)
+    cost = lambda t: sum(map(sequence_cost, t[1]))
+    found = cost(pack_shard(sizes, (16, 32, 64), sequence_cost))
+    assert found == min(cost(plain_best_fit(sizes, (16, 32, 64), x)) for x in (16, 32, 64))
+
+
+def check(rows, sizes, lengths):
+    """Every position once; bins within their length, without gaps, as short as can be."""
+    pieces, bins = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append((r.start, r.length))
+        bins[r.bin, r.bin_length].append((r.bin_start, r.length))
+    assert {i: sum(n for _, n in p) for i, p in pieces.items()} == sizes
+    for p in pieces.values():
+        p.sort()
+        assert p[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(p, p[1:], strict=False))
+    assert len(bins) == len({b for b, _ in bins})
+    for (_, length), own in bins.items():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False))
+        assert length == min(x for x in lengths if x >= own[-1][0] + own[-1][1])
+
+
+def test_whole_table(spark):
+    sizes = {r.doc_id: len(r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = op8_packing(spark, SMALL).collect()
+    check(rows, sizes, packing.LENGTHS)
+    used = sum(sizes.values()) / sum({r.bin: r.bin_length for r in rows}.values())
+    assert used > 0.95
+
+
+def test_shards_and_edge_cases(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 8)
+    rows = [(n, n * 37 % 100) for n in range(90)] + [(100, 5000)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, size int, bin int")
+    check(pack(df, F.col("size"), lengths=(16, 32, 64)).collect(), dict(rows), (16, 32, 64))
+    odd = spark.createDataFrame([(None, None), (1, -5), (2, 0), (2, 0), (3, 64)], "doc_id bigint, size int")
+    found = pack(odd, F.col("size"), lengths=(16, 64)).collect()
+    assert sorted((str(r.doc_id), r.length) for r in found) == [("1", 0), ("2", 0), ("2", 0), ("3", 64), ("None", 0)]
+    assert pack(odd.limit(0), F.col("size")).count() == 0

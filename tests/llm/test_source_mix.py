@@ -1,0 +1,90 @@
+import math
+from collections import Counter, defaultdict
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tallymark.llm import source_mix
+from tallymark.llm.queries import op5_source_mix
+from tallymark.llm.source_mix import in_order, mix, parts, schedule
+
+SMALL = "/root/testdata/sf0.01"
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.floats(0.001, 100), min_size=1, max_size=12), st.integers(60, 400))
+def test_every_block_runs_in_its_window(weights, period):
+    slots = parts(weights, period)
+    assert sum(slots.values()) == period and min(slots.values()) >= 1
+    plan = schedule(slots)
+    assert [p[4] for p in plan] == list(range(period)) and Counter(p[0] for p in plan) == Counter(slots)
+    done = Counter()
+    for s, j, release, deadline, slot in plan:
+        assert release <= slot < deadline and j == done[s]
+        done[s] += 1
+        # less than one block from the target, for every source after every slot
+        assert all(abs(done[x] - (slot + 1) * a / period) < 1 for x, a in slots.items())
+
+
+def brute(rows, block_size, slots, seed_order):
+    """rows: id, source, size in the drawn order; block and turn by running sums."""
+    at, found = Counter(), {}
+    plan = {(s, j): (r, d, t) for s, j, r, d, t in schedule(slots)}
+    period = sum(slots.values())
+    for i, s, size in seed_order(rows):
+        block = at[s] // block_size
+        r, d, t = plan[s, block % slots[s]]
+        gone = block // slots[s] * period
+        found[i] = (block, gone + r, gone + d, gone + t, at[s] - block * block_size)
+        at[s] += size
+    return found
+
+
+def test_blocks_and_slots_against_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "BUCKET", 50)
+    rows = [(n, "hot" if n % 3 else f"s{n % 4}", n * 7919 % 90 + 1) for n in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, size int")
+    drawn = {r.doc_id: r.d for r in df.select("doc_id", (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 11) / F.lit(float(1 << 53))).alias("d")).collect()}
+    total = Counter()
+    for _, s, size in rows:
+        total["=" + s] += size
+    slots = parts({s: v**0.7 for s, v in total.items()}, 40)
+    expected = brute([(i, "=" + s, n) for i, s, n in rows], 100, slots, lambda r: sorted(r, key=lambda x: (drawn[x[0]], x[0])))
+    found = {r.doc_id: (r.block, r.release, r.deadline, r.slot, r.turn) for r in mix(df, F.col("size"), block_size=100, period=40).select("row.doc_id", "block", "release", "deadline", "slot", "turn").collect()}
+    assert found == expected
+
+
+def test_whole_table_stays_near_its_targets(spark):
+    rows = op5_source_mix(spark, SMALL).collect()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    slots = defaultdict(set)
+    for r in rows:
+        assert r.release <= r.slot < r.deadline
+        slots[r.source].add((r.block, r.slot))
+    assert all(len({b for b, _ in v}) == len({s for _, s in v}) == len(v) for v in slots.values())
+
+
+def test_given_weights_hold_while_sources_last(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    out = mix(df, F.lit(1), weights={"a": 3, "b": 1}, block_size=10, period=100).select("row.source", "slot").collect()
+    upto = max(r.slot for r in out if r.source == "a")
+    n = Counter(r.source for r in out if r.slot <= upto)
+    assert math.isclose(n["a"] / (n["a"] + n["b"]), 0.75, abs_tol=0.02)
+
+
+def test_edge_cases(spark):
+    rows = [(1, None, None, 5), (2, "", "", 5), (None, "-", "x", 5), (3, None, "y" * 500, 5), (3, None, "y" * 500, 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string, slot int")
+    found = mix(df, F.char_length("text"), block_size=64).collect()
+    assert len(found) == 5 and {r.row.slot for r in found} == {5}
+    assert mix(df.limit(0), F.char_length("text")).count() == 0
+    assert sorted(map(str, in_order(df, F.char_length("text")).collect())) == sorted(map(str, df.collect()))
+
+
+def test_files_hold_the_mixed_order(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    slot = {r.doc_id: (r.slot, r.turn) for r in mix(docs, F.char_length("text"), block_size=5000).select("row.doc_id", "slot", "turn").collect()}
+    order = [r.doc_id for r in in_order(docs, F.char_length("text"), block_size=5000).select("doc_id").collect()]
+    assert [slot[i] for i in order] == sorted(slot.values())
