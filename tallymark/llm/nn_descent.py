@@ -1,7 +1,7 @@
 """Approximate nearest neighbours over a neighbour graph made by NN-descent.
 
-The graph starts from neighbours within the leaves of a few random-projection
-trees, then improves by joins: every node introduces its neighbours, forward
+The graph starts from neighbours among nodes that share one of their nearest
+pivots, in blocks of bounded size, then improves by joins: every node introduces its neighbours, forward
 and reverse, to each other, and pairs nearer than what either has are kept.
 Queries search the graph greedily from their own node's neighbours: each round
 expands the nearest nodes not yet expanded, for all queries at once.
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import drop_path, new_path, written
 from .topk_search import usable
 
-BLOCK, LEAF, TREES = 4096, 96, 4
+#: Nodes that share a pivot, about; the most pivots; pivots of each node.
+BLOCK, PIVOTS, NEAR = 4096, 1024, 5
 
 
 def distance(a: str, b: str) -> Column:
@@ -40,63 +41,51 @@ def _nearest(of: DataFrame, k: int, by: str, *order: str) -> DataFrame:
     return of.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def _leaves(x: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
-    """Halves rows along random directions until they are few."""
-    if len(rows) <= LEAF:
-        yield rows
-        return
-    order = rows[np.argsort(x[rows] @ rng.standard_normal(x.shape[1]), kind="stable")]
-    yield from _leaves(x, order[: len(rows) // 2], rng)
-    yield from _leaves(x, order[len(rows) // 2 :], rng)
-
-
-def _within(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _within(x: np.ndarray, k: int, step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest of each row among the rows, by index, with distances."""
+    x = x.astype(np.float32)
     sq = np.einsum("ij,ij->i", x, x)
-    d = np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0)
-    np.fill_diagonal(d, np.inf)
     k = min(k, len(x) - 1)
-    near = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.zeros((len(x), 0), int)
-    i = np.repeat(np.arange(len(x)), k)
-    return i, near.reshape(-1), np.sqrt(np.take_along_axis(d, near, 1)).reshape(-1)
-
-
-def first_graph(nodes: DataFrame, n: int, dim: int, k: int) -> DataFrame:
-    """a, b, d: neighbours within the leaves of TREES trees. Blocks hold about
-    BLOCK nodes: up to 1024 ranges of a projection, dealt by hash beyond."""
-    way = np.random.default_rng(1).standard_normal((TREES, dim))
-    bins = min(1024, -(-n // BLOCK))
-    salts = -(-n // (BLOCK * bins))
-
-    def projected(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame(np.stack(part["vector"].to_numpy()) @ way.T, columns=[f"p{t}" for t in range(TREES)])
-
-    at = [i / bins for i in range(1, bins)]
-    cuts = [[] for _ in range(TREES)]
-    if at:
-        found = nodes.mapInPandas(projected, ", ".join(f"p{t} double" for t in range(TREES)))
-        cuts = found.agg(*(F.percentile_approx(f"p{t}", at, 20 * bins) for t in range(TREES))).first()
+    found = []
+    for lo in range(0, len(x) if k > 0 else 0, step):
+        own = np.arange(lo, min(lo + step, len(x)))
+        d = sq[own, None] + sq[None, :] - 2 * x[own] @ x.T
+        d[np.arange(len(own)), own] = np.inf
+        near = np.argpartition(d, k - 1, axis=1)[:, :k]
+        found.append((np.repeat(own, k), near.reshape(-1), np.take_along_axis(d, near, 1).reshape(-1)))
+    i, j, d = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    return i, j, np.sqrt(np.maximum(d, 0).astype(float))
+
+
+def first_graph(nodes: DataFrame, n: int, k: int) -> DataFrame:
+    """a, b, d: neighbours among the nodes that share a near pivot. Pivots are
+    up to PIVOTS nodes picked by hash, enough for blocks of about BLOCK nodes if
+    each node goes to its NEAR nearest; larger blocks are dealt by hash."""
+    pivots = min(PIVOTS, max(1, -(-n * NEAR // BLOCK)))
+    at = nodes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(pivots).select("vector").collect()
+    centre = np.array([r["vector"] for r in at])
+    own = 0.5 * np.einsum("ij,ij->i", centre, centre)
+    near_by = min(NEAR, len(centre))
 
     def dealt(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            p = np.stack(part["vector"].to_numpy()) @ way.T
-            for t in range(TREES):
-                yield pd.DataFrame({"tree": t, "bin": np.searchsorted(np.array(cuts[t]), p[:, t]), "node": part["node"], "vector": part["vector"]})
+            x = np.stack(part["vector"].to_numpy())
+            pick = np.argsort(own - x @ centre.T, axis=1, kind="stable")[:, :near_by]
+            for t in range(near_by):
+                yield pd.DataFrame({"pivot": pick[:, t], "node": part["node"], "vector": part["vector"]})
 
     def near(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("node")
-        x, ids = np.stack(part["vector"].to_numpy()), part["node"].to_numpy()
-        rng = np.random.default_rng(int(part["tree"].iloc[0]))
-        found = []
-        for rows in _leaves(x, np.arange(len(x)), rng):
-            i, j, d = _within(x[rows], k)
-            found.append(pd.DataFrame({"a": ids[rows[i]], "b": ids[rows[j]], "d": d}))
-        return pd.concat(found)
+        ids = part["node"].to_numpy()
+        i, j, d = _within(np.stack(part["vector"].to_numpy()), k)
+        return pd.DataFrame({"a": ids[i], "b": ids[j], "d": d})
 
-    blocks = nodes.mapInPandas(dealt, "tree int, bin int, node long, vector array<double>")
-    salt = F.pmod(F.xxhash64("node", "tree"), F.lit(salts))
-    return blocks.groupBy("tree", "bin", salt.alias("salt")).applyInPandas(near, "a long, b long, d double")
+    blocks = nodes.mapInPandas(dealt, "pivot int, node long, vector array<float>")
+    # one number for each pivot
+    sizes = blocks.groupBy("pivot").count().collect()
+    salts = F.create_map(*(F.lit(v) for r in sizes for v in (r["pivot"], -(-r["count"] // (2 * BLOCK))))) if sizes else F.create_map()
+    salt = F.pmod(F.xxhash64("node", "pivot"), salts[F.col("pivot")])
+    return blocks.groupBy("pivot", salt.alias("salt")).applyInPandas(near, "a long, b long, d double")
 
 
 def merged(edges: DataFrame, k: int) -> DataFrame:
@@ -128,7 +117,7 @@ def introduced(meetings: DataFrame) -> DataFrame:
                 out.append((i + lo, j + lo, d[i, j]))
             i, j, d = (np.concatenate(v) for v in zip(*out, strict=True))
             i, j, d = (v[a[i] != a[j]] for v in (i, j, d))
-            yield pa.record_batch([pa.array(a[i]), pa.array(a[j]), pa.array(np.sqrt(np.maximum(d, 0)))], names=["a", "b", "d"])
+            yield pa.record_batch([pa.array(a[i]), pa.array(a[j]), pa.array(np.sqrt(np.maximum(d, 0).astype(float)))], names=["a", "b", "d"])
 
         for batch in batches:
             batch = batch if kept is None else pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
@@ -143,35 +132,33 @@ def introduced(meetings: DataFrame) -> DataFrame:
     return meetings.repartition("m").sortWithinPartitions("m").mapInArrow(pairs, "a long, b long, d double")
 
 
-def build_graph(nodes: DataFrame, n: int, dim: int, k: int = 16, reverse: int = 12, rounds: int = 3, least_new: float = 0.02) -> DataFrame:
-    """a, b, d: about the k nearest other nodes of each. Ends after `rounds`,
-    or when a round changes fewer than least_new of the neighbours."""
+def build_graph(nodes: DataFrame, n: int, k: int = 24, reverse: int = 24, rounds: int = 4, least_gain: float = 0.003) -> DataFrame:
+    """a, b, d: about the k nearest other nodes of each. Ends after `rounds`
+    rounds of introductions, or when one shortens the neighbours' distances, in
+    sum, by less than a share of least_gain."""
     spark = nodes.sparkSession
-    path, before = "", None
-    edges = merged(first_graph(nodes, n, dim, k), k)
-    for left in range(rounds, -1, -1):
-        to = new_path(spark, "nn-graph")
-        edges.write.parquet(to)
-        graph = spark.read.schema("a long, b long, d double").parquet(to)
-        if path:
-            now = graph.agg(F.sum("d")).first()[0] or 0.0
-            drop_path(spark, path)
-            if before - now <= least_new * before * 0.1:
-                break
-            before = now
-        else:
-            before = graph.agg(F.sum("d")).first()[0] or 0.0
-        path = to
-        if not left:
-            break
-        reach = graph.groupBy("a").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(float("inf")).alias("r"))
-        known = nodes.join(reach, nodes["node"] == reach["a"], "left").select(F.col("node").alias("a"), F.coalesce("r", F.lit(float("inf"))).alias("r"), "vector")
+
+    def stored(edges: DataFrame) -> tuple[str, DataFrame, float]:
+        path = new_path(spark, "nn-graph")
+        edges.write.parquet(path)
+        graph = spark.read.schema("a long, b long, d double").parquet(path)
+        return path, graph, graph.agg(F.sum(F.least("d", F.lit(1e300)))).first()[0] or 0.0
+
+    path, graph, total = stored(merged(first_graph(nodes, n, k), k))
+    for _ in range(rounds):
+        full = F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(float("inf"))
+        reach = graph.groupBy("a").agg(full.alias("r"))
+        known = nodes.join(reach, nodes["node"] == reach["a"], "left").select(F.col("node").alias("a"), F.coalesce("r", F.lit(float("inf"))).alias("r"), F.col("vector").cast("array<float>").alias("vector"))
         meetings = adjacent(graph, reverse).join(known, "a").select("m", "a", "r", "vector")
-        edges = merged(graph.union(introduced(meetings)), k)
+        old, before = path, total
+        path, graph, total = stored(merged(graph.union(introduced(meetings)), k))
+        drop_path(spark, old)
+        if before - total <= least_gain * before:
+            break
     return graph
 
 
-def greedy_search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: int = 48, expand: int = 16, reverse: int = 12, rounds: int = 8) -> DataFrame:
+def greedy_search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: int = 192, expand: int = 48, reverse: int = 64, rounds: int = 8) -> DataFrame:
     """starts: q (a node). Returns q, node, d: the nearest nodes found, itself
     left out. Each round expands the `expand` nearest unexpanded nodes of the
     best `beam` of each query, until all of those are expanded."""
@@ -200,7 +187,7 @@ def greedy_search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: i
     return beams.filter("q != node").select("q", "node", "d")
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = 16) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = 24) -> DataFrame:
     """query_id, rank, id, score: about the k nearest rows (Euclidean) of each
     row where is_query (on the id column) holds, itself left out; distances are
     exact. Every row is indexed."""
@@ -217,7 +204,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     members = written(_nearest(good, k + 1, "node", id_col).select("node", F.col(id_col).alias("id")), "nn-members")
     queries = good.filter(is_query).groupBy(F.col(id_col).alias("query_id")).agg(F.min("vector").alias("v")).select("query_id", F.xxhash64("v").alias("q"))
     n = nodes.count()
-    graph = build_graph(nodes, n, sizes["dim"], neighbours)
+    graph = build_graph(nodes, n, neighbours)
     found = greedy_search(nodes, graph, queries.select("q").distinct())
     found = _nearest(found, k, "q", "d", "node").union(queries.select("q", F.col("q").alias("node"), F.lit(0.0).alias("d")).distinct())
     answers = queries.join(found, "q").join(members, "node").filter("id != query_id").select("query_id", "id", F.col("d").alias("score"))

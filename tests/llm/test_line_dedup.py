@@ -1,0 +1,75 @@
+import hashlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallymark.llm.line_dedup import LineRuns, dedup_lines
+from tallymark.llm.queries import op9_line_dedup
+
+SMALL = "/root/testdata/sf0.01"
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def key(line):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(SPACE))
+
+
+def brute(rows, min_length=40, min_docs=5):
+    """rows: (id, text); kept text, lines and lines dropped of each row."""
+    holders = defaultdict(list)
+    for n, (i, text) in enumerate(rows):
+        for k in {key(x) for x in (text or "").split("\n")}:
+            if len(k) >= min_length:
+                holders[k].append(i)
+    last = {k: max((i for i in ids if i is not None), default=None) for k, ids in holders.items() if len(ids) >= min_docs}
+    out = []
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if key(x) not in last or last[key(x)] == i]
+        out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return out
+
+
+def result(df):
+    return sorted(((r.row.doc_id, r.kept, r.n_lines, r.n_dropped) for r in df.collect()), key=str)
+
+
+LONG = "This line is long enough to be looked at, ÄÉ."
+
+
+@pytest.mark.parametrize(("batches", "fanout"), [(1, 4), (4, 2), (5, 2), (6, 3)])
+def test_batches_and_levels_make_no_difference(spark, batches, fanout):
+    rows = [(n, "\n".join([LONG if n % 2 else LONG.upper().replace("ÄÉ", "ÄÉ"), f" {LONG}\t", f"own {n}", "x" * (35 + n % 8), "", LONG + str(n % 6)][: n % 7])) for n in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert result(dedup_lines(df, batches=batches, fanout=fanout)) == sorted(brute(rows), key=str)
+
+
+def test_runs_are_merged_by_level(spark):
+    runs = LineRuns(spark, fanout=2)
+    for n in range(5):
+        runs.add(spark.createDataFrame([(n, "a"), (n, f"only {n}")], "id bigint, h string"))
+    assert [len(x) for x in runs.levels] == [1, 0, 1]
+    assert {tuple(r) for r in runs.repeated(5).collect()} == {("a", 5, 4)} and runs.keys().count() == 6
+
+
+def test_edge_cases(spark):
+    many = "\n".join(f"{LONG} {n}" for n in range(3000))
+    rows = [(1, None), (2, ""), (3, "\n"), (None, LONG), (4, LONG), (5, f"{LONG}\n{LONG}\nend"), (6, LONG), (7, LONG), (7, LONG)] + [(n, many) for n in range(10, 16)]
+    df = spark.createDataFrame([(*r, "k", 0) for r in rows], "doc_id bigint, text string, kept string, n_lines int")
+    out = dedup_lines(df)
+    assert result(out) == sorted(brute(rows), key=str)
+    assert {r.row.kept for r in out.select("row").collect()} == {"k"} and "text" not in out.schema["row"].dataType.names
+    assert dedup_lines(df.limit(0)).count() == 0
+
+
+def test_whole_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    expected = {i: (n, d, hashlib.sha256(t.encode()).hexdigest()) for i, t, n, d in brute(rows)}
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in op9_line_dedup(spark, SMALL).collect()} == expected
+    assert sum(d for _, d, _ in expected.values()) > 0
+
+
+def test_no_python_in_the_plan(spark):
+    plan = dedup_lines(spark.read.parquet(f"{SMALL}/documents.parquet").filter(F.lit(True)))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
