@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.amounts import market_value, on_a_quarter
 from ..functions.keys import well_formed
-from ..operators import closing, positions, relations
+from ..operators import closing, positions
 
 
 def _rows(facts: DataFrame, checks: dict[str, tuple[Column | int, Column | int]]) -> DataFrame:
@@ -51,38 +51,50 @@ def prices(rows: DataFrame, symbols: int) -> DataFrame:
     return _rows(facts, {"price symbols": (symbols, F.col("symbols")), "prices not positive": (0, F.col("low")), "prices off a quarter": (0, F.col("odd"))})
 
 
+def _by_key(positions_: DataFrame, whole: bool) -> DataFrame:
+    """One row per key: its updates, its last position and whether its counts run 1..n."""
+    n = F.count(F.lit(1))
+    sound = (F.min("updateCount") == 1) & (F.max("updateCount") == n) & (F.count_distinct("updateCount") == n)
+    return positions_.groupBy("key", "symbol").agg(n.alias("n"), F.max_by("quantity", "updateCount").alias("quantity"), sound.alias("sound")).withColumn("whole", F.lit(whole))
+
+
 def running(by_symbol: DataFrame, by_account: DataFrame, accounts: int, symbols: list[str]) -> DataFrame:
-    """Both sides' keys, counts and totals."""
-    both = by_symbol.select("key", F.lit(True).alias("whole")).union(by_account.select("key", F.lit(False)))
+    """Both sides' keys, counts and totals, from one row per key."""
+    both = _by_key(by_symbol, True).union(_by_key(by_account, False))
     whole, split = F.col("whole"), ~F.col("whole")
-    both = both.agg(
-        F.count(F.when(whole, 1)).alias("n"), F.count_distinct(F.when(whole, F.col("key"))).alias("keys"), F.count(F.when(split, 1)).alias("m"),
-        F.count_distinct(F.when(split, F.col("key"))).alias("account_keys"), F.count(F.when(split & ~well_formed("key", accounts, symbols), 1)).alias("bad"),
+    of = lambda side, x: F.coalesce(F.sum(F.when(side, x)), F.lit(0))
+    facts = both.agg(
+        of(whole, F.col("n")).alias("n"), F.count_if(whole).alias("keys"), of(split, F.col("n")).alias("m"), F.count_if(split).alias("account_keys"),
+        F.count_if(split & ~well_formed("key", accounts, symbols)).alias("bad"), F.count_if(whole & ~F.col("sound")).alias("broken"), F.count_if(split & ~F.col("sound")).alias("account_broken"),
     )
-    totals = relations.unequal_totals(positions.roll_up(positions.final(by_symbol)), positions.roll_up(positions.final(by_account)), "symbol", "quantity")
+    totals = both.groupBy("symbol").agg(F.sum(F.when(whole, F.col("quantity"))).alias("a"), F.sum(F.when(split, F.col("quantity"))).alias("b"))
     return union(
-        _rows(both, {
+        _rows(facts, {
             "symbol keys": (len(symbols), F.col("keys")), "account keys": (accounts * len(symbols), F.col("account_keys")),
             "account updates": (F.col("n") * accounts, F.col("m")), "malformed keys": (0, F.col("bad")),
+            "symbols with broken counts": (0, F.col("broken")), "accounts with broken counts": (0, F.col("account_broken")),
         }),
-        _count("symbols with broken counts", relations.broken_counts(by_symbol).filter("not ok")),
-        _count("accounts with broken counts", relations.broken_counts(by_account).filter("not ok")),
-        _count("unequal totals", totals),
+        _count("unequal totals", totals.filter(~F.col("a").eqNullSafe(F.col("b")))),
     )
 
 
 def values(mv: DataFrame, positions_: DataFrame, ticks: DataFrame, window_millis: int, keys: int, label: str, price_windows: int | None = 240) -> DataFrame:
-    """Market values against the streams that fed them, recomputed apart."""
-    wrong = F.count(F.when(~F.col("marketValue").eqNullSafe(market_value("quantity", "price")), 1))
-    facts = mv.agg(F.count_distinct("key").alias("keys"), wrong.alias("wrong"))
+    """Market values against the streams that fed them, recomputed apart: one
+    pass over the values, then one row per key, then one per last window."""
     until = mv.agg(F.max("windowEnd").alias("m")).scalar()
     price = closing.carried(closing.closing_prices(ticks, window_millis), "symbol", until, window_millis, price_windows).select("symbol", "windowEnd", F.col("price").alias("p"))
     held = closing.carried(closing.closing_positions(positions_, window_millis), "key", until, window_millis).select("key", "windowEnd", F.col("quantity").alias("q"))
-    return union(
-        _rows(facts, {f"{label} keys": (keys, F.col("keys")), f"{label} wrong values": (0, F.col("wrong"))}),
-        _count(f"{label} keys with a gap", relations.gaps(mv, window_millis).filter("gaps > 0")),
-        _count(f"{label} keys missing from the last window", relations.absent_from_last(mv)),
-        _count(f"{label} duplicates", relations.duplicates(mv, "key", "windowEnd")),
-        _count(f"{label} prices unlike the close", mv.join(price, ["symbol", "windowEnd"], "left").filter(~F.col("price").eqNullSafe(F.col("p")))),
-        _count(f"{label} quantities unlike the close", mv.join(held, ["key", "windowEnd"], "left").filter(~F.col("quantity").eqNullSafe(F.col("q")))),
-    )
+    before = F.lag("windowEnd").over(Window.partitionBy("key").orderBy("windowEnd"))
+    joined = mv.join(price, ["symbol", "windowEnd"], "left").join(held, ["key", "windowEnd"], "left").withColumn("step", F.col("windowEnd") - before)
+    unlike = lambda a, b: F.count_if(~F.col(a).eqNullSafe(b))
+    each = joined.groupBy("key").agg(
+        F.max("windowEnd").alias("last"), (F.count_if(F.col("step") != window_millis) > 0).cast("int").alias("gap"), F.count_if(F.col("step") == 0).alias("twice"),
+        unlike("marketValue", market_value("quantity", "price")).alias("wrong"), unlike("price", F.col("p")).alias("price"), unlike("quantity", F.col("q")).alias("quantity"),
+    )
+    names = ("gap", "twice", "wrong", "price", "quantity")
+    by_end = each.groupBy("last").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in names))
+    facts = by_end.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("keys"), F.coalesce(F.max_by("n", "last"), F.lit(0)).alias("at_end"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
+    return _rows(facts, {
+        f"{label} keys": (keys, F.col("keys")), f"{label} wrong values": (0, F.col("wrong")), f"{label} keys with a gap": (0, F.col("gap")), f"{label} keys missing from the last window": (0, F.col("keys") - F.col("at_end")),
+        f"{label} duplicates": (0, F.col("twice")), f"{label} prices unlike the close": (0, F.col("price")), f"{label} quantities unlike the close": (0, F.col("quantity")),
+    })
