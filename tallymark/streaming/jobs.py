@@ -65,6 +65,24 @@ def start(rows: DataFrame, out: str, checkpoint: str, trigger_millis: int | None
     return rows.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def start_both_sides(trades: DataFrame, out: str, checkpoint: str, trigger_millis: int | None = None) -> dict[str, StreamingQuery]:
+    """One source of trades, two independent branches: positions by symbol and
+    by account, each with its own state and sink under out."""
+    sides = {"positions-by-symbol": positions.by_symbol(trades), "positions-by-account": positions.split(trades)}
+    return {name: start(running_positions(updates), f"{out}/{name}", f"{checkpoint}/{name}", trigger_millis) for name, updates in sides.items()}
+
+
+def start_batches(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """For sinks without transactions: each micro-batch has a folder of its
+    own, written over if the batch is repeated after a failure."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def finish(query: StreamingQuery) -> None:
     query.awaitTermination()
     if query.exception() is not None:

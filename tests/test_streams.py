@@ -9,7 +9,7 @@ from tallymark import schemas
 from tallymark.operators import positions, relations
 from tallymark.operators.market_value import value_at_close
 from tallymark.sources import files
-from tallymark.streaming import jobs, processors
+from tallymark.streaming import jobs, metrics, processors
 
 MINUTE = 60_000
 
@@ -60,3 +60,46 @@ def test_a_silent_source_holds_windows_back(spark, tmp_path):
     held, price = files.stream(spark, f"{tmp_path}/held", processors.POSITION), files.stream(spark, f"{tmp_path}/ticks", schemas.PRICE + ", seq BIGINT")
     jobs.finish(jobs.start(jobs.values_at_close(held, price, MINUTE), f"{tmp_path}/out", f"{tmp_path}/state"))
     assert spark.read.schema(processors.VALUE).parquet(f"{tmp_path}/out").count() == 0
+
+
+def test_two_branches_of_one_source(spark, tmp_path):
+    a = [(f"ACC{i}", 5, "SUB1") for i in range(1, 5)]
+    rows = [(a, n * 1000, 20, "BUY" if n % 3 else "SELL", f"S{n % 2}", f"T{n:09d}") for n in range(30)]
+    trades = spark.createDataFrame(rows, schemas.BLOCK_TRADE)
+    trades.write.parquet(f"{tmp_path}/in")
+    started = jobs.start_both_sides(files.stream(spark, f"{tmp_path}/in", schemas.BLOCK_TRADE), f"{tmp_path}/out", f"{tmp_path}/state")
+    for query in started.values():
+        jobs.finish(query)
+    read = lambda name: spark.read.schema(processors.POSITION).parquet(f"{tmp_path}/out/{name}")
+    assert same(read("positions-by-symbol"), positions.running(positions.by_symbol(trades)))
+    assert same(read("positions-by-account"), positions.running(positions.split(trades)))
+
+
+def test_live_numbers_and_repeatable_batches(spark, tmp_path):
+    for lo in (0, 20):
+        updates(spark, lo, lo + 20).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = files.stream(spark, f"{tmp_path}/in", schemas.UPDATE, 1)
+    query = jobs.start_batches(metrics.observed(source, "stage"), f"{tmp_path}/out", f"{tmp_path}/state")
+    jobs.finish(query)
+    assert [(r["records"], r["keys"]) for r in metrics.reports(query, "stage")] == [(20, 3)] * 2
+    assert len(metrics.rates(query)) == 2 and min(metrics.rates(query)) > 0
+    assert same(spark.read.parquet(f"{tmp_path}/out").drop("batch"), updates(spark, 0, 40))
+
+
+def test_late_positions_change_nothing(spark, tmp_path):
+    """A position of a closed window is counted and left out."""
+    held = positions.running(updates(spark, 0, 60))
+    held.coalesce(1).write.mode("append").parquet(f"{tmp_path}/held")
+    ticks(spark, 0, 60).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ticks")
+
+    def run():
+        read = lambda name, schema: files.stream(spark, f"{tmp_path}/{name}", schema, 1)
+        query = jobs.start(jobs.values_at_close(read("held", processors.POSITION), read("ticks", schemas.PRICE + ", seq BIGINT"), MINUTE), f"{tmp_path}/out", f"{tmp_path}/state")
+        jobs.finish(query)
+        return query, spark.read.schema(processors.VALUE).parquet(f"{tmp_path}/out").collect()
+
+    before = run()[1]
+    spark.createDataFrame([("K0", "S0", 999, "T999999999", 99, 5)], processors.POSITION).write.mode("append").parquet(f"{tmp_path}/held")
+    query, after = run()
+    assert metrics.late_rows(query) >= 1
+    assert sorted(map(str, after)) == sorted(map(str, before))
