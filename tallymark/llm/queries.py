@@ -16,7 +16,43 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: While all labelled URLs are used for fitting, so up to max_labelled of them.
+OP2_SQL = r"""
+WITH rest AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS r FROM pages),
+parts AS (SELECT page_id, url, translate(coalesce(regexp_extract(r, '\A[^/?#]*', 0), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+          coalesce(regexp_extract(r, '(?s)\A[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
+ruled AS (SELECT *, CASE
+            WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+            WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+            WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+            WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM parts),
+folded AS (SELECT *, '^^' || regexp_replace(translate(lower(url), '0123456789', '0000000000'), '[^a-z0/.\-_?=&#:%+~]', '*', 'g') || '$' AS t,
+           rule IN ('example.net/en/', 'org/fr/') AS ok, CAST('0x' || substr(sha256(url), 1, 8) AS BIGINT) % 5 = 0 AS held FROM ruled),
+grams AS (SELECT url, rule, ok, held, substr(t, i, 3) AS g FROM (SELECT *, unnest(generate_series(1, length(t) - 2)) AS i FROM folded)),
+kinds AS (SELECT g, ok FROM (SELECT DISTINCT g FROM grams), (SELECT unnest([true, false]) AS ok)),
+n3 AS (SELECT ok, g, count(*) AS n FROM grams WHERE rule IS NOT NULL AND NOT held GROUP BY 1, 2),
+n2 AS (SELECT ok, substr(g, 2) AS g, sum(n) AS n FROM n3 GROUP BY 1, 2),
+n1 AS (SELECT ok, substr(g, 3) AS g, sum(n) AS n FROM n3 GROUP BY 1, 2),
+t3 AS (SELECT ok, substr(g, 1, 2) AS c, sum(n) AS n, count(*) AS k FROM n3 GROUP BY 1, 2),
+t2 AS (SELECT ok, substr(g, 1, 1) AS c, sum(n) AS n, count(*) AS k FROM n2 GROUP BY 1, 2),
+t1 AS (SELECT ok, sum(n) AS n, count(*) AS k FROM n1 GROUP BY 1),
+p1 AS (SELECT g, ok, coalesce((coalesce(n1.n, 0) + t1.k * (1.0::DOUBLE / 42)) / (t1.n + t1.k), 1.0::DOUBLE / 42) AS p
+       FROM kinds LEFT JOIN t1 USING (ok) LEFT JOIN (SELECT ok AS o, g AS h, n FROM n1) n1 ON o = ok AND h = substr(g, 3)),
+p2 AS (SELECT g, ok, coalesce((coalesce(n2.n, 0) + t2.k * p) / (t2.n + t2.k), p) AS p
+       FROM p1 LEFT JOIN (SELECT ok AS o2, c, n, k FROM t2) t2 ON o2 = ok AND c = substr(g, 2, 1) LEFT JOIN (SELECT ok AS o, g AS h, n FROM n2) n2 ON o = ok AND h = substr(g, 2)),
+p3 AS (SELECT g, ok, coalesce((coalesce(n3.n, 0) + t3.k * p) / (t3.n + t3.k), p) AS p
+       FROM p2 LEFT JOIN (SELECT ok AS o2, c, n, k FROM t3) t3 ON o2 = ok AND c = substr(g, 1, 2) LEFT JOIN (SELECT ok AS o, g AS h, n FROM n3) n3 ON o = ok AND h = g),
+llr AS (SELECT g, sum(ln(p)) FILTER (ok) - sum(ln(p)) FILTER (NOT ok) AS llr FROM p3 GROUP BY g),
+ratio AS (SELECT url, any_value(rule) AS rule, any_value(ok) AS ok, any_value(held) AS held, avg(llr) AS ratio FROM grams JOIN llr USING (g) GROUP BY url),
+stats AS (SELECT avg(ratio) FILTER (ok) AS a, avg(ratio) FILTER (NOT ok) AS b, stddev_pop(ratio) FILTER (ok) + 1e-9 AS sa, stddev_pop(ratio) FILTER (NOT ok) + 1e-9 AS sb
+          FROM (SELECT f.url, r.ratio, f.ok FROM folded f JOIN ratio r USING (url) WHERE f.rule IS NOT NULL AND f.held))
+SELECT page_id, host, path, f.rule, CASE WHEN f.rule IS NOT NULL THEN CASE WHEN f.ok THEN 'allow' ELSE 'block' END
+  WHEN host = '' OR r.ratio IS NULL OR a IS NULL OR b IS NULL OR r.ratio >= (a * sb + b * sa) / (sa + sb) THEN 'allow' ELSE 'block' END AS verdict
+FROM folded f LEFT JOIN ratio r USING (url) CROSS JOIN stats
+"""
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +125,4 @@ FROM judged GROUP BY r
 """
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_topk_search, op4_language_id, op5_source_mix, op6_toxicity, op7_simhash_dedup, op8_packing, op9_line_dedup, op10_nn_descent)}
-ORACLE_SQL = {"op3_topk_search": OP3_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op3_topk_search": OP3_SQL, "op9_line_dedup": OP9_SQL}
