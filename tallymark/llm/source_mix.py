@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that share a bucket of the drawn order, about.
-BUCKET = 4096
+BUCKET = 1024
 
 
 def parts(weights: Mapping[str, float], period: int) -> dict[str, int]:
