@@ -67,3 +67,15 @@ def test_the_entry_registers_everything():
     names = set(entry.queries())
     assert {"pipeline", "mv_by_account"} <= names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(entry.oracle_sql()) <= names
+
+
+def test_only_the_result_is_left_behind(spark):
+    import os
+
+    from tallymark.llm.common import shared_dir
+
+    top = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    corpus_pipeline.run(spark, SMALL).count()
+    left = {x for x in set(os.listdir(top)) - before if not x.startswith(".")}
+    assert len(left) == 1 and next(iter(left)).startswith("pipeline-packing")
