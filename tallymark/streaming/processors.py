@@ -48,38 +48,45 @@ class ValueAtClose(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getMapState("held", "key STRING", "quantity BIGINT, tradeId STRING")
-        self.waiting = handle.getMapState("waiting", "windowEnd BIGINT, key STRING", "quantity BIGINT, tradeId STRING")
-        self.prices = handle.getMapState("prices", "windowEnd BIGINT", "price STRING")
+        # lists are read and written whole, in a few calls; both are short, as what is past goes
+        self.waiting = handle.getListState("waiting", "windowEnd BIGINT, key STRING, quantity BIGINT, tradeId STRING")
+        self.prices = handle.getListState("prices", "windowEnd BIGINT, price STRING")
         self.armed = handle.getValueState("armed", "at BIGINT")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        least = None
+        held, prices = [], []
         for r in rows:
             if r.kind == "price":
-                self.prices.updateValue((r.windowEnd,), (r.price,))
+                prices.append((r.windowEnd, r.price))
             else:
-                self.waiting.updateValue((r.windowEnd, r.key), (r.quantity, r.lastTradeId))
-                least = r.windowEnd if least is None else min(least, r.windowEnd)
-        if least is not None and not self.armed.exists():
-            self.armed.update((least,))
-            self.handle.registerTimer(least)
+                held.append((r.windowEnd, r.key, r.quantity, r.lastTradeId))
+        if prices:
+            self.prices.appendList(prices)
+        if held:
+            self.waiting.appendList(held)
+            if not self.armed.exists():
+                first = min(h[0] for h in held)
+                self.armed.update((first,))
+                self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
         at = self.armed.get()[0]
         held = {k[0]: tuple(v) for k, v in self.held.iterator()}
-        prices = {k[0]: v[0] for k, v in self.prices.iterator()}
+        prices = dict(map(tuple, self.prices.get()))
         waiting: dict[int, list[tuple]] = {}
-        for (end, k), v in self.waiting.iterator():
-            if end <= now:
-                waiting.setdefault(end, []).append((k, tuple(v)))
+        later = []
+        for row in map(tuple, self.waiting.get()):
+            if row[0] <= now:
+                waiting.setdefault(row[0], []).append(row)
+            else:
+                later.append(row)
         changed, latest = set(), max((p for p in prices if p < at), default=None)
         while at <= now:
-            for k, v in waiting.pop(at, ()):
-                held[k] = v
+            for _, k, quantity, trade in waiting.pop(at, ()):
+                held[k] = (quantity, trade)
                 changed.add(k)
-                self.waiting.removeKey((at, k))
             latest = at if at in prices else latest
             if latest is not None and at - latest < self.reach * self.window:
                 price = Decimal(prices[latest])
@@ -88,10 +95,17 @@ class ValueAtClose(StatefulProcessor):
             at += self.window
         for k in changed:
             self.held.updateValue((k,), held[k])
-        for end in [p for p in prices if latest is not None and p < latest]:
-            self.prices.removeKey((end,))
+        self._keep(self.waiting, later)
+        self._keep(self.prices, [(p, v) for p, v in prices.items() if latest is None or p >= latest])
         self.armed.update((at,))
         self.handle.registerTimer(at)
 
+    @staticmethod
+    def _keep(state: Any, rows: list[tuple]) -> None:
+        if rows:
+            state.put(rows)
+        else:
+            state.clear()
+
     def close(self) -> None:
         pass
