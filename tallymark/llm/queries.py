@@ -47,10 +47,10 @@ p3 AS (SELECT g, ok, coalesce((coalesce(n3.n, 0) + t3.k * p) / (t3.n + t3.k), p)
        FROM p2 LEFT JOIN (SELECT ok AS o2, c, n, k FROM t3) t3 ON o2 = ok AND c = substr(g, 1, 2) LEFT JOIN (SELECT ok AS o, g AS h, n FROM n3) n3 ON o = ok AND h = g),
 llr AS (SELECT g, sum(ln(p)) FILTER (ok) - sum(ln(p)) FILTER (NOT ok) AS llr FROM p3 GROUP BY g),
 ratio AS (SELECT url, any_value(rule) AS rule, any_value(ok) AS ok, any_value(held) AS held, avg(llr) AS ratio FROM grams JOIN llr USING (g) GROUP BY url),
-stats AS (SELECT avg(ratio) FILTER (ok) AS a, avg(ratio) FILTER (NOT ok) AS b, stddev_pop(ratio) FILTER (ok) + 1e-9 AS sa, stddev_pop(ratio) FILTER (NOT ok) + 1e-9 AS sb
+stats AS (SELECT avg(ratio) FILTER (ok) AS a, avg(ratio) FILTER (NOT ok) AS b
           FROM (SELECT f.url, r.ratio, f.ok FROM folded f JOIN ratio r USING (url) WHERE f.rule IS NOT NULL AND f.held))
 SELECT page_id, host, path, f.rule, CASE WHEN f.rule IS NOT NULL THEN CASE WHEN f.ok THEN 'allow' ELSE 'block' END
-  WHEN host = '' OR r.ratio IS NULL OR a IS NULL OR b IS NULL OR r.ratio >= (a * sb + b * sa) / (sa + sb) THEN 'allow' ELSE 'block' END AS verdict
+  WHEN host = '' OR r.ratio IS NULL OR a IS NULL OR b IS NULL OR r.ratio >= (a + b) / 2 THEN 'allow' ELSE 'block' END AS verdict
 FROM folded f LEFT JOIN ratio r USING (url) CROSS JOIN stats
 """
 
