@@ -1,7 +1,8 @@
 """Approximate nearest neighbours over a neighbour graph made by NN-descent.
 
-The graph starts from neighbours among nodes that share one of their nearest
-pivots, in blocks of bounded size, then improves by joins: every node introduces its neighbours, forward
+The graph starts sparse: each node's neighbours among the few hundred that share
+one of its nearest pivots, whose number grows with the nodes. It improves by
+joins, until a round gains little: every node introduces its neighbours, forward
 and reverse, to each other, and pairs nearer than what either has are kept.
 Queries search the graph greedily from their own node's neighbours: each round
 expands the nearest nodes not yet expanded, for all queries at once.
@@ -17,7 +18,7 @@ vector are candidates each; the query of that id is its first vector.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import drop_path, new_path, written
 from .topk_search import usable
 
-#: Nodes that share a pivot, about; the most pivots; pivots of each node.
-BLOCK, PIVOTS, NEAR = 4096, 1024, 5
+#: Nodes that share a pivot, about; pivots of each node.
+BLOCK, NEAR = 256, 2
+#: More pivots than these are looked up in groups, of which a node sees so many.
+FLAT, GROUPS = 1024, 8
 
 
 def distance(a: str, b: str) -> Column:
@@ -57,20 +60,46 @@ def _within(x: np.ndarray, k: int, step: int = 512) -> tuple[np.ndarray, np.ndar
     return i, j, np.sqrt(np.maximum(d, 0).astype(float))
 
 
+def pivot_lookup(centre: np.ndarray, near: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from vectors to their `near` nearest pivots, nearest first.
+    More than FLAT pivots are grouped by the nearest of about their square
+    root, so that a vector meets a few groups' pivots, not all."""
+    own = 0.5 * np.einsum("ij,ij->i", centre, centre)
+    if len(centre) <= FLAT:
+        return lambda x: np.argsort(own - x @ centre.T, axis=1, kind="stable")[:, :near]
+    heads = np.arange(int(len(centre) ** 0.5))
+    group = np.concatenate([np.argmin(own[heads] - centre[lo : lo + 4096] @ centre[heads].T, axis=1) for lo in range(0, len(centre), 4096)])
+    inside = [np.flatnonzero(group == g) for g in heads]
+
+    def found(x: np.ndarray) -> np.ndarray:
+        seen = np.argsort(own[heads] - x @ centre[heads].T, axis=1, kind="stable")[:, :GROUPS]
+        far, best = np.full((len(x), near), np.inf), np.zeros((len(x), near), int)
+        for g in np.unique(seen):
+            rows, these = np.flatnonzero((seen == g).any(axis=1)), inside[g]
+            d = np.concatenate((far[rows], own[these] - x[rows] @ centre[these].T), axis=1)
+            which = np.concatenate((best[rows], np.broadcast_to(these, (len(rows), len(these)))), axis=1)
+            pick = np.argsort(d, axis=1, kind="stable")[:, :near]
+            far[rows], best[rows] = np.take_along_axis(d, pick, 1), np.take_along_axis(which, pick, 1)
+        return best
+
+    return found
+
+
 def first_graph(nodes: DataFrame, n: int, k: int) -> DataFrame:
     """a, b, d: neighbours among the nodes that share a near pivot. Pivots are
-    up to PIVOTS nodes picked by hash, enough for blocks of about BLOCK nodes if
-    each node goes to its NEAR nearest; larger blocks are dealt by hash."""
-    pivots = min(PIVOTS, max(1, -(-n * NEAR // BLOCK)))
-    at = nodes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(pivots).select("vector").collect()
-    centre = np.array([r["vector"] for r in at])
-    own = 0.5 * np.einsum("ij,ij->i", centre, centre)
+    picked by hash, as many as make blocks of about BLOCK nodes if each node
+    goes to its NEAR nearest. A block of 16 times that (around a pivot that is
+    near to very many) is dealt by hash, so that it fits in memory."""
+    pivots = max(1, -(-n * NEAR // BLOCK))
+    at = nodes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(pivots).select(F.col("vector").cast("array<float>").alias("vector")).toArrow()
+    centre = at.column(0).combine_chunks().flatten().to_numpy().reshape(at.num_rows, -1)
     near_by = min(NEAR, len(centre))
+    sent = nodes.sparkSession.sparkContext.broadcast(centre)
 
     def dealt(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lookup = pivot_lookup(sent.value, near_by)
         for part in parts:
-            x = np.stack(part["vector"].to_numpy())
-            pick = np.argsort(own - x @ centre.T, axis=1, kind="stable")[:, :near_by]
+            pick = lookup(np.stack(part["vector"].to_numpy()))
             for t in range(near_by):
                 yield pd.DataFrame({"pivot": pick[:, t], "node": part["node"], "vector": part["vector"]})
 
@@ -81,10 +110,9 @@ def first_graph(nodes: DataFrame, n: int, k: int) -> DataFrame:
         return pd.DataFrame({"a": ids[i], "b": ids[j], "d": d})
 
     blocks = nodes.mapInPandas(dealt, "pivot int, node long, vector array<float>")
-    # one number for each pivot
-    sizes = blocks.groupBy("pivot").count().collect()
-    salts = F.create_map(*(F.lit(v) for r in sizes for v in (r["pivot"], -(-r["count"] // (2 * BLOCK))))) if sizes else F.create_map()
-    salt = F.pmod(F.xxhash64("node", "pivot"), salts[F.col("pivot")])
+    large = blocks.groupBy("pivot").count().filter(F.col("count") > 16 * BLOCK).collect()
+    salts = F.coalesce(F.create_map(*(F.lit(v) for r in large for v in (r["pivot"], -(-r["count"] // (16 * BLOCK)))))[F.col("pivot")], F.lit(1)) if large else F.lit(1)
+    salt = F.pmod(F.xxhash64("node", "pivot"), salts)
     return blocks.groupBy("pivot", salt.alias("salt")).applyInPandas(near, "a long, b long, d double")
 
 
@@ -132,10 +160,11 @@ def introduced(meetings: DataFrame) -> DataFrame:
     return meetings.repartition("m").sortWithinPartitions("m").mapInArrow(pairs, "a long, b long, d double")
 
 
-def build_graph(nodes: DataFrame, n: int, k: int = 24, reverse: int = 24, rounds: int = 4, least_gain: float = 0.003) -> DataFrame:
-    """a, b, d: about the k nearest other nodes of each. Ends after `rounds`
-    rounds of introductions, or when one shortens the neighbours' distances, in
-    sum, by less than a share of least_gain."""
+def build_graph(nodes: DataFrame, n: int, k: int = 48, reverse: int = 48, rounds: int = 12, least_gain: float = 0.003, watch: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
+    """a, b, d: about the k nearest other nodes of each. Ends when a round of
+    introductions shortens the neighbours' distances, in sum, by less than a
+    share of least_gain, or after `rounds` rounds. watch: gets the start as
+    round 0, then each round's graph."""
     spark = nodes.sparkSession
 
     def stored(edges: DataFrame) -> tuple[str, DataFrame, float]:
@@ -145,7 +174,9 @@ def build_graph(nodes: DataFrame, n: int, k: int = 24, reverse: int = 24, rounds
         return path, graph, graph.agg(F.sum(F.least("d", F.lit(1e300)))).first()[0] or 0.0
 
     path, graph, total = stored(merged(first_graph(nodes, n, k), k))
-    for _ in range(rounds):
+    if watch:
+        watch(0, graph)
+    for at in range(rounds):
         full = F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(float("inf"))
         reach = graph.groupBy("a").agg(full.alias("r"))
         known = nodes.join(reach, nodes["node"] == reach["a"], "left").select(F.col("node").alias("a"), F.coalesce("r", F.lit(float("inf"))).alias("r"), F.col("vector").cast("array<float>").alias("vector"))
@@ -153,6 +184,8 @@ def build_graph(nodes: DataFrame, n: int, k: int = 24, reverse: int = 24, rounds
         old, before = path, total
         path, graph, total = stored(merged(graph.union(introduced(meetings)), k))
         drop_path(spark, old)
+        if watch:
+            watch(at + 1, graph)
         if before - total <= least_gain * before:
             break
     return graph
@@ -187,7 +220,7 @@ def greedy_search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: i
     return beams.filter("q != node").select("q", "node", "d")
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = 24) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = 48) -> DataFrame:
     """query_id, rank, id, score: about the k nearest rows (Euclidean) of each
     row where is_query (on the id column) holds, itself left out; distances are
     exact. Every row is indexed."""

@@ -1,7 +1,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallymark.llm.nn_descent import search
+from tallymark.llm import nn_descent
+from tallymark.llm.nn_descent import build_graph, pivot_lookup, search
 from tallymark.llm.queries import op10_nn_descent
 
 LARGER = "/root/testdata/sf0.1"
@@ -61,3 +62,30 @@ def test_edge_cases(spark):
     assert search(df.limit(0), F.col("vec_id") % 100 == 0, 10).count() == 0
     alone = df.filter("vec_id = 100")
     assert search(alone, F.col("vec_id") % 100 == 0, 10).count() == 0
+
+
+def test_the_descent_finds_what_the_start_does_not(spark):
+    rows = spark.read.parquet(f"{LARGER}/embeddings.parquet").select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("vector"))
+    ids, x = (np.array(v) for v in zip(*((r.node, r.vector) for r in rows.collect()), strict=True))
+    queries = [i for i in ids.tolist() if i % 20 == 0]
+    expected = {q: {i for _, i in own} for q, own in brute(ids, x, queries, 10).items()}
+    recall = []
+
+    def watch(at, graph):
+        near = {}
+        for r in graph.filter(F.col("a").isin(queries)).orderBy("d").collect():
+            near.setdefault(r.a, []).append(r.b)
+        recall.append(sum(len(set(near.get(q, [])[:10]) & expected[q]) for q in queries) / (10 * len(queries)))
+
+    build_graph(rows, len(ids), watch=watch)
+    assert recall[0] < 0.7 and recall[-1] > 0.95 and len(recall) > 2
+
+
+def test_pivots_by_groups_are_nearly_the_nearest(monkeypatch):
+    rng = np.random.default_rng(3)
+    centre, x = (rng.standard_normal((n, 8)).astype(np.float32) for n in (900, 400))
+    exact = pivot_lookup(centre, 2)(x)
+    assert (exact[:, 0] == [((centre - v) ** 2).sum(axis=1).argmin() for v in x]).all()
+    monkeypatch.setattr(nn_descent, "FLAT", 100)
+    found = pivot_lookup(centre, 2)(x)
+    assert (found[:, 0] != found[:, 1]).all() and (found == exact).mean() > 0.9
