@@ -116,9 +116,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
+def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """One row of each component, whatever the ids: the smallest by id (nulls
+    last), a hash of the row's id and text, and a number that tells equal rows
+    apart. Columns are unchanged."""
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull())
+    numbered = written(docs.select(F.struct("*").alias("row"), key.alias("key"), F.monotonically_increasing_id().alias("tie")), "simhash-rows")
+    id_of, text_of = F.col("row")[id_col], F.col("row")[text_col]
+    at = F.struct(id_of.isNull().alias("none"), id_of.alias("id"), "key", "tie")
+    # the fingerprint's id is the whole order, as one struct that min() compares
+    fps = written(fingerprints(numbered.select(at.alias("at"), text_of.alias("text")), "at", "text", words), "simhash")
+    each = fps.groupBy("fp").agg(F.min("id").alias("first"))
+    roots = connected_components(links(each.select("fp")))
+    rooted = each.join(roots, each["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.tie").alias("tie"))
+    return numbered.join(winners, "tie", "left_semi").select("row.*")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """The rows of docs whose id is its component's: one of each group, the
-    smallest id. Rows without an id stay. Columns are unchanged."""
+    smallest id. Rows without an id stay, and an id goes or stays with all its
+    rows, so ids must be distinct; keep_rows() needs no such thing. Columns are
+    unchanged."""
     found = near_duplicates(docs, id_col, text_col, words)
     losers = found.filter(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("_id"))
     return docs.join(losers, docs[id_col] == losers["_id"], "left_anti")

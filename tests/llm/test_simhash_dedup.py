@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.components import connected_components
 from tallymark.llm.queries import op7_simhash_dedup
-from tallymark.llm.simhash_dedup import fingerprint, fingerprints, keep_one, links, near_duplicates
+from tallymark.llm.simhash_dedup import fingerprint, fingerprints, keep_one, keep_rows, links, near_duplicates
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -119,3 +119,12 @@ def test_edge_cases(spark):
     assert sorted(str(r.doc_id) for r in keep_one(df).collect()) == ["1", "3", "7", "7", "None"] and keep_one(df).columns == df.columns
     assert near_duplicates(df.limit(0)).count() == 0 and keep_one(df.limit(0)).count() == 0
     assert fingerprints(df.filter(F.col("doc_id") == 3)).first().fp == 0
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    rows = [(5, None), (None, ""), (None, " "), (1, "a b c d"), (7, "A b c d"), (7, "the only one of its kind"), (8, "e f g h"), (8, "e f g h"), (None, "i j k l"), (None, "i j k l"), (None, "m n o p")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = [tuple(r) for r in keep_rows(df).collect()]
+    expected = [(5, None), (1, "a b c d"), (7, "the only one of its kind"), (8, "e f g h"), (None, "i j k l"), (None, "m n o p")]
+    assert Counter(found) == Counter(expected) and keep_rows(df).columns == df.columns
+    assert keep_rows(df.limit(0)).count() == 0
