@@ -7,6 +7,9 @@ are tried as the length to open (a piece that needs more gets the least that
 holds it); every bin is then downsized to the least length that holds its
 contents, and the trial with the least total cost is the shard's answer.
 
+With an order given, shards are consecutive ranges of it instead, and bins are
+numbered in it, so that read by number the sequences follow it.
+
 Defined cases: a null or negative size counts as 0, and an empty text is one
 piece of length 0; ties in length go by id and piece; rows that repeat an id
 are packed each. Every position of every text is in exactly one piece.
@@ -18,7 +21,7 @@ from bisect import bisect_left, insort
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LENGTHS = (2048, 4096, 8192, 16384)
@@ -59,26 +62,41 @@ def pack_shard(sizes: Sequence[int], lengths: Sequence[int], cost: Callable[[int
     return min(trials, key=lambda t: sum(map(cost, t[1])))
 
 
-def pack(docs: DataFrame, size: Column, id_col: str = "doc_id", lengths: Sequence[int] = LENGTHS, cost: Callable[[int], float] = sequence_cost) -> DataFrame:
+def pack(docs: DataFrame, size: Column, id_col: str = "doc_id", lengths: Sequence[int] = LENGTHS, cost: Callable[[int], float] = sequence_cost, order: Sequence[str] = ()) -> DataFrame:
     """id, piece (number within its row), start and length (its span), bin,
-    bin_length, bin_start (where in the bin the piece goes): all pieces."""
+    bin_length, bin_start (where in the bin the piece goes): all pieces.
+    order: columns of docs to keep the order of. The first is a number that a
+    bounded count of rows share, such as a slot of source_mix.mix()."""
     largest = max(lengths)
-    rows = docs.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long").alias("size"), *(F.col(c).alias(f"_by{k}") for k, c in enumerate(order)))
+    by = [f"_by{k}" for k in range(len(order))]
     n = F.greatest(F.ceil(F.col("size") / largest), F.lit(1))
-    totals = rows.agg(F.sum(n)).first()
-    shards = max(1, int(totals[0] or 0) // SHARD)
-    pieces = rows.select("id", "size", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("piece"))
+    pieces = rows.select("id", "size", *by, F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("piece"))
     start = F.col("piece").cast("long") * largest
-    pieces = pieces.select("id", "piece", start.alias("start"), F.least(F.lit(largest), F.col("size") - start).alias("length"))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "length", F.lit(31)), F.lit(shards)))
+    pieces = pieces.select("id", "piece", *by, start.alias("start"), F.least(F.lit(largest), F.col("size") - start).alias("length"))
+    if by:
+        # how many pieces each slot's predecessors have: a row for each slot
+        slots = rows.groupBy("_by0").agg(F.sum(n).alias("own"))
+        slots = slots.select(F.col("_by0").alias("_slot"), (F.sum("own").over(Window.orderBy("_by0")) - F.col("own")).alias("_before"))
+        within = F.row_number().over(Window.partitionBy("_by0").orderBy(*by[1:], "id", "piece"))
+        pieces = pieces.withColumn("_within", within).join(slots, F.col("_by0") == F.col("_slot"))
+        place = (F.col("_before") + F.col("_within") - 1).cast("long")
+        pieces = pieces.select("id", "piece", "start", "length", place.alias("place"), F.floor(place / SHARD).alias("shard"))
+    else:
+        totals = rows.agg(F.sum(n)).first()
+        shards = max(1, int(totals[0] or 0) // SHARD)
+        pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "length", F.lit(31)), F.lit(shards)))
 
     def packed(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "id", "piece"], ascending=[False, True, True]).reset_index(drop=True)
         where, found = pack_shard(part["length"].tolist(), lengths, cost)
-        part["bin"] = part["shard"] * (1 << 24) + pd.Series(where, dtype="int64")
+        number = pd.Series(where, dtype="int64")
         part["bin_length"] = pd.Series([found[k] for k in where], dtype="int64")
+        if by:
+            number = part["place"].groupby(number).transform("min").rank(method="dense").astype("int64") - 1
+        part["bin"] = part["shard"] * (1 << 24) + number
         part["bin_start"] = part.groupby("bin")["length"].cumsum() - part["length"]
-        return part.drop(columns="shard")
+        return part[["id", "piece", "start", "length", "bin", "bin_length", "bin_start"]]
 
     kind = rows.schema["id"].dataType.simpleString()
     out = pieces.groupBy("shard").applyInPandas(packed, f"id {kind}, piece int, start long, length long, bin long, bin_length long, bin_start long")

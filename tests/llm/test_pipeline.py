@@ -79,3 +79,25 @@ def test_only_the_result_is_left_behind(spark):
     corpus_pipeline.run(spark, SMALL).count()
     left = {x for x in set(os.listdir(top)) - before if not x.startswith(".")}
     assert len(left) == 1 and next(iter(left)).startswith("pipeline-packing")
+
+
+def test_sequences_follow_the_mix(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tallymark.llm import packing, source_mix
+
+    monkeypatch.setattr(packing, "SHARD", 400)
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 20_000).alias("text"), F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("source"))
+    slot = {r.doc_id: (r.slot, r.source) for r in source_mix.mix(docs, F.char_length("text")).select("row.doc_id", "row.source", "slot").collect()}
+    rows = corpus_pipeline.pack_sequences(spark, docs, SMALL).collect()
+    check(rows, {i: 20_000 for i in range(1200)}, LENGTHS)
+    shards = {}
+    for r in rows:
+        shards.setdefault(r.bin >> 24, []).append((*slot[r.doc_id], r.length))
+    spans = [(min(s for s, _, _ in own), max(s for s, _, _ in own)) for _, own in sorted(shards.items())]
+    assert len(spans) == 6 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    # until a source is used up, no more than a block (of 24) away from the target
+    target, done, b = 1 / (1 + 3**0.7), 0, 0
+    for _, own in sorted(shards.items())[:3]:
+        done, b = done + sum(n for _, _, n in own), b + sum(n for _, s, n in own if s == "b")
+        assert abs(b - target * done) <= 1.1 * (1 << 20)
