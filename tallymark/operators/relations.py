@@ -62,10 +62,18 @@ def latest_before(rows: DataFrame, bound: Column, *by: str, time: str = "eventTi
     return top.select(*by, "r.*")
 
 
-def out_of_order(rows: DataFrame, by: str, arrival: str, time: str = "eventTime") -> DataFrame:
-    """Per group, how often the time falls from one arrival to the next."""
-    before = F.lag(time).over(Window.partitionBy(by).orderBy(arrival))
-    return rows.select(by, (F.col(time) < before).alias("falls")).groupBy(by).agg(F.count(F.when(F.col("falls"), 1)).alias("falls"))
+def out_of_order(rows: DataFrame, by: str, arrival: str, time: str = "eventTime", bucket: int = 1 << 20) -> DataFrame:
+    """Per group, how often the time falls from one arrival to the next.
+    arrival: a number. Arrivals are cut into buckets of that many numbers; falls
+    are counted within each, then between the last time of one bucket and the
+    first of the next, so a large group is worked on by many tasks."""
+    own = rows.withColumn("_bucket", F.floor(F.col(arrival) / bucket))
+    before = F.lag(time).over(Window.partitionBy(by, "_bucket").orderBy(arrival))
+    each = own.withColumn("_falls", (F.col(time) < before).cast("bigint")).groupBy(by, "_bucket")
+    each = each.agg(F.coalesce(F.sum("_falls"), F.lit(0)).alias("falls"), F.min_by(time, arrival).alias("first"), F.max_by(time, arrival).alias("last"))
+    between = F.lag("last").over(Window.partitionBy(by).orderBy("_bucket"))
+    each = each.withColumn("falls", F.col("falls") + F.coalesce((F.col("first") < between).cast("bigint"), F.lit(0)))
+    return each.groupBy(by).agg(F.sum("falls").alias("falls"))
 
 
 def take(rows: DataFrame, n: int, *order: str) -> DataFrame:

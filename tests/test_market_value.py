@@ -1,104 +1,126 @@
-"""Windows of a minute: (value, time) pairs in, (window, quantity, price) out."""
+"""Values at closes against a plain recomputation over generated streams."""
 
+import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallymark import schemas
 from tallymark.functions.times import next_boundary
+from tallymark.operators import relations
 from tallymark.operators.closing import horizon
 from tallymark.operators.market_value import value_at_close
 from tallymark.plans import checks
 
-MINUTE = 60_000
+WINDOW = 7_000
+KEYS = [("east/x/QRX", "QRX"), ("west/x/QRX", "QRX"), ("west/y/UVO", "UVO"), ("east/x/ZED", "ZED"), ("solo", "solo")]
 
 
-def positions(spark, *rows):
-    """rows: key, quantity, time."""
-    found, seen = [], {}
-    for i, (key, quantity, at) in enumerate(rows):
+def generated(seed, n_held=60, n_ticks=50, span=40 * WINDOW):
+    """Positions and ticks in no order, on boundaries and at equal times too;
+    QRX's ticks end early, ZED has none, and the key solo is a symbol itself."""
+    draw = random.Random(seed)
+    at = lambda most: draw.choice([draw.randrange(most), draw.randrange(0, most, WINDOW)])
+    held, seen = [], {}
+    for t in sorted(at(span) for _ in range(n_held)):
+        key, symbol = draw.choice(KEYS)
         seen[key] = seen.get(key, 0) + 1
-        found.append((at, key, f"T{i:09d}", quantity, key.rpartition("/")[2], seen[key]))
-    return spark.createDataFrame(found, schemas.POSITION)
-
-
-def prices(spark, *rows):
-    found = [(at, Decimal(price), symbol, i) for i, (symbol, price, at) in enumerate(rows)]
-    return spark.createDataFrame(found, schemas.PRICE + ", seq BIGINT")
-
-
-def values(spark, held, ticks, until, **options):
-    from pyspark.sql import functions as F
-
-    df = value_at_close(positions(spark, *held), prices(spark, *ticks), MINUTE, until=F.lit(until).cast("bigint"), **options)
-    rows = df.orderBy("key", "windowEnd").collect()
-    assert all(r.marketValue == r.price * r.quantity for r in rows)
-    return [(r.windowEnd, r.quantity, float(r.price)) for r in rows]
-
-
-A = "AAPL"
-CASES = {
-    "value at close": ([(A, 400, 1000)], [(A, "100.00", 1000), (A, "101.25", 50000)], 60000, [(60000, 400, 101.25)]),
-    "price after the boundary": ([(A, 400, 1000)], [(A, "100", 1000), (A, "200", 70000)], 120000, [(60000, 400, 100), (120000, 400, 200)]),
-    "quiet key": ([(A, 400, 1000)], [(A, "100", 1000)], 180000, [(60000, 400, 100), (120000, 400, 100), (180000, 400, 100)]),
-    "short": ([(A, -300, 1000)], [(A, "100", 1000)], 60000, [(60000, -300, 100)]),
-    "no price yet": ([(A, 400, 1000)], [(A, "100", 61000)], 120000, [(120000, 400, 100)]),
-    "latest position wins": ([(A, 100, 1000), (A, 250, 30000), (A, 175, 59000)], [(A, "10", 1000)], 60000, [(60000, 175, 10)]),
-    "catch-up": ([(A, 100, 1000)], [(A, "10", 1000)], 180000, [(60000, 100, 10), (120000, 100, 10), (180000, 100, 10)]),
-    "own closing price": ([(A, 100, 1000)], [(A, "10", 30000), (A, "20", 90000), (A, "30", 150000)], 180000, [(60000, 100, 10), (120000, 100, 20), (180000, 100, 30)]),
-    "price falls back": ([(A, 100, 1000)], [(A, "10", 30000)], 120000, [(60000, 100, 10), (120000, 100, 10)]),
-    "own closing position": ([(A, 100, 30000), (A, 250, 65000), (A, 400, 100000)], [(A, "1", 0)], 120000, [(60000, 100, 1), (120000, 400, 1)]),
-    "out of order": ([(A, 100, 50000), (A, 250, 55000), (A, 175, 52000)], [(A, "1", 0)], 60000, [(60000, 250, 1)]),
-    "quiet window inherits": ([(A, 700, 30000)], [(A, "1", 0)], 180000, [(60000, 700, 1), (120000, 700, 1), (180000, 700, 1)]),
-    "on a boundary": ([(A, 5, 60000)], [(A, "1", 60000)], 120000, [(120000, 5, 1)]),
-    "equal times": ([(A, 1, 1000), (A, 2, 1000)], [(A, "1", 0)], 60000, [(60000, 2, 1)]),
-    "account keys": ([("ACC1/SUB1/MSFT", 5, 1000)], [(A, "100", 0), ("MSFT", "200", 0)], 60000, [(60000, 5, 200)]),
-}
+        held.append((t, key, f"T{len(held):09d}", draw.randint(-90, 90), symbol, seen[key]))
+    ticks = []
+    for t in sorted(at(span) for _ in range(n_ticks)):
+        symbol = draw.choice(["QRX", "UVO", "solo"])
+        ticks.append((t // 3 if symbol == "QRX" else t, Decimal(draw.randint(1, 400)) / 4, symbol, len(ticks)))
+    return draw.sample(held, len(held)), draw.sample(ticks, len(ticks))
+
+
+def plain(held, ticks, until, reach):
+    """Each key at each close, from all that came before it."""
+    found = []
+    for key, symbol in {(h[1], h[4]) for h in held}:
+        own = sorted((h for h in held if h[1] == key), key=lambda h: (h[0], h[5]))
+        for end in range(own[0][0] // WINDOW * WINDOW + WINDOW, until + 1, WINDOW):
+            last = [h for h in own if h[0] < end][-1]
+            near = sorted((t[0], t[3], t[1]) for t in ticks if t[2] == symbol and t[0] < end and (reach is None or end - (t[0] // WINDOW + 1) * WINDOW < reach * WINDOW))
+            if near:
+                found.append((key, symbol, last[3], near[-1][2], last[3] * near[-1][2], last[2], end))
+    return sorted(found)
+
 
+def streams(spark, held, ticks):
+    return spark.createDataFrame(held, schemas.POSITION), spark.createDataFrame(ticks, schemas.PRICE + ", seq BIGINT")
 
-@pytest.mark.parametrize("name", CASES)
-def test_case(spark, name):
-    held, ticks, until, expected = CASES[name]
-    assert values(spark, held, ticks, until) == expected
 
+def rows_of(df):
+    return sorted((r.key, r.symbol, r.quantity, r.price, r.marketValue, r.lastTradeId, r.windowEnd) for r in df.collect())
 
-def test_keys_are_independent(spark):
-    assert values(spark, [(A, 10, 1000), ("MSFT", 20, 1000)], [(A, "100", 0), ("MSFT", "200", 0)], 60000) == [(60000, 10, 100), (60000, 20, 200)]
 
+@pytest.mark.parametrize("reach", [1, 4, 240, None])
+@pytest.mark.parametrize("seed", [11, 12])
+def test_values_equal_the_plain_ones(spark, seed, reach):
+    held, ticks = generated(seed)
+    until = 44 * WINDOW
+    found = rows_of(value_at_close(*streams(spark, held, ticks), WINDOW, price_windows=reach, until=F.lit(until).cast("bigint")))
+    assert found == plain(held, ticks, until, reach)
+    assert len(found) > 40 and not any(r[1] == "ZED" for r in found)
 
-def test_prices_reach_239_windows_and_no_further(spark):
-    found = values(spark, [(A, 1, 0)], [(A, "7", 0)], 300 * MINUTE)
-    assert [w for w, _, _ in found] == [k * MINUTE for k in range(1, 241)]
-    assert len(values(spark, [(A, 1, 0)], [(A, "7", 0)], 300 * MINUTE, price_windows=None)) == 300
+
+def test_a_price_reaches_as_far_as_it_should(spark):
+    held, ticks = [(WINDOW * 3 + 1, "UVO", "T000000000", 8, "UVO", 1)], [(WINDOW * 2, Decimal("3.25"), "UVO", 0)]
+    found = value_at_close(*streams(spark, held, ticks), WINDOW, price_windows=240, until=F.lit(WINDOW * 400).cast("bigint"))
+    assert [r[6] // WINDOW for r in rows_of(found)] == list(range(4, 243))
 
 
 def test_boundaries(spark):
-    times = [0, 1, 59_999, 60_000, -1, -60_000]
+    times = [t + k * 7_000 for t in (0, 1, 6_999) for k in (-2, -1, 0, 5)]
     df = spark.createDataFrame([(t,) for t in times], "t bigint")
-    assert [r[0] for r in df.select(next_boundary("t", MINUTE)).collect()] == [60_000, 60_000, 60_000, 120_000, 0, 0]
+    assert [r[0] for r in df.select(next_boundary("t", 7_000)).collect()] == [(t // 7_000 + 1) * 7_000 for t in times]
 
 
 def test_the_last_window_stays_open(spark):
-    held, ticks = positions(spark, (A, 1, 1000), (A, 2, 130_000)), prices(spark, (A, "1", 0), (A, "2", 190_000))
-    until = lambda delay: spark.range(1).select(horizon(held, ticks, MINUTE, delay)).first()[0]
-    assert until(0) == 120_000 and until(20_000) == 60_000
-    assert value_at_close(held, prices(spark), MINUTE).count() == 0
+    held, ticks = streams(spark, *generated(13))
+    last = min(held.agg(F.max("eventTime")).first()[0], ticks.agg(F.max("eventTime")).first()[0])
+    for delay in (0, 1, WINDOW, 9 * WINDOW + 5):
+        assert spark.range(1).select(horizon(held, ticks, WINDOW, delay)).first()[0] == (last - delay - 1) // WINDOW * WINDOW
+    assert value_at_close(held, ticks.limit(0), WINDOW).count() == 0
+
+
+@pytest.fixture(scope="module")
+def sound(spark):
+    held, ticks = generated(14, n_held=30)
+    held, ticks = streams(spark, [h for h in held if h[4] != "ZED"], ticks)
+    mv = value_at_close(held, ticks, WINDOW)
+    rows = rows_of(mv)
+    # from each key's first close on, prices are known throughout, so that a missing row is a gap
+    return held, ticks, spark.createDataFrame([(r[0], r[1], r[2], r[3], r[4], r[5], r[6]) for r in rows], "key string, symbol string, quantity long, price decimal(18,2), marketValue decimal(38,2), lastTradeId string, windowEnd long")
+
+
+def failed(mv, held, ticks):
+    return {r.name.removeprefix("mv ") for r in checks.values(mv, held, ticks, WINDOW, mv.select("key").distinct().count(), "mv").collect() if not r.ok}
+
+
+FAULTS = {
+    "a row less": (lambda mv, at: mv.filter(~at), {"keys with a gap"}),
+    "a row twice": (lambda mv, at: mv.union(mv.filter(at)), {"duplicates", "keys with a gap"}),
+    "another price": (lambda mv, at: mv.withColumn("price", F.when(at, F.col("price") + 1).otherwise(F.col("price"))), {"wrong values", "prices unlike the close"}),
+    "another quantity": (lambda mv, at: mv.withColumn("quantity", F.when(at, F.col("quantity") - 3).otherwise(F.col("quantity"))).withColumn("marketValue", (F.col("quantity") * F.col("price")).cast("decimal(38,2)")), {"quantities unlike the close"}),
+}
+
 
+def test_checks_pass_on_sound_values(sound):
+    assert failed(sound[2], *sound[:2]) == set()
 
-def failed(df):
-    return {r.name for r in df.collect() if not r.ok}
 
+@pytest.mark.parametrize("name", FAULTS)
+def test_checks_find_faults(sound, name):
+    held, ticks, mv = sound
+    key, first, last = mv.groupBy("key").agg(F.min("windowEnd").alias("a"), F.max("windowEnd").alias("b")).filter("b - a > 20000").orderBy("key").first()
+    fault, found = FAULTS[name]
+    wrong = fault(mv, (F.col("key") == key) & (F.col("windowEnd") == first + WINDOW))
+    assert failed(wrong, held, ticks) == found
 
-def test_checks_pass_on_right_values_and_find_wrong_ones(spark):
-    from pyspark.sql import functions as F
 
-    held, ticks = positions(spark, (A, 1, 1000), (A, 2, 70_000), (A, 3, 250_000)), prices(spark, (A, "1", 0), (A, "2", 100_000), (A, "3", 250_000))
-    mv = value_at_close(held, ticks, MINUTE)
-    run = lambda x: failed(checks.values(x, held, ticks, MINUTE, 1, "mv"))
-    assert run(mv) == set()
-    second = F.col("windowEnd") == 120_000
-    assert run(mv.filter(~second)) == {"mv keys with a gap"}
-    assert run(mv.union(mv.filter(second))) == {"mv duplicates", "mv keys with a gap"}
-    assert run(mv.withColumn("price", F.when(second, F.col("price") + 1).otherwise(F.col("price")))) == {"mv wrong values", "mv prices unlike the close"}
-    more = mv.withColumn("quantity", F.when(second, F.col("quantity") + 1).otherwise(F.col("quantity"))).withColumn("marketValue", (F.col("quantity") * F.col("price")).cast("decimal(38,2)"))
-    assert run(more) == {"mv quantities unlike the close"}
+def test_keys_absent_from_the_last_window_and_gaps_are_found(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 3), ("c", 2)], "key string, windowEnd long")
+    assert [r.key for r in relations.absent_from_last(df).collect()] == ["c"]
+    assert {r.key: r.gaps for r in relations.gaps(df, 1).collect()} == {"a": 0, "b": 1, "c": 0}
