@@ -21,6 +21,7 @@ smallest that isn't null.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,29 +29,41 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import written
 from .components import connected_components
 
 #: Shingles hashed at once, so that a very long text needs no more memory.
 CHUNK = 1 << 16
+#: Of the long fingerprints: their 64-bit lanes, and the bits of a segment.
+LANES, SEGMENT = 5, 20
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """64-bit SimHash of the shingles, repeats included, as a signed long."""
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles, repeats included, CHUNK at a time."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return
     n = max(1, len(found) - words + 1)
     whole, end = b" ".join(found), np.cumsum([len(w) + 1 for w in found]) - 1
     start = np.concatenate(([0], end[:-1] + 1))
     starts, ends = start[:n].tolist(), end[min(words, len(found)) - 1 :].tolist()
-    set_in = np.zeros(64, np.int64)
     h = xxhash.xxh64_intdigest
     for at in range(0, n, CHUNK):
-        hashes = np.array([h(whole[s:e], 42) for s, e in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], dtype=">u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-        set_in += bits.sum(axis=0, dtype=np.int32)
+        yield np.array([h(whole[s:e], 42) for s, e in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], dtype=np.uint64)
+
+
+def bits_set(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each bit is 1, the highest bit first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """64-bit SimHash of the shingles, repeats included, as a signed long."""
+    set_in, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, words):
+        set_in, n = set_in + bits_set(hashes), n + len(hashes)
     return int(np.packbits(2 * set_in > n).view(">i8")[0])
 
 
@@ -116,28 +129,117 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
-def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """One row of each component, whatever the ids: the smallest by id (nulls
-    last), a hash of the row's id and text, and a number that tells equal rows
-    apart. Columns are unchanged."""
+def wide_fingerprint(text: str | None, words: int) -> tuple[list[int], int]:
+    """LANES * 64 bits of SimHash over the distinct shingles, as signed longs,
+    and the number of shingles. Each lane spreads the hashes anew."""
+    parts = list(shingle_hashes(text, words))
+    if not parts:
+        return [0] * LANES, 0
+    hashes, lanes = np.unique(np.concatenate(parts)), []
+    for lane in range(LANES):
+        set_in = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), CHUNK):
+            x = hashes[at : at + CHUNK] * np.uint64(0x9E3779B97F4A7C15 + 2 * lane)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            set_in += bits_set(x ^ (x >> np.uint64(32)))
+        lanes.append(int(np.packbits(2 * set_in > len(hashes)).view(">i8")[0]))
+    return lanes, len(hashes)
+
+
+def wide_fingerprints(rows: DataFrame, words: int) -> DataFrame:
+    """rows: at, body. Returns at, w (lanes) and n (shingles) for every row; no shuffle."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(x.as_py(), words) for x in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.int64())], names=["at", "w", "n"])
+
+    schema = StructType([rows.schema["at"], StructField("w", ArrayType(LongType())), StructField("n", LongType())])
+    return rows.select("at", "body").mapInArrow(made, schema)
+
+
+def wide_variants(nodes: DataFrame, similarity: float) -> DataFrame:
+    """nodes: node, w, n. One row for each segment of SEGMENT bits and each bit
+    of it wiped out: variant, node. Texts whose numbers of shingles can't give
+    the similarity are mostly kept apart: a variant holds the band of fourfold
+    sizes, and a text near a band's upper end stands in the next one too."""
+    size = F.greatest("n", F.lit(1)).cast("double")
+    band = lambda x: F.floor(F.log2(x) / 2).cast("bigint")
+    own = nodes.select("node", "w", F.explode(F.array_distinct(F.array(band(size), band(size / similarity)))).alias("band"))
+    per_lane = 64 // SEGMENT
+    own = own.select("node", "w", "band", F.explode(F.sequence(F.lit(0), F.lit(LANES * per_lane - 1))).alias("s"))
+    bits = F.expr(f"shiftrightunsigned(w[s div {per_lane}], cast(s % {per_lane} * {SEGMENT} as int))").bitwiseAND(F.lit((1 << SEGMENT) - 1))
+    own = own.select("node", "band", "s", bits.alias("bits"), F.explode(F.sequence(F.lit(0), F.lit(SEGMENT - 1))).alias("bit"))
+    wiped = F.col("bits").bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, bit)")))
+    place = (F.col("band") * (LANES * per_lane) + F.col("s")) * SEGMENT + F.col("bit")
+    return own.select((place * F.lit(1 << SEGMENT) + wiped).alias("variant"), "node")
+
+
+def met(variants: DataFrame, most_bits: int, neighbours: int) -> DataFrame:
+    """a, b: nodes that share a variant and whose first lanes differ by
+    most_bits or fewer. A variant's nodes stand together, in an order of their
+    own for each variant, and each meets the `neighbours` before it: all others,
+    if there are no more than these."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            fresh = len(key)
+            key, node = np.concatenate((key, batch.column(0).to_numpy())), np.concatenate((node, batch.column(1).to_numpy()))
+            rows, a, b = np.arange(fresh, len(key)), [], []
+            for k in range(1, neighbours + 1):
+                rows = rows[rows >= k]
+                rows = rows[key[rows] == key[rows - k]]
+                if not len(rows):
+                    break
+                near = np.bitwise_count((node[rows] ^ node[rows - k]).view(np.uint64)) <= most_bits
+                a.append(node[rows[near]])
+                b.append(node[rows[near] - k])
+            if a:
+                x = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0)
+                yield pa.record_batch([pa.array(x.min(axis=1)), pa.array(x.max(axis=1))], names=["a", "b"])
+            key, node = key[-neighbours:], node[-neighbours:]
+
+    dealt = variants.repartition("variant").sortWithinPartitions("variant", F.xxhash64("node", "variant"), "node")
+    return dealt.mapInArrow(pairs, "a bigint, b bigint").distinct()
+
+
+def bits_for(similarity: float, bits: int, slack: float = 0.0) -> int:
+    """How many of `bits` differ, on average, between texts of equal size with
+    that Jaccard similarity; and `slack` standard deviations more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def similar_links(nodes: DataFrame, similarity: float, neighbours: int = 64) -> DataFrame:
+    """nodes: node (the first lane), w, n. Pairs a, b of nodes whose fingerprints
+    differ by no more bits than the similarity gives on average."""
+    found = written(met(wide_variants(nodes, similarity), bits_for(similarity, 64, 4), neighbours), "simhash-met")
+    w = nodes.select("node", "w")
+    both = found.join(w.toDF("a", "wa"), "a").join(w.toDF("b", "wb"), "b")
+    differ = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.filter(differ <= bits_for(similarity, 64 * LANES)).select("a", "b")
+
+
+def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of texts with about that Jaccard similarity of
+    their word shingles, or more: the smallest by id (nulls last), a hash of the
+    row's id and text, and a number that tells equal rows apart.
+
+    Such texts differ in far more bits than deletion variants of halves allow, so
+    fingerprints are LANES times as long and cut into segments of SEGMENT bits,
+    and it's enough if one segment differs by one bit at most. Pairs that meet so
+    are linked by their distance over all bits. At a similarity of exactly 0.8 a
+    pair meets with a probability of 0.94, at 0.9 of 0.999."""
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull())
     numbered = written(docs.select(F.struct("*").alias("row"), key.alias("key"), F.monotonically_increasing_id().alias("tie")), "simhash-rows")
     id_of, text_of = F.col("row")[id_col], F.col("row")[text_col]
     at = F.struct(id_of.isNull().alias("none"), id_of.alias("id"), "key", "tie")
-    # the fingerprint's id is the whole order, as one struct that min() compares
-    fps = written(fingerprints(numbered.select(at.alias("at"), text_of.alias("text")), "at", "text", words), "simhash")
-    each = fps.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = connected_components(links(each.select("fp")))
-    rooted = each.join(roots, each["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    fps = written(wide_fingerprints(numbered.select(at.alias("at"), text_of.alias("body")), words), "simhash")
+    # texts of equal first lanes are one node: of similar ones at 0.8, one in 40,000 pairs has that
+    first = F.col("w")[0]
+    nodes = written(fps.groupBy(first.alias("node")).agg(F.min("at").alias("first"), F.min(F.struct("w", "n")).alias("x")).select("node", "first", "x.w", "x.n"), "simhash-nodes")
+    roots = connected_components(similar_links(nodes, similarity))
+    rooted = nodes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("first", F.coalesce("root", "node").alias("root"))
     winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.tie").alias("tie"))
     return numbered.join(winners, "tie", "left_semi").select("row.*")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """The rows of docs whose id is its component's: one of each group, the
-    smallest id. Rows without an id stay, and an id goes or stays with all its
-    rows, so ids must be distinct; keep_rows() needs no such thing. Columns are
-    unchanged."""
-    found = near_duplicates(docs, id_col, text_col, words)
-    losers = found.filter(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("_id"))
-    return docs.join(losers, docs[id_col] == losers["_id"], "left_anti")

@@ -4,7 +4,7 @@ import corpus_pipeline
 from tallymark.llm.packing import LENGTHS
 from tests.llm.test_line_dedup import brute as plain_lines
 from tests.llm.test_packing import check
-from tests.llm.test_simhash_dedup import components, linked, plain
+from tests.llm.test_simhash_dedup import shingles
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -26,14 +26,11 @@ def test_stages_against_brute_force(spark):
             rows = [(i, r.text) for i, r in sorted(before.items())]
             assert {i: (r.text, r.n_chars) for i, r in after.items()} == {i: (t, len(t)) for i, t, _, _ in plain_lines(rows)}
         elif name == "simhash_dedup":
-            first = {}
-            for i in sorted(before):
-                first.setdefault(plain(before[i].text), i)
-            root = components(linked(sorted(first)), list(first))
-            least = {}
-            for f, r in root.items():
-                least[r] = min(least.get(r, first[f]), first[f])
-            assert after == {i: before[i] for i in least.values()} and len(after) < len(before)
+            sets = {i: shingles(r.text) for i, r in before.items()}
+            alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in before for j in before if i < j}
+            assert all(after[i] == before[i] for i in after) and len(after) < len(before)
+            assert not [p for p, x in alike.items() if x >= 0.88 and p[0] in after and p[1] in after]
+            assert all(max(alike[min(i, j), max(i, j)] for j in before if j != i) >= 0.72 for i in before if i not in after)
         elif name == "source_mix":
             assert after == before
         else:

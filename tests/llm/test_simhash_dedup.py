@@ -1,12 +1,13 @@
+import itertools
 import random
 from collections import Counter
 
+import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from tallymark.llm.components import connected_components
 from tallymark.llm.queries import op7_simhash_dedup
-from tallymark.llm.simhash_dedup import fingerprint, fingerprints, keep_one, keep_rows, links, near_duplicates
+from tallymark.llm.simhash_dedup import fingerprint, fingerprints, keep_similar, links, near_duplicates
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -116,15 +117,67 @@ def test_edge_cases(spark):
     found = near_duplicates(df).collect()
     assert sorted((str(r.doc_id), r.component) for r in found) == [("1", 1), ("3", 3), ("5", 3), ("7", 7), ("7", 7), ("9", 7), ("None", 3)]
     assert {r.fp for r in found if r.component == 3} == {0}
-    assert sorted(str(r.doc_id) for r in keep_one(df).collect()) == ["1", "3", "7", "7", "None"] and keep_one(df).columns == df.columns
-    assert near_duplicates(df.limit(0)).count() == 0 and keep_one(df.limit(0)).count() == 0
+    assert near_duplicates(df.limit(0)).count() == 0
     assert fingerprints(df.filter(F.col("doc_id") == 3)).first().fp == 0
 
 
 def test_one_row_of_each_group_whatever_the_ids(spark):
     rows = [(5, None), (None, ""), (None, " "), (1, "a b c d"), (7, "A b c d"), (7, "the only one of its kind"), (8, "e f g h"), (8, "e f g h"), (None, "i j k l"), (None, "i j k l"), (None, "m n o p")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    found = [tuple(r) for r in keep_rows(df).collect()]
+    found = [tuple(r) for r in keep_similar(df).collect()]
     expected = [(5, None), (1, "a b c d"), (7, "the only one of its kind"), (8, "e f g h"), (None, "i j k l"), (None, "m n o p")]
-    assert Counter(found) == Counter(expected) and keep_rows(df).columns == df.columns
-    assert keep_rows(df.limit(0)).count() == 0
+    assert Counter(found) == Counter(expected) and keep_similar(df).columns == df.columns
+    assert keep_similar(df.limit(0)).count() == 0
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {""}
+
+
+def edited(words, rate, rng):
+    return " ".join(rng.choice(["zeta", "quux", "mira"]) + str(rng.randrange(99)) if rng.random() < rate else w for w in words)
+
+
+@pytest.mark.parametrize("group", [3, 150])
+def test_similar_texts_leave_one(spark, group):
+    """Groups of edited copies, small ones and large, among texts of their own."""
+    rng = random.Random(group)
+    texts, of = [], []
+    for g in range(600 // group):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(120, 500))]
+        for _ in range(group):
+            texts.append(edited(base, 0.005, rng))
+            of.append(g)
+    for _ in range(300):
+        texts.append(" ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randint(5, 300))))
+        of.append(None)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = sorted(r.doc_id for r in keep_similar(df).collect())
+    assert {i for i, g in enumerate(of) if g is None} <= set(kept)  # texts of their own all stay
+    sets = [shingles(t) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    left = [i for i in kept if of[i] is not None]
+    assert all(any(i < j and of[i] == of[j] for i in left) for j in range(len(texts)) if of[j] is not None and j not in left)
+    assert not [(i, j) for i in left for j in left if i < j and of[i] == of[j] and alike(i, j) >= 0.85]
+
+
+def test_recall_of_similar_pairs_in_the_table(spark):
+    """Of the pairs of texts of sf0.1 with a similarity of 0.8 or more, by brute
+    force over shared shingles, nearly all leave one text."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    shared = Counter(p for own in holders.values() if len(own) <= 50 for p in itertools.combinations(own, 2))
+    pairs = [p for p, n in shared.items() if texts[p[0]] != texts[p[1]] and len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]])]
+    kept = {r.doc_id for r in keep_similar(docs).collect()}
+    missed = [p for p in pairs if p[0] in kept and p[1] in kept]
+    print(f"similar pairs: {len(pairs)}, both kept: {len(missed)}")
+    assert len(pairs) > 20 and len(missed) <= 0.15 * len(pairs)
+    gone = [i for i in texts if i not in kept and texts[i] not in {texts[j] for j in texts if j < i}]
+    close = {i for p, n in shared.items() if n >= 0.6 * min(len(sets[p[0]]), len(sets[p[1]])) for i in p}
+    assert [i for i in gone if i not in close and len(sets[i]) > 50] == []
