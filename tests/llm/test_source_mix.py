@@ -1,46 +1,71 @@
 import math
 from collections import Counter, defaultdict
+from fractions import Fraction
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallymark.llm import source_mix
 from tallymark.llm.queries import op5_source_mix
-from tallymark.llm.source_mix import in_order, mix, parts, schedule
+from tallymark.llm.source_mix import in_order, mix, schedule
 
 SMALL = "/root/testdata/sf0.01"
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.floats(0.001, 100), min_size=1, max_size=12), st.integers(60, 400))
-def test_every_block_runs_in_its_window(weights, period):
-    slots = parts(weights, period)
-    assert sum(slots.values()) == period and min(slots.values()) >= 1
-    plan = schedule(slots)
-    assert [p[4] for p in plan] == list(range(period)) and Counter(p[0] for p in plan) == Counter(slots)
-    done = Counter()
-    for s, j, release, deadline, slot in plan:
-        assert release <= slot < deadline and j == done[s]
+def slow(weights, blocks):
+    """Earliest deadline first by looking through all sources at each slot,
+    while no source is used up; then not compared any further."""
+    whole = sum(map(Fraction, weights.values()))
+    w = {s: Fraction(x) / whole for s, x in weights.items()}
+    done, found, slot = Counter(), [], 0
+    while all(done[s] < n for s, n in blocks.items()):
+        due = [(math.ceil((done[s] + 1) / w[s]), s) for s in w if math.floor(done[s] / w[s]) <= slot]
+        deadline, s = min(due)
+        found.append((s, done[s], math.floor(done[s] / w[s]), deadline, slot))
         done[s] += 1
-        # less than one block from the target, for every source after every slot
-        assert all(abs(done[x] - (slot + 1) * a / period) < 1 for x, a in slots.items())
-
-
-def brute(rows, block_size, slots, seed_order):
-    """rows: id, source, size in the drawn order; block and turn by running sums."""
-    at, found = Counter(), {}
-    plan = {(s, j): (r, d, t) for s, j, r, d, t in schedule(slots)}
-    period = sum(slots.values())
-    for i, s, size in seed_order(rows):
-        block = at[s] // block_size
-        r, d, t = plan[s, block % slots[s]]
-        gone = block // slots[s] * period
-        found[i] = (block, gone + r, gone + d, gone + t, at[s] - block * block_size)
-        at[s] += size
+        slot += 1
     return found
 
 
+weights_ = st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.floats(0.001, 100), min_size=1, max_size=9)
+
+
+@settings(max_examples=60, deadline=None)
+@given(weights_, st.integers(1, 40))
+def test_the_schedule_is_the_slow_one(weights, n):
+    blocks = {s: n + 7 * k for k, s in enumerate(weights)}
+    expected = slow(weights, blocks)
+    found = list(schedule((s, w, blocks[s]) for s, w in weights.items()))
+    assert found[: len(expected)] == expected
+    assert Counter(b[0] for b in found) == blocks and len({b[:2] for b in found}) == len({b[4] for b in found}) == sum(blocks.values())
+    assert all(r <= slot < d for _, _, r, d, slot in found) and [b[4] for b in found] == sorted(b[4] for b in found)
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.9003, "b": 0.0993, "c": 0.0004}, {f"s{k}": 1 / (k + 1) for k in range(40)}, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 7}])
+def test_a_hundred_thousand_blocks_are_less_than_one_from_the_given_weights(weights):
+    whole = sum(map(Fraction, weights.values()))
+    n = {s: math.ceil(Fraction(w) / whole * 100_000) + 9 for s, w in weights.items()}
+    w = {s: float(Fraction(x) / whole) for s, x in weights.items()}
+    done, most = dict.fromkeys(weights, 0), 0.0
+    for s, block, _, _, slot in schedule((s, weights[s], n[s]) for s in weights):
+        if slot >= 100_000:
+            break
+        assert block == done[s]
+        done[s] += 1
+        most = max(most, max(abs(done[x] - (slot + 1) * w[x]) for x in ([s] if slot % 50 else weights)))
+    assert slot == 100_000 and most < 1
+
+
+def test_sources_used_up_leave_few_slots_empty():
+    found = list(schedule([("a", 0.998, 10), ("b", 0.001, 5000), ("c", 0.001, 2500), ("none", 0.0, 3), ("nan", float("nan"), 2)]))
+    assert Counter(b[0] for b in found) == {"a": 10, "b": 5000, "c": 2500, "none": 3, "nan": 2}
+    assert found[-1][4] < 2 * len(found) and {b[0] for b in found[-5:]} == {"none", "nan"}
+    then = Counter(b[0] for b in found[10:4000])
+    assert abs(then["b"] - then["c"]) < 20
+
+
 def test_blocks_and_slots_against_running_sums(spark, monkeypatch):
     monkeypatch.setattr(source_mix, "BUCKET", 50)
     rows = [(n, "hot" if n % 3 else f"s{n % 4}", n * 7919 % 90 + 1) for n in range(900)]
@@ -48,11 +73,17 @@ def test_blocks_and_slots_against_running_sums(spark, monkeypatch):
     drawn = {r.doc_id: r.d for r in df.select("doc_id", (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 11) / F.lit(float(1 << 53))).alias("d")).collect()}
     total = Counter()
     for _, s, size in rows:
-        total["=" + s] += size
-    slots = parts({s: v**0.7 for s, v in total.items()}, 40)
-    expected = brute([(i, "=" + s, n) for i, s, n in rows], 100, slots, lambda r: sorted(r, key=lambda x: (drawn[x[0]], x[0])))
-    found = {r.doc_id: (r.block, r.release, r.deadline, r.slot, r.turn) for r in mix(df, F.col("size"), block_size=100, period=40).select("row.doc_id", "block", "release", "deadline", "slot", "turn").collect()}
-    assert found == expected
+        total[s] += size
+    plan = slow({s: v**0.7 for s, v in total.items()}, {s: -(-v // 100) for s, v in total.items()})
+    timed, at, expected = {b[:2]: b[2:] for b in plan}, Counter(), {}
+    for i, s, size in sorted(rows, key=lambda r: (drawn[r[0]], r[0])):
+        expected[i] = (at[s] // 100, *timed.get((s, at[s] // 100), (None,) * 3), at[s] % 100)
+        at[s] += size
+    found = {r.doc_id: (r.block, r.release, r.deadline, r.slot, r.turn) for r in mix(df, F.col("size"), block_size=100).select("row.doc_id", "block", "release", "deadline", "slot", "turn").collect()}
+    assert found.keys() == expected.keys() and len(plan) > 100
+    for i, (block, release, deadline, slot, turn) in expected.items():
+        assert (found[i][0], found[i][4]) == (block, turn)
+        assert slot is None or found[i] == (block, release, deadline, slot, turn)
 
 
 def test_whole_table_stays_near_its_targets(spark):
@@ -68,10 +99,19 @@ def test_whole_table_stays_near_its_targets(spark):
 
 def test_given_weights_hold_while_sources_last(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
-    out = mix(df, F.lit(1), weights={"a": 3, "b": 1}, block_size=10, period=100).select("row.source", "slot").collect()
+    out = mix(df, F.lit(1), weights={"a": 3, "b": 1, "absent": 5}, block_size=10).select("row.source", "slot").collect()
     upto = max(r.slot for r in out if r.source == "a")
     n = Counter(r.source for r in out if r.slot <= upto)
     assert math.isclose(n["a"] / (n["a"] + n["b"]), 0.75, abs_tol=0.02)
+    only = mix(df, F.lit(1), weights={"b": 1}, block_size=10).select("row.source", "slot").collect()
+    assert max(r.slot for r in only if r.source == "b") < min(r.slot for r in only if r.source == "a")
+
+
+def test_one_id_on_very_many_rows_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "BUCKET", 20)
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, 7).alias("doc_id"), F.lit("s").alias("source"), F.lit(1).alias("n"))
+    out = mix(df, F.lit(1), block_size=50).select("block", "slot", "turn").collect()
+    assert sorted((r.block, r.turn) for r in out) == [(k // 50, k % 50) for k in range(3000)]
 
 
 def test_edge_cases(spark):
