@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tallymark.llm.topk_search import best, search, segments, usable
+from tallymark.llm.topk_search import best, resolutions, search, segments, usable
 
 
 def brute(rows, is_query, k):
@@ -19,25 +20,51 @@ def result(df):
 
 def test_bounds_hold_at_each_resolution():
     rng = np.random.default_rng(3)
-    q, x = rng.integers(-20, 20, (30, 19)).astype(float), rng.integers(-20, 20, (40, 19)).astype(float)
-    before = None
-    for parts in (1, 2, 4, 8):
-        high = np.hstack(segments(q, parts)) @ np.hstack(segments(x, parts)).T
-        assert (high >= q @ x.T - 1e-9).all()
-        assert before is None or high.mean() <= before
-        before = high.mean()
+    for size in (1, 2, 5, 19, 64):
+        q, x = rng.integers(-20, 20, (30, size)).astype(float), rng.integers(-20, 20, (40, size)).astype(float)
+        before = None
+        for cut in resolutions(size):
+            assert [c.start for c in cut] + [size] == [0] + [c.stop for c in cut]
+            high = segments(q, cut) @ segments(x, cut).T
+            assert (high >= q @ x.T - 1e-9).all()
+            assert before is None or high.mean() <= before + 1e-9
+            before = high.mean()
 
 
-def test_pruning_leaves_results_exact():
+def exact(x, ids, n, k):
+    full = x @ x[n]
+    order = sorted((m for m in range(len(x)) if ids[m] != ids[n]), key=lambda m: (-full[m], ids[m]))[:k]
+    return [(full[m], ids[m]) for m in order]
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_few_pairs_are_scored_where_vectors_cluster(clustered):
+    """On 40 clusters in 64 dimensions, the bounds spare most pairs."""
     rng = np.random.default_rng(4)
-    x = rng.integers(-3, 3, (5000, 16)).astype(float) * rng.integers(1, 6, (5000, 1))
-    ids = rng.permutation(5000)
-    i, j, score = best(x[:40], ids[:40], x, ids, 20, step=256)
+    centres = rng.normal(size=(40, 64)) * 400 * clustered
+    x = np.rint(centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 64)) * 60)
+    ids = rng.permutation(6000)
+    i, j, score, scored = best(x[:40], ids[:40], x, ids, 20, step=512)
     for n in range(40):
-        full = x @ x[n]
-        order = sorted((k for k in range(5000) if k != n), key=lambda k: (-full[k], ids[k]))[:20]
         own = [(score[m], ids[j[m]]) for m in range(len(i)) if i[m] == n]
-        assert sorted(own, key=lambda t: (-t[0], t[1])) == [(full[k], ids[k]) for k in order]
+        assert sorted(own, key=lambda t: (-t[0], t[1])) == exact(x, ids, n, 20)
+    print(f"clustered {clustered}: {scored / (40 * 6000):.3f} of all pairs scored")
+    assert not clustered or scored < 0.5 * 40 * 6000
+    # a first limit spares more, and changes nothing
+    first = np.array([exact(x, ids, n, 20)[-1][0] for n in range(40)])
+    again = best(x[:40], ids[:40], x, ids, 20, first, step=512)
+    assert sorted(zip(again[0], again[1], again[2], strict=True)) == sorted(zip(i, j, score, strict=True)) 
+    assert not clustered or again[3] < 0.05 * 40 * 6000
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    big = [2**27 + 1, 2**27 + 3, 2**27 - 1, -(2**27) + 5]
+    rows = [(n, [float(big[n % 4] + 2 * n), float(big[(n + 1) % 4]), float(n)]) for n in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    whole = [(i, [int(v) for v in x]) for i, x in rows]
+    assert result(search(df, F.col("vec_id") % 20 == 0, 20, candidate_block=16)) == brute(whole, lambda q: q % 20 == 0, 20)
+    with pytest.raises(Exception, match="63 bits"):
+        search(df.withColumn("embedding", F.transform("embedding", lambda v: v * 2.0**20)), F.col("vec_id") % 20 == 0, 3).collect()
 
 
 def test_blocks_and_ties_against_brute_force(spark):
