@@ -34,6 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _kept: list[list[str]] = []
+_tables: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -43,14 +44,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def new_table(name: str) -> str:
+    """A name for a table in the session's warehouse."""
+    found = f"{name}_{uuid.uuid4().hex}"
+    if _tables:
+        _tables[-1].append(found)
+    return found
+
+
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
-    """Drops, at its end, what new_path() and written() made within. For callers
-    that write their result before then; a lazy result still needs its tables."""
+    """Drops, at its end, what new_path(), new_table() and written() made within.
+    For callers that write their result before then; a lazy result still needs
+    its tables."""
     _kept.append([])
+    _tables.append([])
     try:
         yield
     finally:
+        for name in _tables.pop():
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         for path in _kept.pop():
             drop_path(spark, path)
 

@@ -1,12 +1,16 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of (key hash, number of documents, largest doc_id), sorted by
-hash within its files. Each batch of documents adds one run on level 0; when a
-level holds `fanout` runs they are merged into one run of the next level, so a
-store of n batches keeps O(log n) runs. A batch is cleaned by an anti-join of
-its lines with the keys that the runs show to be repeated.
-
-DataFrame functions only. Keys are compared by their 128-bit hashes.
+A run holds (key hash, number of documents, largest doc_id), bucketed by hash
+and sorted within its buckets. Each batch of documents adds one run on level 0;
+when a level holds `fanout` runs they are merged, bucket by bucket and without a
+shuffle, into one run of the next level, so a store of n batches keeps O(log n)
+runs a level. Batches are cleaned by an anti-join of their lines with the keys
+that the merged runs show to be repeated: what it leaves are the lines that
+stay. As a line's fate depends on all documents (how many hold it, and which is
+the last), all runs are there before the first batch is cleaned.
+
+DataFrame functions only. Keys are compared by their 128-bit hashes, and rows
+by 128-bit hashes of id and text; rows equal in both fare alike anyhow.
 
 Defined cases: null or empty text is one empty line; a document's repeats of a
 key count once; each row is one document, so rows that repeat a doc_id count
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, drop_path, new_path
+from .common import ASCII_SPACE, new_path, new_table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,92 +37,104 @@ def line_key(line: Column) -> Column:
     return F.btrim(line, F.lit(ASCII_SPACE))
 
 
-def line_hashes(text: Column, min_length: int) -> Column:
-    """One 128-bit hash (hex) for each line of a text, null for short keys."""
-    lines = F.split(ascii_lower(text), "\n", -1)
-    return F.transform(lines, lambda x: F.when(F.char_length(line_key(x)) >= min_length, F.md5(line_key(x))))
-
-
-def hashes(rows: DataFrame, min_length: int, also: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document and distinct long key: id, h."""
-    return rows.select("id", *also, F.explode(F.array_distinct(F.array_compact(line_hashes(F.col("body"), min_length)))).alias("h"))
+def is_long(line: Column, min_length: int) -> Column:
+    return F.char_length(line_key(line)) >= min_length
 
 
-def merged(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
+def long_lines(rows: DataFrame, min_length: int) -> DataFrame:
+    """rows: id, body and others. One row for each line with a long key: the
+    other columns, h (128-bit hash), i (its place), first (the document's first
+    of this key by place)."""
+    lines = F.split(ascii_lower(F.col("body")), "\n", -1)
+    found = F.transform(lines, lambda x, i: F.struct(F.when(is_long(x, min_length), F.unhex(F.md5(line_key(x)))).alias("h"), i.alias("i")))
+    out = rows.select(*(c for c in rows.columns if c != "body"), F.array_sort(F.filter(found, lambda x: x["h"].isNotNull())).alias("found"))
+    first = lambda x, k: (k == 0) | (F.get("found", k - 1)["h"] != x["h"])
+    marked = F.transform("found", lambda x, k: F.struct(x["h"].alias("h"), x["i"].alias("i"), first(x, k).alias("first")))
+    return out.select(*(c for c in out.columns if c != "found"), F.inline(marked))
 
 
 class LineRuns:
-    """The levelled store. Runs live in the session's shared folder."""
+    """The levelled store: one bucketed table for each level, whose runs are
+    appended. As many buckets as shuffles have partitions, so a run's
+    aggregation already deals it out as its table wants it."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
+    def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout = spark, fanout
-        self.root = new_path(spark, "line-runs")
-        self.levels: list[list[str]] = []
-        self.made = 0
-
-    def _write(self, run: DataFrame, level: int) -> None:
-        path = f"{self.root}/level-{level}/run-{self.made}"
-        self.made += 1
-        run.sortWithinPartitions("h").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[tuple[str, int]] = []  # table and its number of runs
+
+    def _append(self, run: DataFrame, level: int) -> None:
+        if len(self.levels) <= level:
+            self.levels.append(("", 0))
+        name, runs = self.levels[level]
+        name = name or new_table(f"line_runs_{level}")
+        run.write.mode("append").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
+        self.levels[level] = (name, runs + 1)
+
+    @staticmethod
+    def _merged(runs: DataFrame) -> DataFrame:
+        return runs.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
+
+    def _compact(self, level: int, to: int) -> None:
+        name, _ = self.levels[level]
+        self._append(self._merged(self.spark.table(name)), to)
+        self.spark.sql(f"DROP TABLE {name}")
+        self.levels[level] = ("", 0)
 
     def add(self, batch: DataFrame) -> None:
-        """Add a batch of (id, h), a document and key once each."""
-        self._write(batch.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("last_id")), 0)
+        """Adds a batch's lines: id, h, first."""
+        self._append(batch.groupBy("h").agg(F.count_if("first").alias("n_docs"), F.max("id").alias("last_id")), 0)
         level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            old, self.levels[level] = self.levels[level], []
-            self._write(merged(self.spark.read.parquet(*old)), level + 1)
-            for path in old:
-                drop_path(self.spark, path)
+        while self.levels[level][1] >= self.fanout:
+            self._compact(level, level + 1)
             level += 1
 
     def keys(self) -> DataFrame:
-        """All keys so far with their totals: h, n_docs, last_id."""
-        paths = [p for level in self.levels for p in level]
-        rows = self.spark.read.parquet(*paths)
-        return rows if len(paths) == 1 else merged(rows)
+        """All keys so far with their totals: h, n_docs, last_id. The levels
+        are merged upwards, the smallest first; no shuffle."""
+        used = [k for k, (_, runs) in enumerate(self.levels) if runs]
+        for level, to in zip(used[:-1], used[1:], strict=True):
+            self._compact(level, to)
+        return self._merged(self.spark.table(self.levels[used[-1]][0]))
 
     def repeated(self, min_docs: int) -> DataFrame:
         return self.keys().filter(F.col("n_docs") >= min_docs)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 40, min_docs: int = 5, batches: int = 5, fanout: int = 2) -> DataFrame:
     """Drop repeated lines: row (a struct of the columns but the text), kept
     (the text), n_lines, n_dropped, one row per input row. Lines whose key has min_length code points or more and occurs in
     min_docs documents or more stay only in the largest id that holds it.
 
     The documents are added to the runs in `batches` parts by id. Only hashes
-    are shuffled for the counts; then each document gets the hashes it loses.
+    are shuffled to tell which lines stay; then each document gets their places.
     """
     spark = docs.sparkSession
     others = F.struct(*(F.col(c) for c in docs.columns if c != text_col))
-    rows = docs.select(others.alias("own"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).withColumn("row", F.xxhash64("id", "body"))
+    rows = docs.select(others.alias("own"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    rows = rows.withColumn("r1", F.xxhash64("id", "body")).withColumn("r2", F.xxhash64("body", "id", F.lit(1)))
     part = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(batches)).cast("int")
     path = new_path(spark, "line-hashes")
-    hashes(rows.withColumn("part", part), min_length, ("row", "part")).write.partitionBy("part").parquet(path)
-    seen = spark.read.schema(f"id {rows.schema['id'].dataType.simpleString()}, row bigint, h string, part int").parquet(path)
+    long_lines(rows.select("id", "body", "r1", "r2", part.alias("part")), min_length).write.partitionBy("part").parquet(path)
+    seen = spark.read.schema(f"id {rows.schema['id'].dataType.simpleString()}, r1 bigint, r2 bigint, h binary, i int, first boolean, part int").parquet(path)
 
     runs = LineRuns(spark, fanout)
     for k in range(batches):
         runs.add(seen.filter(F.col("part") == k))
-    lost = seen.join(runs.repeated(min_docs), "h").filter(~F.col("id").eqNullSafe(F.col("last_id")))
-    lost = lost.groupBy("row").agg(F.collect_set("h").alias("h"))
-    # about the square root of n buckets of hashes, so that a look-up never goes through all that a long text loses
-    n = F.ceil(F.sqrt(F.size("h"))).cast("int")
-    lost = lost.select("row", n.alias("n"), F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.filter("h", lambda x: F.pmod(F.xxhash64(x), n) == k)).alias("lost"))
+    repeated = written(runs.repeated(min_docs).select(F.col("h").alias("key"), "last_id"), "line-repeated")
+    goes = (F.col("h") == F.col("key")) & ~F.col("id").eqNullSafe(F.col("last_id"))
+    stays = seen.join(repeated, goes, "left_anti").groupBy("r1", "r2").agg(F.collect_set("i").alias("stays"))
 
-    both = rows.join(lost, "row", "left")
+    both = rows.join(stays, ["r1", "r2"], "left")
+    # set operations, so that a long text's places are never looked up one by one
     lines = F.split(F.col("body"), "\n", -1)
-    stays = lambda x: x["h"].isNull() | ~F.array_contains(F.get("lost", F.pmod(F.xxhash64(x["h"]), F.col("n")).cast("int")), x["h"])
-    kept = F.transform(F.filter(F.arrays_zip(lines.alias("line"), line_hashes(F.col("body"), min_length).alias("h")), stays), lambda x: x["line"])
-    out = both.select("own", "body", F.when(F.col("lost").isNull(), lines).otherwise(kept).alias("stay"))
+    at = F.sequence(F.lit(0), F.size("lines") - 1)
+    long = F.filter(at, lambda i: is_long(F.get("lines", i), min_length))
+    lost = F.array_except(long, F.coalesce("stays", F.array().cast("array<int>")))
+    out = both.select("own", lines.alias("lines"), "stays").withColumn("kept", F.array_except(at, lost))
     return out.select(
         F.col("own").alias("row"),
-        F.array_join("stay", "\n").alias("kept"),
-        F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size("stay")).cast("long").alias("n_dropped"),
+        F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n").alias("kept"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
     )

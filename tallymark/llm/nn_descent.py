@@ -116,85 +116,117 @@ def first_graph(nodes: DataFrame, n: int, k: int) -> DataFrame:
     return blocks.groupBy("pivot", salt.alias("salt")).applyInPandas(near, "a long, b long, d double")
 
 
-def merged(edges: DataFrame, k: int) -> DataFrame:
-    return _nearest(edges.groupBy("a", "b").agg(F.min("d").alias("d")), k, "a", "d", "b")
-
-
 def adjacent(graph: DataFrame, reverse: int) -> DataFrame:
     """m, a: each node's neighbours and up to `reverse` nodes whose neighbour it is."""
     back = _nearest(graph.select(F.col("b").alias("m"), F.col("a"), "d"), reverse, "m", "d", "a")
     return graph.select(F.col("a").alias("m"), F.col("b").alias("a")).union(back.select("m", "a")).distinct()
 
 
-def introduced(meetings: DataFrame) -> DataFrame:
-    """meetings: m, a, r (distance a's neighbours reach), vector. Returns pairs
-    a, b, d of nodes that meet at an m with d below a's r."""
+def _drawn(of: DataFrame, k: int, by: str, seed: int) -> DataFrame:
+    return _nearest(of, k, by, F.xxhash64("m", "a", F.lit(seed)))
+
+
+def meetings(graph: DataFrame, sample: int, seed: int) -> DataFrame:
+    """m, a, new: whom each node introduces to each other: of its neighbours, and
+    of the nodes whose neighbour it is, up to `sample` new and old ones each,
+    drawn by hash. Nodes without a new one introduce nobody."""
+    ahead = graph.select(F.col("a").alias("m"), F.col("b").alias("a"), "new")
+    back = graph.select(F.col("b").alias("m"), "a", "new")
+    fresh = _drawn(ahead.filter("new"), sample, "m", seed).union(_drawn(back.filter("new"), sample, "m", seed))
+    met = fresh.select("m").distinct()
+    old = [_drawn(way.filter("not new").join(met, "m", "left_semi"), sample, "m", seed) for way in (ahead, back)]
+    return fresh.union(old[0]).union(old[1]).groupBy("m", "a").agg(F.max("new").alias("new"))
+
+
+def introduced(met: DataFrame) -> DataFrame:
+    """met: m, a, new, r (distance a's neighbours reach), vector. Returns pairs
+    a, b, d of nodes that meet at an m, one of them new, with d below a's r; and
+    for each batch a row of nulls with the number of distances worked out."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.RecordBatch | None = None
 
-        def met(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            m, a, r = (batch.column(i).to_numpy() for i in range(3))
-            x = batch.column(3).flatten().to_numpy().reshape(len(m), -1)
+        def made(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            m, a, r = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            new = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            x = batch.column(4).flatten().to_numpy().reshape(len(m), -1)
             sq = np.einsum("ij,ij->i", x, x)
             edge = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1], [True])))
-            out = []
+            out, n = [], 0
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                d = sq[lo:hi, None] + sq[None, lo:hi] - 2 * x[lo:hi] @ x[lo:hi].T
-                i, j = np.nonzero(d < (r[lo:hi] * r[lo:hi])[:, None])
-                out.append((i + lo, j + lo, d[i, j]))
-            i, j, d = (np.concatenate(v) for v in zip(*out, strict=True))
-            i, j, d = (v[a[i] != a[j]] for v in (i, j, d))
-            yield pa.record_batch([pa.array(a[i]), pa.array(a[j]), pa.array(np.sqrt(np.maximum(d, 0).astype(float)))], names=["a", "b", "d"])
+                fresh = lo + np.flatnonzero(new[lo:hi])
+                d = sq[fresh, None] + sq[None, lo:hi] - 2 * x[fresh] @ x[lo:hi].T
+                n += d.size
+                i, j = np.nonzero(d < np.maximum(r[fresh, None], r[None, lo:hi]) ** 2)
+                i, j, d = fresh[i], j + lo, d[i, j]
+                for u, v in ((i, j), (j, i)):
+                    near = (d < r[u] * r[u]) & (a[u] != a[v])
+                    out.append((a[u[near]], a[v[near]], d[near]))
+            u, v, d = (np.concatenate(t) for t in zip(*out, strict=True))
+            yield pa.record_batch([pa.array(u), pa.array(v), pa.array(np.sqrt(np.maximum(d, 0).astype(float))), pa.nulls(len(u), pa.int64())], names=["a", "b", "d", "n"])
+            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.array([n])], names=["a", "b", "d", "n"])
 
         for batch in batches:
             batch = batch if kept is None else pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
             m = batch.column(0).to_numpy()
             full = int(np.searchsorted(m, m[-1])) if len(m) else 0
             if full:
-                yield from met(batch.slice(0, full))
+                yield from made(batch.slice(0, full))
             kept = batch.slice(full)
         if kept is not None and kept.num_rows:
-            yield from met(kept)
+            yield from made(kept)
 
-    return meetings.repartition("m").sortWithinPartitions("m").mapInArrow(pairs, "a long, b long, d double")
+    return met.repartition("m").sortWithinPartitions("m").mapInArrow(pairs, "a long, b long, d double, n long")
 
 
-def build_graph(nodes: DataFrame, n: int, k: int = 48, reverse: int = 48, rounds: int = 12, least_gain: float = 0.003, watch: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
-    """a, b, d: about the k nearest other nodes of each. Ends when a round of
-    introductions shortens the neighbours' distances, in sum, by less than a
-    share of least_gain, or after `rounds` rounds. watch: gets the start as
-    round 0, then each round's graph."""
+def build_graph(nodes: DataFrame, n: int, k: int = 32, sample: int = 16, rounds: int = 16, least_gain: float = 0.002, watch: Callable[[int, DataFrame, int], None] | None = None) -> DataFrame:
+    """a, b, d: about the k nearest other nodes of each.
+
+    Each round, new neighbours meet each other and the old ones; pairs nearer
+    than what either has become new neighbours. Ends when a round shortens the
+    neighbours' distances, in sum, by less than a share of least_gain, or after
+    `rounds` rounds. watch: gets the start as round 0, then each round's graph,
+    and the number of distances that it took.
+    """
     spark = nodes.sparkSession
 
-    def stored(edges: DataFrame) -> tuple[str, DataFrame, float]:
+    def stored(edges: DataFrame) -> tuple[str, DataFrame, float, int]:
         path = new_path(spark, "nn-graph")
-        edges.write.parquet(path)
-        graph = spark.read.schema("a long, b long, d double").parquet(path)
+        best = _nearest(edges.filter("a is not null").groupBy("a", "b").agg(F.min("d").alias("d"), F.min("new").alias("new")), k, "a", "d", "b")
+        best.select("a", "b", "d", "new").write.parquet(path)
+        graph = spark.read.schema("a long, b long, d double, new boolean").parquet(path)
         return path, graph, graph.agg(F.sum(F.least("d", F.lit(1e300)))).first()[0] or 0.0
 
-    path, graph, total = stored(merged(first_graph(nodes, n, k), k))
+    path, graph, total = stored(first_graph(nodes, n, k).withColumn("new", F.lit(True)))
     if watch:
-        watch(0, graph)
+        watch(0, graph, 0)
+    vectors = written(nodes.select("node", F.col("vector").cast("array<float>").alias("vector")), "nn-vectors")
     for at in range(rounds):
         full = F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(float("inf"))
         reach = graph.groupBy("a").agg(full.alias("r"))
-        known = nodes.join(reach, nodes["node"] == reach["a"], "left").select(F.col("node").alias("a"), F.coalesce("r", F.lit(float("inf"))).alias("r"), F.col("vector").cast("array<float>").alias("vector"))
-        meetings = adjacent(graph, reverse).join(known, "a").select("m", "a", "r", "vector")
+        met = written(meetings(graph, sample, at), "nn-met")
+        known = vectors.join(reach, vectors["node"] == reach["a"], "left").select(F.col("node").alias("a"), F.coalesce("r", F.lit(float("inf"))).alias("r"), "vector")
+        found = introduced(met.join(known, "a").select("m", "a", "new", "r", "vector"))
+        if watch:
+            found = written(found, "nn-found")
+        # a new neighbour that was introduced has met the others of that node, and is old from now on
+        used = _drawn(graph.filter("new").select(F.col("a").alias("m"), F.col("b").alias("a"), "new"), sample, "m", at).select(F.col("m").alias("a"), F.col("a").alias("b"), F.lit(True).alias("used"))
+        now = graph.join(used, ["a", "b"], "left").select("a", "b", "d", (F.col("new") & F.col("used").isNull()).alias("new"))
         old, before = path, total
-        path, graph, total = stored(merged(graph.union(introduced(meetings)), k))
+        path, graph, total = stored(now.union(found.select("a", "b", "d", F.lit(True))))
         drop_path(spark, old)
         if watch:
-            watch(at + 1, graph)
+            watch(at + 1, graph, found.agg(F.sum("n")).first()[0] or 0)
         if before - total <= least_gain * before:
             break
-    return graph
+    return graph.select("a", "b", "d")
 
 
-def greedy_search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: int = 192, expand: int = 48, reverse: int = 64, rounds: int = 8) -> DataFrame:
+def greedy_search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: int = 128, expand: int = 24, reverse: int = 32, rounds: int = 12) -> DataFrame:
     """starts: q (a node). Returns q, node, d: the nearest nodes found, itself
     left out. Each round expands the `expand` nearest unexpanded nodes of the
-    best `beam` of each query, until all of those are expanded."""
+    best `beam` of each query, until all of those are expanded. Nodes that fell
+    out of the beam may be met again; they fall out again."""
     spark = nodes.sparkSession
     links = written(adjacent(graph, reverse).groupBy("m").agg(F.collect_list("a").alias("near")), "nn-links")
     goal = starts.join(nodes, starts["q"] == nodes["node"]).select("q", F.col("vector").alias("goal"))
@@ -220,7 +252,7 @@ def greedy_search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: i
     return beams.filter("q != node").select("q", "node", "d")
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = 48) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = 32) -> DataFrame:
     """query_id, rank, id, score: about the k nearest rows (Euclidean) of each
     row where is_query (on the id column) holds, itself left out; distances are
     exact. Every row is indexed."""

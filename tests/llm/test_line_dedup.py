@@ -48,9 +48,12 @@ def test_batches_and_levels_make_no_difference(spark, batches, fanout):
 def test_runs_are_merged_by_level(spark):
     runs = LineRuns(spark, fanout=2)
     for n in range(5):
-        runs.add(spark.createDataFrame([(n, "a"), (n, f"only {n}")], "id bigint, h string"))
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert {tuple(r) for r in runs.repeated(5).collect()} == {("a", 5, 4)} and runs.keys().count() == 6
+        runs.add(spark.createDataFrame([(n, b"a", True), (n, b"a", False), (n, f"only {n}".encode(), True)], "id bigint, h binary, first boolean"))
+    assert [n for _, n in runs.levels] == [1, 0, 1]
+    assert {tuple(r) for r in runs.repeated(5).collect()} == {(b"a", 5, 4)} and runs.keys().count() == 6
+    # runs are merged bucket by bucket: no exchange anywhere above them
+    plan = runs.keys()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
 
 
 def test_edge_cases(spark):
