@@ -3,7 +3,9 @@
 The graph starts sparse: each node's neighbours among the few hundred that share
 one of its nearest pivots, whose number grows with the nodes. It improves by
 joins, until a round gains little: every node introduces its neighbours, forward
-and reverse, to each other, and pairs nearer than what either has are kept.
+and reverse, to each other, and pairs nearer than what either has are kept. Only
+pairs of which one is new to that node are looked at, and of new and old ones a
+sample each, so the distances worked out are a small share of all pairs.
 Queries search the graph greedily from their own node's neighbours: each round
 expands the nearest nodes not yet expanded, for all queries at once.
 
@@ -13,7 +15,9 @@ an answer needs, so groups of copies never meet in pairs.
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do rows without an id or whose vector hasn't the
 commonest length (of those the longest). Rows that repeat an id with another
-vector are candidates each; the query of that id is its first vector.
+vector are candidates each; the query of that id is its first vector. Vectors
+are told apart by a 64-bit hash: of 10**8 different ones, two or more share one
+with a probability of 0.0003, and would then count as copies of each other.
 """
 
 from __future__ import annotations
@@ -179,7 +183,7 @@ def introduced(met: DataFrame) -> DataFrame:
     return met.repartition("m").sortWithinPartitions("m").mapInArrow(pairs, "a long, b long, d double, n long")
 
 
-def build_graph(nodes: DataFrame, n: int, k: int = 32, sample: int = 16, rounds: int = 16, least_gain: float = 0.002, watch: Callable[[int, DataFrame, int], None] | None = None) -> DataFrame:
+def build_graph(nodes: DataFrame, n: int, k: int = 40, sample: int = 20, rounds: int = 16, least_gain: float = 0.002, watch: Callable[[int, DataFrame, int], None] | None = None) -> DataFrame:
     """a, b, d: about the k nearest other nodes of each.
 
     Each round, new neighbours meet each other and the old ones; pairs nearer
@@ -222,7 +226,7 @@ def build_graph(nodes: DataFrame, n: int, k: int = 32, sample: int = 16, rounds:
     return graph.select("a", "b", "d")
 
 
-def greedy_search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: int = 128, expand: int = 24, reverse: int = 32, rounds: int = 12) -> DataFrame:
+def greedy_search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: int = 192, expand: int = 32, reverse: int = 48, rounds: int = 12) -> DataFrame:
     """starts: q (a node). Returns q, node, d: the nearest nodes found, itself
     left out. Each round expands the `expand` nearest unexpanded nodes of the
     best `beam` of each query, until all of those are expanded. Nodes that fell
@@ -252,7 +256,7 @@ def greedy_search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: i
     return beams.filter("q != node").select("q", "node", "d")
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = 32) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = 40) -> DataFrame:
     """query_id, rank, id, score: about the k nearest rows (Euclidean) of each
     row where is_query (on the id column) holds, itself left out; distances are
     exact. Every row is indexed."""
