@@ -19,8 +19,25 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-#: While all labelled URLs are used for fitting, so up to max_labelled of them.
-OP2_SQL = r"""
+def _url_models(orders: int, contexts: int, least: int) -> str:
+    """The probabilities p0, p1, ... and log ratios l0, l1, ... of each order."""
+    parts = [f"least AS (SELECT greatest({least}, sum(n) / {contexts}) AS least FROM n{orders})"]
+    for k in range(orders + 1):
+        if k < orders:
+            parts.append(f"n{k} AS (SELECT ok, substr(g, {orders + 1 - k}) AS g, sum(n) AS n FROM n{orders} GROUP BY 1, 2)")
+        parts.append(f"t{k} AS (SELECT ok AS t_ok, substr(g, 1, {k}) AS t_c, sum(n) AS total, count(*) AS kinds FROM n{k} GROUP BY 1, 2)")
+        parts.append(f"c{k} AS (SELECT t_c AS c FROM t{k} GROUP BY t_c HAVING sum(total) >= (SELECT least FROM least) OR {k} = 0)")
+        every = f"SELECT c, c || x AS g, ok FROM c{k}, (SELECT unnest([{', '.join(repr(x) for x in url_filter.ALPHABET)}]) AS x), (SELECT unnest([true, false]) AS ok)"
+        lower = f"1.0::DOUBLE / {len(url_filter.ALPHABET)}" if k == 0 else f"p{k - 1}.p"
+        below = "" if k == 0 else f" JOIN p{k - 1} ON p{k - 1}.ok = e.ok AND p{k - 1}.g = substr(e.g, 2)"
+        parts.append(f"""p{k} AS (SELECT e.ok, e.g, coalesce((coalesce(n{k}.n, 0) + kinds * {lower}) / (total + kinds), {lower}) AS p
+  FROM ({every}) e{below} LEFT JOIN t{k} ON t_ok = e.ok AND t_c = e.c LEFT JOIN n{k} ON n{k}.ok = e.ok AND n{k}.g = e.g)""")
+        parts.append(f"l{k} AS (SELECT g AS g{k}, sum(ln(p)) FILTER (ok) - sum(ln(p)) FILTER (NOT ok) AS llr{k} FROM p{k} GROUP BY g)")
+    return ",\n".join(parts)
+
+
+_N = url_filter.ORDERS
+OP2_SQL = rf"""
 WITH rest AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS r FROM pages),
 parts AS (SELECT page_id, url, translate(coalesce(regexp_extract(r, '\A[^/?#]*', 0), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
           coalesce(regexp_extract(r, '(?s)\A[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
@@ -29,29 +46,23 @@ ruled AS (SELECT *, CASE
             WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
             WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
             WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM parts),
-folded AS (SELECT *, '^^' || regexp_replace(translate(lower(url), '0123456789', '0000000000'), '[^a-z0/.\-_?=&#:%+~]', '*', 'g') || '$' AS t,
-           rule IN ('example.net/en/', 'org/fr/') AS ok, CAST('0x' || substr(sha256(url), 1, 8) AS BIGINT) % 5 = 0 AS held FROM ruled),
-grams AS (SELECT url, rule, ok, held, substr(t, i, 3) AS g FROM (SELECT *, unnest(generate_series(1, length(t) - 2)) AS i FROM folded)),
-kinds AS (SELECT g, ok FROM (SELECT DISTINCT g FROM grams), (SELECT unnest([true, false]) AS ok)),
-n3 AS (SELECT ok, g, count(*) AS n FROM grams WHERE rule IS NOT NULL AND NOT held GROUP BY 1, 2),
-n2 AS (SELECT ok, substr(g, 2) AS g, sum(n) AS n FROM n3 GROUP BY 1, 2),
-n1 AS (SELECT ok, substr(g, 3) AS g, sum(n) AS n FROM n3 GROUP BY 1, 2),
-t3 AS (SELECT ok, substr(g, 1, 2) AS c, sum(n) AS n, count(*) AS k FROM n3 GROUP BY 1, 2),
-t2 AS (SELECT ok, substr(g, 1, 1) AS c, sum(n) AS n, count(*) AS k FROM n2 GROUP BY 1, 2),
-t1 AS (SELECT ok, sum(n) AS n, count(*) AS k FROM n1 GROUP BY 1),
-p1 AS (SELECT g, ok, coalesce((coalesce(n1.n, 0) + t1.k * (1.0::DOUBLE / 42)) / (t1.n + t1.k), 1.0::DOUBLE / 42) AS p
-       FROM kinds LEFT JOIN t1 USING (ok) LEFT JOIN (SELECT ok AS o, g AS h, n FROM n1) n1 ON o = ok AND h = substr(g, 3)),
-p2 AS (SELECT g, ok, coalesce((coalesce(n2.n, 0) + t2.k * p) / (t2.n + t2.k), p) AS p
-       FROM p1 LEFT JOIN (SELECT ok AS o2, c, n, k FROM t2) t2 ON o2 = ok AND c = substr(g, 2, 1) LEFT JOIN (SELECT ok AS o, g AS h, n FROM n2) n2 ON o = ok AND h = substr(g, 2)),
-p3 AS (SELECT g, ok, coalesce((coalesce(n3.n, 0) + t3.k * p) / (t3.n + t3.k), p) AS p
-       FROM p2 LEFT JOIN (SELECT ok AS o2, c, n, k FROM t3) t3 ON o2 = ok AND c = substr(g, 1, 2) LEFT JOIN (SELECT ok AS o, g AS h, n FROM n3) n3 ON o = ok AND h = g),
-llr AS (SELECT g, sum(ln(p)) FILTER (ok) - sum(ln(p)) FILTER (NOT ok) AS llr FROM p3 GROUP BY g),
-ratio AS (SELECT url, any_value(rule) AS rule, any_value(ok) AS ok, any_value(held) AS held, avg(llr) AS ratio FROM grams JOIN llr USING (g) GROUP BY url),
-stats AS (SELECT avg(ratio) FILTER (ok) AS a, avg(ratio) FILTER (NOT ok) AS b
-          FROM (SELECT f.url, r.ratio, f.ok FROM folded f JOIN ratio r USING (url) WHERE f.rule IS NOT NULL AND f.held))
-SELECT page_id, host, path, f.rule, CASE WHEN f.rule IS NOT NULL THEN CASE WHEN f.ok THEN 'allow' ELSE 'block' END
-  WHEN host = '' OR r.ratio IS NULL OR a IS NULL OR b IS NULL OR r.ratio >= (a + b) / 2 THEN 'allow' ELSE 'block' END AS verdict
-FROM folded f LEFT JOIN ratio r USING (url) CROSS JOIN stats
+urls AS (SELECT url, any_value(rule) AS rule FROM ruled WHERE url IS NOT NULL GROUP BY url),
+folded AS (SELECT url, rule, repeat('^', {_N}) || regexp_replace(translate(lower(url), '0123456789', '0000000000'), '[^a-z0/.\-_?=&#:%+~]', '*', 'g') || '$' AS t,
+           rule IN ('example.net/en/', 'org/fr/') AS ok, CAST('0x' || substr(sha256(url), 1, 8) AS BIGINT) % 5 = 0 AS held FROM urls),
+grams AS (SELECT url, ok, rule IS NOT NULL AND NOT held AS counts, substr(t, i, {_N + 1}) AS g FROM (SELECT *, unnest(generate_series(1, length(t) - {_N})) AS i FROM folded)),
+n{_N} AS (SELECT ok, g, count(*) AS n FROM grams WHERE counts GROUP BY 1, 2),
+{_url_models(_N, url_filter.CONTEXTS, url_filter.LEAST)},
+ratio AS (SELECT url, avg(coalesce({', '.join(f'llr{k}' for k in range(_N, -1, -1))})) AS ratio FROM grams
+  {' '.join(f"LEFT JOIN l{k} ON g{k} = substr(g, {_N + 1 - k})" for k in range(_N + 1))} GROUP BY url),
+seen AS (SELECT ok, ratio, floor(ratio * 1024) AS bin FROM folded JOIN ratio USING (url) WHERE rule IS NOT NULL AND held),
+middle AS (SELECT (avg(ratio) FILTER (ok) + avg(ratio) FILTER (NOT ok)) / 2 AS middle, count(*) FILTER (ok) AS all_good, count(*) FILTER (NOT ok) AS all_bad, max(bin) AS last FROM seen),
+bins AS (SELECT bin, count(*) FILTER (ok) AS good, count(*) FILTER (NOT ok) AS bad FROM seen GROUP BY bin UNION ALL SELECT last + 1, 0, 0 FROM middle WHERE last IS NOT NULL),
+upto AS (SELECT bin, coalesce(lag(bin) OVER (ORDER BY bin) + 1, bin) AS low, sum(good) OVER (ORDER BY bin) - good AS below, sum(bad) OVER (ORDER BY bin) - bad AS bad_below FROM bins),
+errors AS (SELECT below * all_bad + (all_bad - bad_below) * all_good AS error, least(greatest(middle, low / 1024), bin / 1024) AS edge, middle FROM upto, middle WHERE middle IS NOT NULL),
+chosen AS (SELECT edge FROM errors ORDER BY error, abs(edge - middle), edge LIMIT 1)
+SELECT page_id, host, path, r.rule, CASE WHEN r.rule IS NOT NULL THEN CASE WHEN r.rule IN ('example.net/en/', 'org/fr/') THEN 'allow' ELSE 'block' END
+  WHEN ratio.ratio IS NULL OR (SELECT edge FROM chosen) IS NULL OR ratio.ratio >= (SELECT edge FROM chosen) THEN 'allow' ELSE 'block' END AS verdict
+FROM ruled r LEFT JOIN ratio ON ratio.url = r.url
 """
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -45,46 +46,77 @@ def fold(url):
     return "".join("0" if "0" <= c <= "9" else c if c in ALPHABET and c not in "*^$" else "*" for c in url.lower())
 
 
+def grams(urls):
+    return [t[i - url_filter.ORDERS : i + 1] for u in urls for t in ["^" * url_filter.ORDERS + fold(u) + "$"] for i in range(url_filter.ORDERS, len(t))]
+
+
 def model(urls):
-    """log-probability of a character after two, by Witten-Bell mixing."""
-    counts = [Counter() for _ in range(3)]
-    for u in urls:
-        t = "^^" + fold(u) + "$"
-        for i in range(2, len(t)):
-            for k in range(3):
-                counts[k][t[i - k : i + 1]] += 1
-    totals = [Counter() for _ in range(3)]
-    kinds = [Counter() for _ in range(3)]
-    for k in range(3):
-        for g, n in counts[k].items():
-            totals[k][g[:-1]] += n
-            kinds[k][g[:-1]] += 1
+    """The probability of a gram's last character, by Witten-Bell mixing."""
+    counts, totals, kinds = Counter(), Counter(), Counter()
+    for g in grams(urls):
+        for k in range(len(g)):
+            counts[g[k:]] += 1
+    for g, n in counts.items():
+        totals[g[:-1]] += n
+        kinds[g[:-1]] += 1
 
     def p(g):
-        k, c = len(g) - 1, g[:-1]
-        lower = p(g[1:]) if k else 1 / len(ALPHABET)
-        return (counts[k][g] + kinds[k][c] * lower) / (totals[k][c] + kinds[k][c]) if totals[k][c] else lower
+        c = g[:-1]
+        lower = p(g[1:]) if c else 1 / len(ALPHABET)
+        return (counts[g] + kinds[c] * lower) / (totals[c] + kinds[c]) if totals[c] else lower
 
-    return p
+    return p, totals
 
 
 def test_the_model_equals_plain_counting(spark):
     good, bad = ["http://good.org/en/1", "https://nice.org/a", "http://good.org/2"], ["http://bad.com/pills?x=1", "http://bets.com/é"]
     df = spark.createDataFrame([(u, True) for u in good] + [(u, False) for u in bad], "url string, ok boolean")
     found = {r.gram: r.llr for r in fit(df).collect()}
-    assert len(found) == len(ALPHABET) ** 3
-    a, b = model(good), model(bad)
-    for g in list(found)[::97] + ["^^h", "bad", "ood", "000", "zzz"]:
+    (a, n), (b, m) = model(good), model(bad)
+    tree = {c for c in {*n, *m} if n[c] + m[c] >= url_filter.LEAST or not c}
+    assert set(found) == {c + x for c in tree for x in ALPHABET} and {len(c) for c in tree} == set(range(url_filter.ORDERS + 1))
+    for g in found:
         assert found[g] == pytest.approx(math.log(a(g)) - math.log(b(g)), abs=1e-9)
+    # each character by its longest context in the tree
+    urls = ["http://good.org/3", "http://bad.com/?", ""]
+    ratio = {r.url: r.ratio for r in url_filter.ratios(spark.createDataFrame([(u,) for u in urls], "url string"), fit(df), "url").collect()}
+    for u in urls:
+        own = [found[next(g[k:] for k in range(len(g)) if g[k:] in found)] for g in grams([u])]
+        assert ratio[u] == pytest.approx(sum(own) / len(own), abs=1e-9)
+
+
+def test_contexts_are_few_whatever_the_input(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "CONTEXTS", 20)
+    df = spark.createDataFrame([(f"http://{i:05d}.org/{i * 7919 % 9973:x}", i % 2 == 0) for i in range(300)], "url string, ok boolean")
+    sizes = Counter(len(r.gram) for r in fit(df).collect())
+    assert all(n <= 20 * len(ALPHABET) for n in sizes.values())
 
 
 def test_unruled_urls_go_by_the_likelier_model(spark):
     rows = [f"https://calm{i % 7}.org/fr/story/{i}" for i in range(60)] + [f"https://loud{i % 7}.net/casino?win={i}" for i in range(60)]
-    rows += ["https://calm.info/fr/story/7", "https://loud.info/casino?win=7"]
-    df = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string")
+    more = {"https://calm.info/fr/story/7": "allow", "https://loud.info/casino?win=7": "block", "loud3.net/casino?win=7": "block", "file:///casino?win=7": "block", "loud3 casino?win=7": "block", "calm5.org/fr/story/12": "allow", "": None}
+    df = spark.createDataFrame(list(enumerate([*rows, *more, None])), "page_id bigint, url string")
     found = {r.page_id: r for r in filter_urls(df).collect()}
-    assert len(found) == 122 and found[120].rule is None
-    assert (found[120].verdict, found[121].verdict) == ("allow", "block")
+    assert len(found) == 120 + len(more) + 1
+    for k, expected in enumerate(more.values()):
+        assert found[120 + k].rule is None and found[120 + k].ratio is not None and expected in (None, found[120 + k].verdict)
+    assert found[127].verdict == "allow" and found[127].ratio is None
+
+
+def test_the_threshold_has_the_least_held_out_error(spark):
+    """Classes that overlap: no other limit does better, and few URLs are misjudged."""
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 9)))
+    rows = [(f"http://{word('abcdeabcdepq')}.info/{word('abcdepq')}", True) for _ in range(400)] + [(f"http://{word('pqrstpqrstab')}.info/{word('pqrstab')}", False) for _ in range(150)]
+    df = spark.createDataFrame(rows, "url string, ok boolean").distinct()
+    tree, held = fit(df.filter("xxhash64(url) % 2 = 0")), df.filter("xxhash64(url) % 2 != 0")
+    limit = url_filter.calibrated(held, tree)
+    seen = [(r.ratio, r.ok) for r in url_filter.ratios(held, tree, "url", "ok").collect()]
+    n = Counter(ok for _, ok in seen)
+    error = lambda x: sum(v < x for v, ok in seen if ok) / n[True] + sum(v >= x for v, ok in seen if not ok) / n[False]
+    steps = {math.floor(v * 1024) / 1024 for v, _ in seen}
+    assert error(limit) <= min(map(error, steps)) + 1e-12 and error(limit) < 0.15
+    assert url_filter.calibrated(held.filter("ok"), tree) is None
 
 
 def test_whole_table(spark):
