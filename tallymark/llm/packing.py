@@ -1,23 +1,25 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 Texts are cut into pieces no longer than the largest length; pieces are dealt
-by hash to shards of bounded size and packed there, longest first: a piece goes
-to the open bin that it fills best, else a new bin opens. All permitted lengths
-are tried as the length to open (a piece that needs more gets the least that
-holds it); every bin is then downsized to the least length that holds its
-contents, and the trial with the least total cost is the shard's answer.
+by hash to shards of bounded size and packed there, longest first. When a bin
+has to be opened for a piece, each permitted length that holds it is filled on
+trial with what fits best of the pieces left, again and again the largest that
+fits, and downsized; the one that costs least for what it holds is opened. The
+plain way, where every bin opens with one length and pieces go to the open bin
+that they fill best, is tried for each length too, and the cheapest of all these
+answers is the shard's. Every bin has the least length that holds its contents.
 
 With an order given, shards are consecutive ranges of it instead, and bins are
 numbered in it, so that read by number the sequences follow it.
 
 Defined cases: a null or negative size counts as 0, and an empty text is one
 piece of length 0; ties in length go by id and piece; rows that repeat an id
-are packed each. Every position of every text is in exactly one piece.
+are packed each, and very many of them are dealt to many shards. Every position of every text is in exactly one piece.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -56,9 +58,38 @@ def best_fit(sizes: Sequence[int], lengths: Sequence[int], opening: int) -> tupl
     return where, [least(n) for n in filled]
 
 
+def joint_fit(sizes: Sequence[int], lengths: Sequence[int], cost: Callable[[int], float]) -> tuple[list[int], list[int]]:
+    """Bin of each size (given longest first) and the bins' lengths, if each bin
+    opens with the length that costs least for what it then holds."""
+    lengths = sorted(lengths)
+    left, index = list(reversed(sizes)), list(range(len(sizes) - 1, -1, -1))  # shortest first
+    where, found = [0] * len(sizes), []
+    while left:
+        best: tuple[float, int, list[int], int] | None = None
+        for length in lengths[bisect_left(lengths, left[-1]) :]:
+            picked = [len(left) - 1]
+            used = left[-1]
+            while picked[-1] > 0:
+                at = min(bisect_right(left, length - used), picked[-1]) - 1
+                if at < 0:
+                    break
+                picked.append(at)
+                used += left[at]
+            final = lengths[bisect_left(lengths, used)]
+            trial = (cost(final) / max(used, 1), -final, picked, final)
+            if best is None or trial[:2] < best[:2]:
+                best = trial
+        for at in best[2]:
+            where[index[at]] = len(found)
+            del left[at], index[at]
+        found.append(best[3])
+    return where, found
+
+
 def pack_shard(sizes: Sequence[int], lengths: Sequence[int], cost: Callable[[int], float]) -> tuple[list[int], list[int]]:
-    """The cheapest of best_fit()'s answers; the largest opening wins ties."""
-    trials = [best_fit(sizes, lengths, opening) for opening in sorted(lengths, reverse=True)]
+    """The cheapest of joint_fit()'s and best_fit()'s answers; of equal ones the
+    joint one, then the largest opening."""
+    trials = [joint_fit(sizes, lengths, cost), *(best_fit(sizes, lengths, opening) for opening in sorted(lengths, reverse=True))]
     return min(trials, key=lambda t: sum(map(cost, t[1])))
 
 
@@ -68,24 +99,24 @@ def pack(docs: DataFrame, size: Column, id_col: str = "doc_id", lengths: Sequenc
     order: columns of docs to keep the order of. The first is a number that a
     bounded count of rows share, such as a slot of source_mix.mix()."""
     largest = max(lengths)
-    rows = docs.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long").alias("size"), *(F.col(c).alias(f"_by{k}") for k, c in enumerate(order)))
+    rows = docs.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long").alias("size"), *(F.col(c).alias(f"_by{k}") for k, c in enumerate(order)), F.monotonically_increasing_id().alias("_read"))
     by = [f"_by{k}" for k in range(len(order))]
     n = F.greatest(F.ceil(F.col("size") / largest), F.lit(1))
-    pieces = rows.select("id", "size", *by, F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("piece"))
+    pieces = rows.select("id", "size", "_read", *by, F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("piece"))
     start = F.col("piece").cast("long") * largest
-    pieces = pieces.select("id", "piece", *by, start.alias("start"), F.least(F.lit(largest), F.col("size") - start).alias("length"))
+    pieces = pieces.select("id", "piece", "_read", *by, start.alias("start"), F.least(F.lit(largest), F.col("size") - start).alias("length"))
     if by:
         # how many pieces each slot's predecessors have: a row for each slot
         slots = rows.groupBy("_by0").agg(F.sum(n).alias("own"))
         slots = slots.select(F.col("_by0").alias("_slot"), (F.sum("own").over(Window.orderBy("_by0")) - F.col("own")).alias("_before"))
-        within = F.row_number().over(Window.partitionBy("_by0").orderBy(*by[1:], "id", "piece"))
+        within = F.row_number().over(Window.partitionBy("_by0").orderBy(*by[1:], "id", "_read", "piece"))
         pieces = pieces.withColumn("_within", within).join(slots, F.col("_by0") == F.col("_slot"))
         place = (F.col("_before") + F.col("_within") - 1).cast("long")
         pieces = pieces.select("id", "piece", "start", "length", place.alias("place"), F.floor(place / SHARD).alias("shard"))
     else:
         totals = rows.agg(F.sum(n)).first()
         shards = max(1, int(totals[0] or 0) // SHARD)
-        pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "length", F.lit(31)), F.lit(shards)))
+        pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "_read", F.lit(31)), F.lit(shards)))
 
     def packed(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "id", "piece"], ascending=[False, True, True]).reset_index(drop=True)

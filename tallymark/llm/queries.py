@@ -109,7 +109,9 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), F.char_length("text"))
+    """Sizes are tokens."""
+    docs = token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.read_pieces(PIECES))
+    return packing.pack(docs, F.col("n_tokens"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,23 @@
 import importlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tallymark.llm.packing import LENGTHS
+from tallymark.llm.token_counts import read_pieces
 from tests.llm.test_line_dedup import brute as plain_lines
 from tests.llm.test_packing import check
 from tests.llm.test_simhash_dedup import shingles
+from tests.llm.test_token_counts import greedy
 
 SMALL = "/root/testdata/sf0.001"
 
 
+def tokens(spark, rows):
+    pieces = set(read_pieces(corpus_pipeline.PIECES))
+    return {r.doc_id: sum(greedy(pieces, "▁" + w) for w in (r.text or "").split()) for r in rows}
+
+
 def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns = docs.columns
@@ -34,7 +43,7 @@ def test_stages_against_brute_force(spark):
         elif name == "source_mix":
             assert after == before
         else:
-            check(now.collect(), {i: len(r.text) for i, r in before.items()}, LENGTHS)
+            check(now.collect(), tokens(spark, before.values()), LENGTHS)
 
 
 def test_run_is_the_stages_in_turn(spark):
@@ -79,15 +88,14 @@ def test_only_the_result_is_left_behind(spark):
 
 
 def test_sequences_follow_the_mix(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
     from tallymark.llm import packing, source_mix
 
     monkeypatch.setattr(packing, "SHARD", 400)
     docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 20_000).alias("text"), F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("source"))
     slot = {r.doc_id: (r.slot, r.source) for r in source_mix.mix(docs, F.char_length("text")).select("row.doc_id", "row.source", "slot").collect()}
     rows = corpus_pipeline.pack_sequences(spark, docs, SMALL).collect()
-    check(rows, {i: 20_000 for i in range(1200)}, LENGTHS)
+    each = tokens(spark, docs.limit(1).collect()).popitem()[1]
+    check(rows, {i: each for i in range(1200)}, LENGTHS)
     shards = {}
     for r in rows:
         shards.setdefault(r.bin >> 24, []).append((*slot[r.doc_id], r.length))
@@ -97,4 +105,14 @@ def test_sequences_follow_the_mix(spark, monkeypatch):
     target, done, b = 1 / (1 + 3**0.7), 0, 0
     for _, own in sorted(shards.items())[:3]:
         done, b = done + sum(n for _, _, n in own), b + sum(n for _, s, n in own if s == "b")
-        assert abs(b - target * done) <= 1.1 * (1 << 20)
+        assert abs(b - target * done) <= 1.1 * (1 << 20) / 20_000 * each
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    odd = docs.union(docs.limit(5)).withColumns({c: F.lit(7) for c in ("row", "id", "size", "lines", "kept", "block", "slot", "key", "w", "tie", "node", "score")})
+    for name, stage in corpus_pipeline.STAGES:
+        before, odd = odd, stage(spark, odd, SMALL)
+        if name != "packing":
+            assert odd.columns == before.columns and odd.filter("row = 7 and slot = 7").count() == odd.count()
+    assert 0 < odd.select("doc_id").distinct().count() <= 60

@@ -2,27 +2,33 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallymark.llm.queries import PIECES, op1_token_counts
-from tallymark.llm.token_counts import Counts, LongestMatch, count_tokens, read_pieces
+from tallymark.llm.token_counts import Counts, LongestMatch, _built, built, count_tokens, read_pieces
 
 SMALL = "/root/testdata/sf0.001"
 
 
-def greedy(pieces: set[str], word: str) -> int:
+def greedy(pieces: set[str], word: str, bytes_: bool = True) -> int:
     """Longest match first, by trying every length."""
     at = n = 0
     while at < len(word):
         end = next((e for e in range(len(word), at, -1) if word[at:e] in pieces), None)
-        if end is None:
+        if end is None and not bytes_:
             return 1
-        at, n = end, n + 1
+        n += 1 if end else len(word[at].encode())
+        at = end or at + 1
     return n
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.sets(st.text("abc", min_size=1, max_size=5), max_size=12), st.lists(st.text("abcd", max_size=14), max_size=8))
-def test_counts_equal_greedy_matching(pieces, words):
-    match = LongestMatch(pieces)
-    assert [match.count(w) for w in words] == [greedy(pieces, w) if w else 0 for w in words]
+@given(st.sets(st.text("abcé", min_size=1, max_size=5), max_size=12), st.lists(st.text("abcdé€", max_size=14), max_size=8), st.booleans())
+def test_counts_equal_greedy_matching(pieces, words, bytes_):
+    match = LongestMatch(pieces, bytes_)
+    assert [match.count(w) for w in words] == [greedy(pieces, w, bytes_) if w else 0 for w in words]
+
+
+def test_workers_keep_one_vocabulary():
+    first = built("a", ["▁", "x"], "▁", False)
+    assert built("a", [], "▁", False) is first and built("b", ["▁"], "▁", False) is not first and list(_built) == ["b"]
 
 
 def test_the_memory_of_words_is_bounded():
@@ -51,5 +57,5 @@ def test_edge_cases(spark):
     out = count_tokens(df, ["▁", "▁ab", "ab", "a"])
     assert out.columns == ["doc_id", "n_words", "n_tokens"]
     found = sorted(((r.doc_id or 0), r.n_words, r.n_tokens) for r in out.collect())
-    assert found == [(0, 0, 0), (1, 0, 0), (3, 0, 0), (4, 3, 3), (4, 3, 3), (5, 1, 50_000)]
+    assert found == [(0, 0, 0), (1, 0, 0), (3, 0, 0), (4, 3, 5), (4, 3, 5), (5, 1, 50_000)]  # ▁ z z of bytes
     assert count_tokens(df.limit(0), ["a"]).count() == 0
