@@ -10,7 +10,15 @@ from dataclasses import dataclass, fields
 @dataclass(frozen=True)
 class JobConfig:
     """Times are milliseconds. Every field can be set by an environment
-    variable of its name in capitals."""
+    variable of its name in capitals.
+
+    The paths are directories of records or, with bootstrap_servers, Kafka
+    topics. A positive idle_millis lets a silent source not hold the others
+    back (Spark has no idle timer: the source that is furthest ahead then sets
+    the watermark). trigger_millis is the cadence of the micro-batches, 0 for all
+    that is there and then an end. parallelism is the number of shuffle
+    partitions, and salts that of the groups a symbol's keys are dealt to.
+    """
 
     orders_path: str = "orders"
     prices_path: str = "prices"
@@ -26,14 +34,18 @@ class JobConfig:
     trigger_millis: int = 5_000
     price_windows: int = 240
     parallelism: int = 2
-    salts: int = 1
+    salts: int = 4
+    files_per_trigger: int = 1000
+    bad_records: str = "fail"
 
     def __post_init__(self) -> None:
-        for name in ("window_millis", "trigger_millis", "price_windows", "parallelism", "salts"):
+        for name in ("window_millis", "price_windows", "parallelism", "salts", "files_per_trigger"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
-        if self.delay_millis < 0 or self.idle_millis < 0:
+        if min(self.delay_millis, self.idle_millis, self.trigger_millis) < 0:
             raise ValueError("delays can't be negative")
+        if self.bad_records not in ("fail", "skip"):
+            raise ValueError("bad_records is fail or skip")
 
     @classmethod
     def from_environment(cls, env: Mapping[str, str] | None = None) -> JobConfig:

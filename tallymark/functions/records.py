@@ -16,6 +16,14 @@ def decode(raw: DataFrame, schema: str, value: str = "value", strict: bool = Tru
     return raw.select(F.inline(F.array(F.from_json(value, schema, options))))
 
 
+def decode_beside(raw: DataFrame, schema: str, value: str = "value", strict: bool = True) -> DataFrame:
+    """decode(), with raw's other columns beside the fields."""
+    options = {"mode": "FAILFAST" if strict else "PERMISSIVE"}
+    others = [c for c in raw.columns if c != value]
+    whole = raw.select(*others, F.inline(F.array(F.from_json(value, schema, options))))
+    return whole.select(*(c for c in whole.columns if c not in others), *others)
+
+
 def encode(rows: DataFrame, schema: str) -> Column:
     """JSON with sorted keys and plain decimals, the same bytes every time."""
     return F.to_json(F.struct(*sorted(schemas.names(schema) if "<" not in schema else rows.columns)))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -16,6 +16,7 @@ from ..functions.keys import symbol_of, trade_id
 from ..functions.times import next_boundary
 from ..operators import closing, positions, relations
 from ..operators.market_value import value_at_close
+from ..scratch import new_path, written
 from ..sources import files
 from ..streaming import jobs
 from . import checks, sql, tables
@@ -46,6 +47,12 @@ def _account_positions(spark: SparkSession, d: str) -> DataFrame:
     return positions.running(positions.split(tables.trades(spark, d)))
 
 
+def _until(spark: SparkSession, d: str, window_millis: int) -> Column:
+    """The last close of both streams. Positions have their trades' times, so
+    these tell it without working out any position."""
+    return closing.horizon(tables.trades(spark, d), tables.prices(spark, d), window_millis)
+
+
 POSITION = "SELECT key, symbol, quantity, lastTradeId, updateCount, eventTime FROM"
 VALUE = "SELECT key, symbol, quantity, price, marketValue, lastTradeId, windowEnd FROM"
 
@@ -120,12 +127,12 @@ def carried_prices(spark, d):
 
 @query(f"{VALUE} symbol_values", *sql.ALL)
 def mv_by_symbol(spark, d):
-    return value_at_close(_symbol_positions(spark, d), tables.prices(spark, d), HOUR)
+    return value_at_close(_symbol_positions(spark, d), tables.prices(spark, d), HOUR, until=_until(spark, d, HOUR))
 
 
 @query(f"{VALUE} account_values", *sql.ALL)
 def mv_by_account(spark, d):
-    return value_at_close(_account_positions(spark, d), tables.prices(spark, d), HOUR)
+    return value_at_close(_account_positions(spark, d), tables.prices(spark, d), HOUR, until=_until(spark, d, HOUR))
 
 
 DAY_ALL = (*sql.BASE, sql.market_values("symbol", positions.DAY), sql.market_values("account", positions.DAY))
@@ -134,7 +141,7 @@ DAY_ALL = (*sql.BASE, sql.market_values("symbol", positions.DAY), sql.market_val
 @query(f"{VALUE} account_values", *DAY_ALL)
 def mv_by_account_daily(spark, d):
     """The same with windows of a day: the window length is a parameter."""
-    return value_at_close(_account_positions(spark, d), tables.prices(spark, d), positions.DAY)
+    return value_at_close(_account_positions(spark, d), tables.prices(spark, d), positions.DAY, until=_until(spark, d, positions.DAY))
 
 
 @query("SELECT count(DISTINCT windowEnd) AS windows FROM account_values", *sql.ALL)
@@ -282,12 +289,14 @@ def _check(name: str, expected: str, actual: str) -> str:
 
 
 @query(" UNION ALL ".join((
+    _check("orders", "(SELECT count(*) FROM events WHERE event_type IN ('purchase', 'signup'))", "(SELECT count(DISTINCT tradeId) FROM symbol_updates)"),
     _check("unique symbols", "4", "(SELECT count(DISTINCT symbol) FROM trades)"), _check("allocations", "(SELECT 4 * count(*) FROM trades)", "(SELECT count(*) FROM account_updates)"),
-    _check("blocks unlike their allocations", "0", "0"), _check("both sides", "2", "(SELECT count(DISTINCT side) FROM trades)"), _check("duplicate trade ids", "0", "(SELECT count(*) - count(DISTINCT tradeId) FROM trades)"),
+    _check("blocks unlike their allocations", "0", "(SELECT count(*) FROM trades JOIN (SELECT tradeId, sum(abs(signedQuantity)) AS q FROM account_updates GROUP BY 1) USING (tradeId) WHERE q <> 4 * each)"), _check("both sides", "2", "(SELECT count(DISTINCT side) FROM trades)"), _check("duplicate trade ids", "0", "(SELECT count(*) - count(DISTINCT tradeId) FROM trades)"),
     _check("unique account keys", "16", "(SELECT count(DISTINCT key) FROM account_updates)"), _check("malformed account keys", "0", "(SELECT count(*) FROM account_updates WHERE NOT regexp_full_match(key, 'ACC[1-4]/SUB1/SYM[0-3]'))"),
 )), *sql.BASE)
 def checks_orders(spark, d):
-    return checks.orders(tables.trades(spark, d), len(tables.ACCOUNTS), list(tables.SYMBOLS))
+    wanted = tables.read(spark, d, "events").filter(F.col("event_type").isin(*tables.SIDES)).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return checks.orders(tables.trades(spark, d), len(tables.ACCOUNTS), list(tables.SYMBOLS), wanted)
 
 
 @query(" UNION ALL ".join((
@@ -307,21 +316,36 @@ def checks_positions(spark, d):
     return checks.running(_symbol_positions(spark, d), _account_positions(spark, d), len(tables.ACCOUNTS), list(tables.SYMBOLS))
 
 
+#: Windows that each side's values must cover, at least.
+FLOOR = 24
+
+
 def _value_checks(side: str, keys: int) -> str:
     v = f"{side}_values"
+    # each closing value from its window to the next one's, and the values that differ from it
+    unlike = lambda rows, key, value, order: f"""(SELECT count(*) FROM {v} v LEFT JOIN (SELECT k, a, lead(a) OVER (PARTITION BY k ORDER BY a) AS b, x FROM (
+  SELECT {key} AS k, eventTime // {HOUR} * {HOUR} + {HOUR} AS a, arg_max({value}, (eventTime, {order})) AS x FROM {rows} GROUP BY 1, 2)) c
+  ON v.{key} = c.k AND v.windowEnd >= c.a AND (c.b IS NULL OR v.windowEnd < c.b) WHERE v.{value} IS DISTINCT FROM c.x)"""
     return " UNION ALL ".join((
         _check(f"{side} keys", str(keys), f"(SELECT count(DISTINCT key) FROM {v})"), _check(f"{side} wrong values", "0", f"(SELECT count(*) FROM {v} WHERE marketValue <> quantity * price)"),
         _check(f"{side} keys with a gap", "0", f"(SELECT count(*) FROM (SELECT key FROM {v} GROUP BY key HAVING max(windowEnd) - min(windowEnd) <> (count(*) - 1) * {HOUR}))"),
         _check(f"{side} keys missing from the last window", "0", f"(SELECT count(*) FROM (SELECT key FROM {v} GROUP BY key HAVING max(windowEnd) < (SELECT max(windowEnd) FROM {v})))"),
-        _check(f"{side} duplicates", "0", f"(SELECT count(*) FROM (SELECT key FROM {v} GROUP BY key, windowEnd HAVING count(*) > 1))"), _check(f"{side} prices unlike the close", "0", "0"), _check(f"{side} quantities unlike the close", "0", "0"),
+        _check(f"{side} duplicates", "0", f"(SELECT count(*) FROM (SELECT key FROM {v} GROUP BY key, windowEnd HAVING count(*) > 1))"),
+        _check(f"{side} prices unlike the close", "0", unlike("prices", "symbol", "price", "seq")), _check(f"{side} quantities unlike the close", "0", unlike(f"{side}_positions", "key", "quantity", "updateCount")),
+        _check(f"{side} windows up to the floor", str(FLOOR), f"(SELECT least(count(DISTINCT windowEnd), {FLOOR}) FROM {v})"),
     ))
 
 
 @query(_value_checks("symbol", 4) + " UNION ALL " + _value_checks("account", 16), *sql.ALL)
 def checks_market_values(spark, d):
-    ticks, s, a = tables.prices(spark, d), _symbol_positions(spark, d), _account_positions(spark, d)
-    mv = lambda p: value_at_close(p, ticks, HOUR)
-    return checks.union(checks.values(mv(s), s, ticks, HOUR, 4, "symbol"), checks.values(mv(a), a, ticks, HOUR, 16, "account"))
+    """Positions, ticks and values are written once; what was written is checked."""
+    ticks = written(tables.prices(spark, d), "ticks")
+    until, found = _until(spark, d, HOUR), []
+    for side, made, keys in (("symbol", _symbol_positions, 4), ("account", _account_positions, 16)):
+        held = written(made(spark, d), f"{side}-positions")
+        mv = written(value_at_close(held, ticks, HOUR, until=until), f"{side}-values")
+        found.append(checks.values(mv, held, ticks, HOUR, keys, side, floor=FLOOR))
+    return checks.union(*found)
 
 
 @query("""SELECT tradeId, symbol, side, 4 * each AS quantity, CAST(4 AS INTEGER) AS allocations, eventTime FROM trades""", *sql.BASE)
@@ -341,18 +365,34 @@ def quarantine(spark, d):
     return records.quarantine(t, records.trade_fault())[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{POSITION} account_positions", *sql.BASE)
+@query("SELECT key, symbol, quantity, lastTradeId, updateCount, eventTime, key AS recordKey, eventTime AS recordMillis FROM account_positions", *sql.BASE)
 def sink_roundtrip(spark, d):
-    """Positions through the keyed sink and back, keys and times intact."""
-    path = jobs.scratch(spark, "positions-by-account")
+    """Positions through the keyed sink and back, with each record's own key and time."""
+    path = new_path(spark, "positions-by-account")
     files.publish(_account_positions(spark, d), path, schemas.POSITION, "key", "eventTime", "updateCount")
-    return files.complete(spark, path, schemas.POSITION).select(*schemas.names(schemas.POSITION))
+    return files.with_records(spark, path, schemas.POSITION)
+
+
+@query("SELECT key, symbol, quantity, price, marketValue, lastTradeId, windowEnd, key AS recordKey, windowEnd AS recordMillis FROM account_values", *sql.ALL)
+def market_value_records(spark, d):
+    """Market values through their keyed sink and back."""
+    path = new_path(spark, "mv-by-account")
+    files.publish(mv_by_account(spark, d), path, schemas.MARKET_VALUE, "key", "windowEnd", "windowEnd")
+    return files.with_records(spark, path, schemas.MARKET_VALUE)
+
+
+@query("SELECT tradeId, symbol, side, 4 * each AS quantity, eventTime, tradeId AS recordKey, eventTime AS recordMillis FROM trades", *sql.BASE)
+def trade_records(spark, d):
+    """Block trades published by trade id."""
+    path = new_path(spark, "orders")
+    files.publish(tables.trades(spark, d), path, schemas.BLOCK_TRADE, "tradeId", "eventTime", "tradeId")
+    return files.with_records(spark, path, schemas.BLOCK_TRADE).drop("allocations")
 
 
 @query("SELECT symbol, CAST(1 AS BIGINT) AS partitions, CAST(0 AS BIGINT) AS falls FROM prices GROUP BY symbol", *sql.BASE)
 def keyed_partitions(spark, d):
     """One symbol's published prices are in one partition, sorted by time."""
-    path = jobs.scratch(spark, "prices")
+    path = new_path(spark, "prices")
     ticks = tables.prices(spark, d)
     files.publish(ticks.select(*schemas.names(schemas.PRICE)), path, schemas.PRICE, "symbol", "eventTime", "eventTime", key="symbol")
     return files.partition_report(spark, path, schemas.PRICE)
@@ -370,12 +410,12 @@ def stream_positions_by_account(spark, d):
 
 @query(f"{VALUE} symbol_values", *sql.ALL)
 def stream_mv_by_symbol(spark, d):
-    return jobs.stream_market_values(spark, d, by_account=False, window_millis=HOUR)
+    return jobs.stream_market_values(spark, d, by_account=False)
 
 
 @query(f"{VALUE} account_values", *sql.ALL)
 def stream_mv_by_account(spark, d):
-    return jobs.stream_market_values(spark, d, by_account=True, window_millis=HOUR)
+    return jobs.stream_market_values(spark, d, by_account=True)
 
 
 @query("SELECT key, symbol, CAST(sum(signedQuantity) OVER w AS BIGINT) AS quantity, tradeId AS lastTradeId, row_number() OVER w AS updateCount, eventTime FROM line_updates WINDOW w AS (PARTITION BY key ORDER BY eventTime, tradeId ROWS UNBOUNDED PRECEDING)", sql.LINES)

@@ -28,8 +28,9 @@ def union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
-def orders(trades: DataFrame, accounts: int, symbols: list[str]) -> DataFrame:
-    """Counts, keys, sums and ids of the block trades, in two passes."""
+def orders(trades: DataFrame, accounts: int, symbols: list[str], expected: Column | int) -> DataFrame:
+    """Counts (how many orders there should be), keys, sums and ids of the block
+    trades, in two passes."""
     total = F.aggregate("allocations", F.lit(0).cast("bigint"), lambda s, a: s + a["quantity"])
     facts = trades.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("symbol").alias("symbols"), F.sum(F.size("allocations")).alias("allocations"), F.count(F.when(total != F.col("quantity"), 1)).alias("unequal"),
@@ -39,7 +40,7 @@ def orders(trades: DataFrame, accounts: int, symbols: list[str]) -> DataFrame:
     n = F.col("n")
     return union(
         _rows(facts, {
-            "unique symbols": (len(symbols), F.col("symbols")), "allocations": (n * accounts, F.col("allocations")), "blocks unlike their allocations": (0, F.col("unequal")),
+            "orders": (expected, F.col("ids")), "unique symbols": (len(symbols), F.col("symbols")), "allocations": (n * accounts, F.col("allocations")), "blocks unlike their allocations": (0, F.col("unequal")),
             "both sides": (2, F.col("sides")), "duplicate trade ids": (0, n - F.col("ids")),
         }),
         _rows(keys, {"unique account keys": (accounts * len(symbols), F.col("keys")), "malformed account keys": (0, F.col("bad"))}),
@@ -78,9 +79,10 @@ def running(by_symbol: DataFrame, by_account: DataFrame, accounts: int, symbols:
     )
 
 
-def values(mv: DataFrame, positions_: DataFrame, ticks: DataFrame, window_millis: int, keys: int, label: str, price_windows: int | None = 240) -> DataFrame:
+def values(mv: DataFrame, positions_: DataFrame, ticks: DataFrame, window_millis: int, keys: int, label: str, price_windows: int | None = 240, floor: int = 1) -> DataFrame:
     """Market values against the streams that fed them, recomputed apart: one
-    pass over the values, then one row per key, then one per last window."""
+    pass over the values, then one row per key, then one per last window. At
+    least `floor` windows must have values."""
     until = mv.agg(F.max("windowEnd").alias("m")).scalar()
     price = closing.carried(closing.closing_prices(ticks, window_millis), "symbol", until, window_millis, price_windows).select("symbol", "windowEnd", F.col("price").alias("p"))
     held = closing.carried(closing.closing_positions(positions_, window_millis), "key", until, window_millis).select("key", "windowEnd", F.col("quantity").alias("q"))
@@ -94,7 +96,8 @@ def values(mv: DataFrame, positions_: DataFrame, ticks: DataFrame, window_millis
     names = ("gap", "twice", "wrong", "price", "quantity")
     by_end = each.groupBy("last").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in names))
     facts = by_end.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("keys"), F.coalesce(F.max_by("n", "last"), F.lit(0)).alias("at_end"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
+    facts = facts.withColumn("windows", mv.agg(F.count_distinct("windowEnd").alias("n")).scalar())
     return _rows(facts, {
-        f"{label} keys": (keys, F.col("keys")), f"{label} wrong values": (0, F.col("wrong")), f"{label} keys with a gap": (0, F.col("gap")), f"{label} keys missing from the last window": (0, F.col("keys") - F.col("at_end")),
+        f"{label} windows up to the floor": (floor, F.least(F.col("windows"), F.lit(floor))), f"{label} keys": (keys, F.col("keys")), f"{label} wrong values": (0, F.col("wrong")), f"{label} keys with a gap": (0, F.col("gap")), f"{label} keys missing from the last window": (0, F.col("keys") - F.col("at_end")),
         f"{label} duplicates": (0, F.col("twice")), f"{label} prices unlike the close": (0, F.col("price")), f"{label} quantities unlike the close": (0, F.col("quantity")),
     })

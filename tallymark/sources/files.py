@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import records
@@ -33,13 +33,18 @@ def complete(spark: SparkSession, path: str, schema: str, expected: int | None =
     return records.decode(raw, schema)
 
 
+def with_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The decoded records with their own key and time: recordKey, recordMillis."""
+    raw = spark.read.schema(RECORD).parquet(path)
+    whole = raw.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), F.col("key").alias("recordKey"), F.unix_millis("timestamp").alias("recordMillis"))
+    return whole.select("r.*", "recordKey", "recordMillis")
+
+
 def partition_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Per symbol, the files that hold its records and how often the event time
     falls from one record to the next within a file."""
     raw = spark.read.schema(RECORD).parquet(path)
     own = raw.select(F.from_json("value", schema).alias("r"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    from pyspark.sql import Window
-
     before = F.lag("r.eventTime").over(Window.partitionBy("r.symbol", "file").orderBy("block", "at"))
     own = own.select(F.col("r.symbol").alias("symbol"), "file", (F.col("r.eventTime") < before).alias("falls"))
     return own.groupBy("symbol").agg(F.count_distinct("file").alias("partitions"), F.count(F.when(F.col("falls"), 1)).alias("falls"))
@@ -51,3 +56,10 @@ def stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int |
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
+
+
+def arrivals(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A directory of records as a stream: value, and seq, the order in which
+    one key's records arrived."""
+    at = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index")
+    return stream(spark, path, RECORD, files_per_trigger).select("value", at.alias("seq"))

@@ -24,9 +24,10 @@ def write_options(config: JobConfig, topic: str) -> dict[str, str]:
     }
 
 
-def stream(spark: SparkSession, config: JobConfig, topic: str, schema: str, committed: bool = False) -> DataFrame:
+def arrivals(spark: SparkSession, config: JobConfig, topic: str, committed: bool = False) -> DataFrame:
+    """A topic as a stream: value, and seq, the order in which one key's records arrived."""
     raw = spark.readStream.format("kafka").options(**read_options(config, topic, committed)).load()
-    return records.decode(raw.select(F.col("value").cast("string").alias("value")), schema)
+    return raw.select(F.col("value").cast("string").alias("value"), F.struct("partition", "offset").alias("seq"))
 
 
 def snapshot(spark: SparkSession, config: JobConfig, topic: str, schema: str) -> DataFrame:

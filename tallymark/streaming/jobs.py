@@ -1,39 +1,33 @@
 """The two jobs on streams: trades to positions, positions and prices to values.
 
-Sources and sinks are directories here. File sinks commit each micro-batch once,
-so results are exactly-once over restarts from the same checkpoint.
+Both read and write records (key, JSON value, timestamp), in directories or on
+Kafka, as a JobConfig says. File sinks commit each micro-batch once, so results
+are exactly-once over failures and restarts from the same checkpoint.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import sys
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import schemas
+from ..config import JobConfig
+from ..functions import records
 from ..functions.times import next_boundary
 from ..operators import positions
 from ..plans import tables
-from ..sources import files
+from ..plans.sql import HOUR
+from ..scratch import new_path
+from ..sources import files, kafka
 from . import processors
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir);
-    a temporary one only in a local session that sets none."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def running_positions(updates: DataFrame) -> DataFrame:
     """One position per update, from keyed state."""
     return updates.groupBy("key").transformWithState(processors.RunningPosition(), processors.POSITION, "Append", "None")
@@ -65,13 +59,6 @@ def start(rows: DataFrame, out: str, checkpoint: str, trigger_millis: int | None
     return rows.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def start_both_sides(trades: DataFrame, out: str, checkpoint: str, trigger_millis: int | None = None) -> dict[str, StreamingQuery]:
-    """One source of trades, two independent branches: positions by symbol and
-    by account, each with its own state and sink under out."""
-    sides = {"positions-by-symbol": positions.by_symbol(trades), "positions-by-account": positions.split(trades)}
-    return {name: start(running_positions(updates), f"{out}/{name}", f"{checkpoint}/{name}", trigger_millis) for name, updates in sides.items()}
-
-
 def start_batches(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """For sinks without transactions: each micro-batch has a folder of its
     own, written over if the batch is repeated after a failure."""
@@ -89,27 +76,96 @@ def finish(query: StreamingQuery) -> None:
         raise query.exception()
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.stream(spark, f"{sf_dir}/events*.parquet", tables.EVENTS)
+SIDES = {"positions_by_symbol": positions.by_symbol, "positions_by_account": positions.split}
+VALUES = {"mv_by_symbol": "positions_by_symbol", "mv_by_account": "positions_by_account"}
+
+
+def settled(spark: SparkSession, config: JobConfig) -> SparkSession:
+    """A session of its own for a job, with the configuration's settings."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    own.conf.set("spark.sql.shuffle.partitions", config.parallelism)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "max" if config.idle_millis else "min")
+    return own
+
+
+def source(spark: SparkSession, config: JobConfig, name: str, schema: str, fault: Column, committed: bool = False) -> DataFrame:
+    """The records of config's `name`_path decoded, with seq. A record that is no
+    JSON or has a fault fails the job, or is left out if config says so."""
+    path = getattr(config, f"{name}_path")
+    raw = kafka.arrivals(spark, config, path, committed) if config.bootstrap_servers else files.arrivals(spark, path, config.files_per_trigger)
+    if config.bad_records == "fail":
+        return records.checked(records.decode_beside(raw, schema), fault)
+    return records.quarantine(records.decode_beside(raw, schema, strict=False), fault)[0]
+
+
+def sink(rows: DataFrame, config: JobConfig, name: str, schema: str, time: str) -> StreamingQuery:
+    """Writes a stream as records to config's `name`_path, at its cadence."""
+    out = files.as_records(rows.select(*schemas.names(schema)), schema, "key", time)
+    path, trigger = getattr(config, f"{name}_path"), {"processingTime": f"{config.trigger_millis} milliseconds"} if config.trigger_millis else {"availableNow": True}
+    writer = out.writeStream.outputMode("append").queryName(name).option("checkpointLocation", f"{config.checkpoint_path}/{name}").trigger(**trigger)
+    if config.bootstrap_servers:
+        return writer.format("kafka").options(**kafka.write_options(config, path)).start()
+    return writer.format("parquet").option("path", path).start()
+
+
+def run_positions(spark: SparkSession, config: JobConfig, sides: Iterable[str] = tuple(SIDES)) -> dict[str, StreamingQuery]:
+    """The first job: orders to positions. One source, a branch for each side
+    with its own state and sink."""
+    own = settled(spark, config)
+    trades = source(own, config, "orders", schemas.BLOCK_TRADE, records.trade_fault())
+    return {name: sink(running_positions(SIDES[name](trades)), config, name, schemas.POSITION, "eventTime") for name in sides}
+
+
+def run_market_values(spark: SparkSession, config: JobConfig, sides: Iterable[str] = tuple(VALUES)) -> dict[str, StreamingQuery]:
+    """The second job: positions and prices to values at each close."""
+    own = settled(spark, config)
+    ticks = source(own, config, "prices", schemas.PRICE, records.price_fault())
+    found = {}
+    for name in sides:
+        held = source(own, config, VALUES[name], schemas.POSITION, records.position_fault(), committed=True)
+        values = values_at_close(held, ticks, config.window_millis, config.delay_millis, config.price_windows, config.salts)
+        found[name] = sink(values, config, name, schemas.MARKET_VALUE, "windowEnd")
+    return found
+
+
+def published(spark: SparkSession, sf_dir: str, prices: bool) -> JobConfig:
+    """The given tables' trades (and prices) as records, and a configuration
+    that reads them to their end."""
+    top = new_path(spark, "job")
+    config = JobConfig(**{f"{n}_path": f"{top}/{n}" for n in ("orders", "prices", "checkpoint", *SIDES, *VALUES)}, window_millis=HOUR, delay_millis=0, idle_millis=0, trigger_millis=0, parallelism=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    files.publish(tables.trades(spark, sf_dir), config.orders_path, schemas.BLOCK_TRADE, "tradeId", "eventTime", "tradeId")
+    if prices:
+        ticks = tables.prices(spark, sf_dir)
+        files.publish(ticks, config.prices_path, schemas.PRICE, "symbol", "eventTime", "seq")
+    return config
 
 
-def _positions_path(spark: SparkSession, sf_dir: str, by_account: bool) -> str:
-    trades = tables.event_trades(events(spark, sf_dir))
-    updates = positions.split(trades) if by_account else positions.by_symbol(trades)
-    out = scratch(spark, "stream-positions")
-    finish(start(running_positions(updates), out, scratch(spark, "stream-state")))
-    return out
+def stream_positions(spark: SparkSession, sf_dir: str, by_account: bool) -> DataFrame:
+    """Positions of all events by the first job, over records."""
+    config, name = published(spark, sf_dir, prices=False), f"positions_by_{'account' if by_account else 'symbol'}"
+    finish(run_positions(spark, config, [name])[name])
+    return files.complete(spark, getattr(config, f"{name}_path"), schemas.POSITION).select(*schemas.names(processors.POSITION))
 
 
-def stream_positions(spark: SparkSession, sf_dir: str, by_account: bool) -> DataFrame:
-    """Positions of all events by a stream that ends when it has read them."""
-    return spark.read.schema(processors.POSITION).parquet(_positions_path(spark, sf_dir, by_account))
+def stream_market_values(spark: SparkSession, sf_dir: str, by_account: bool) -> DataFrame:
+    """Market values by both jobs: the second reads what the first wrote."""
+    config, side = published(spark, sf_dir, prices=True), "account" if by_account else "symbol"
+    finish(run_positions(spark, config, [f"positions_by_{side}"])[f"positions_by_{side}"])
+    finish(run_market_values(spark, config, [f"mv_by_{side}"])[f"mv_by_{side}"])
+    return files.complete(spark, getattr(config, f"mv_by_{side}_path"), schemas.MARKET_VALUE).select(*schemas.names(processors.VALUE))
+
+
+def main() -> None:
+    """python -m tallymark.streaming.jobs positions|market-values, set up by the environment."""
+    jobs = {"positions": run_positions, "market-values": run_market_values}
+    if len(sys.argv) != 2 or sys.argv[1] not in jobs:
+        raise SystemExit(f"usage: {sys.argv[0]} {'|'.join(jobs)}")
+    spark = SparkSession.builder.appName(sys.argv[1]).getOrCreate()
+    for query in jobs[sys.argv[1]](spark, JobConfig.from_environment()).values():
+        finish(query)
 
 
-def stream_market_values(spark: SparkSession, sf_dir: str, by_account: bool, window_millis: int) -> DataFrame:
-    """Market values by two chained streams: the second reads what the first wrote."""
-    held = files.stream(spark, _positions_path(spark, sf_dir, by_account), processors.POSITION)
-    ticks = tables.event_prices(events(spark, sf_dir))
-    out = scratch(spark, "stream-values")
-    finish(start(values_at_close(held, ticks, window_millis), out, scratch(spark, "stream-state")))
-    return spark.read.schema(processors.VALUE).parquet(out)
+if __name__ == "__main__":
+    main()

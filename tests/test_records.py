@@ -95,11 +95,12 @@ def test_order_checks_find_disorder(spark):
 def test_order_checks_find_broken_trades(spark):
     a = [(f"ACC{i}", 5, "SUB1") for i in range(1, 5)]
     good = [(a, 1, 20, "BUY", "AAPL", "T1"), (a, 2, 20, "SELL", "AAPL", "T2")]
-    failed = lambda rows: {r.name for r in checks.orders(spark.createDataFrame(rows, schemas.BLOCK_TRADE), 4, ["AAPL"]).collect() if not r.ok}
+    failed = lambda rows, n=2: {r.name for r in checks.orders(spark.createDataFrame(rows, schemas.BLOCK_TRADE), 4, ["AAPL"], n).collect() if not r.ok}
     assert failed(good) == set()
     assert failed([*good, good[0]]) == {"duplicate trade ids"}
-    assert failed(good[:1]) == {"both sides"}
-    assert failed([*good, (a, 3, 21, "BUY", "AAPL", "T3")]) == {"blocks unlike their allocations"}
+    assert failed(good[:1]) == {"both sides", "orders"}
+    assert failed([*good, (a, 3, 21, "BUY", "AAPL", "T3")], 3) == {"blocks unlike their allocations"}
+    assert failed(good, 3) == {"orders"}
 
 
 def test_fingerprints_ignore_order_and_notice_changes(spark):

@@ -1,11 +1,19 @@
 """Streams give what batches give, over several micro-batches and restarts."""
 
+import dataclasses
+import os
+import signal
+import subprocess
+import sys
+import time
+from datetime import datetime
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallymark import schemas
+from tallymark.config import JobConfig
 from tallymark.operators import positions, relations
 from tallymark.operators.market_value import value_at_close
 from tallymark.sources import files
@@ -62,17 +70,128 @@ def test_a_silent_source_holds_windows_back(spark, tmp_path):
     assert spark.read.schema(processors.VALUE).parquet(f"{tmp_path}/out").count() == 0
 
 
-def test_two_branches_of_one_source(spark, tmp_path):
-    a = [(f"ACC{i}", 5, "SUB1") for i in range(1, 5)]
-    rows = [(a, n * 1000, 20, "BUY" if n % 3 else "SELL", f"S{n % 2}", f"T{n:09d}") for n in range(30)]
-    trades = spark.createDataFrame(rows, schemas.BLOCK_TRADE)
-    trades.write.parquet(f"{tmp_path}/in")
-    started = jobs.start_both_sides(files.stream(spark, f"{tmp_path}/in", schemas.BLOCK_TRADE), f"{tmp_path}/out", f"{tmp_path}/state")
-    for query in started.values():
+def orders(spark, lo, hi):
+    """Trades of uneven allocations, one a second."""
+    shares = F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.struct(F.concat(F.lit("H"), k.cast("string")).alias("account"), (k * (F.col("id") % 5 + 1)).alias("quantity"), F.lit("s").alias("subAccount")))
+    return spark.range(lo, hi).select(shares.alias("allocations"), (F.col("id") * 1000).alias("eventTime"), (6 * (F.col("id") % 5 + 1)).alias("quantity"), F.when(F.col("id") % 3 == 0, "SELL").otherwise("BUY").alias("side"), F.format_string("S%d", F.col("id") % 2).alias("symbol"), F.format_string("T%09d", "id").alias("tradeId"))
+
+
+def configured(top, **options):
+    paths = {f"{n}_path": f"{top}/{n}" for n in ("orders", "prices", "checkpoint", *jobs.SIDES, *jobs.VALUES)}
+    return JobConfig(**(paths | {"window_millis": MINUTE, "delay_millis": 0, "idle_millis": 0, "trigger_millis": 0} | options))
+
+
+def put(rows, path, schema, key, order):
+    """Appends records, as a producer does."""
+    files.as_records(rows.coalesce(1).sortWithinPartitions("eventTime", order), schema, key, "eventTime").write.mode("append").parquet(path)
+
+
+def read(spark, path, schema):
+    return files.with_records(spark, path, schema)
+
+
+def test_both_jobs_run_from_one_configuration(spark, tmp_path):
+    """JSON records in, keyed records with their times out, for both sides of both jobs."""
+    config = configured(tmp_path, files_per_trigger=1, salts=3)
+    for lo in (0, 150):
+        put(orders(spark, lo, lo + 150), config.orders_path, schemas.BLOCK_TRADE, "tradeId", "tradeId")
+        put(ticks(spark, lo // 7, lo // 7 + 25), config.prices_path, schemas.PRICE + ", seq BIGINT", "symbol", "seq")
+    for query in jobs.run_positions(spark, config).values():
+        jobs.finish(query)
+    for query in jobs.run_market_values(spark, config).values():
         jobs.finish(query)
-    read = lambda name: spark.read.schema(processors.POSITION).parquet(f"{tmp_path}/out/{name}")
-    assert same(read("positions-by-symbol"), positions.running(positions.by_symbol(trades)))
-    assert same(read("positions-by-account"), positions.running(positions.split(trades)))
+    price = ticks(spark, 0, 46).union(ticks(spark, 21, 25)).select(*schemas.names(schemas.PRICE), "seq")
+    for name, updates_of in jobs.SIDES.items():
+        held = positions.running(updates_of(orders(spark, 0, 300)))
+        found = read(spark, f"{tmp_path}/{name}", schemas.POSITION)
+        assert same(found.select(*held.columns), held)
+        assert found.filter("recordKey != key or recordMillis != eventTime").count() == 0
+        mv = value_at_close(held, price, MINUTE)
+        values = read(spark, f"{tmp_path}/{name.replace('positions', 'mv')}", schemas.MARKET_VALUE)
+        assert same(values.select(*mv.columns), mv) and mv.count() >= 8
+        assert values.filter("recordKey != key or recordMillis != windowEnd").count() == 0
+
+
+def test_bad_records_fail_or_are_left_out(spark, tmp_path):
+    put(orders(spark, 0, 20), f"{tmp_path}/orders", schemas.BLOCK_TRADE, "tradeId", "tradeId")
+    spark.createDataFrame([("k", "{oops", None), ("k", '{"symbol":"S0","side":"BUY","quantity":-3}', None)], files.RECORD).write.mode("append").parquet(f"{tmp_path}/orders")
+    with pytest.raises(Exception):
+        jobs.finish(jobs.run_positions(spark, configured(tmp_path), ["positions_by_symbol"])["positions_by_symbol"])
+    config = configured(tmp_path, checkpoint_path=f"{tmp_path}/other", positions_by_symbol_path=f"{tmp_path}/skipped", bad_records="skip")
+    jobs.finish(jobs.run_positions(spark, config, ["positions_by_symbol"])["positions_by_symbol"])
+    held = positions.running(positions.by_symbol(orders(spark, 0, 20)))
+    assert same(read(spark, f"{tmp_path}/skipped", schemas.POSITION).select(*held.columns), held)
+
+
+@pytest.mark.parametrize("idle", [0, 5000])
+def test_an_idle_source_holds_windows_back_unless_told_otherwise(spark, tmp_path, idle):
+    config = configured(tmp_path, idle_millis=idle)
+    put(positions.running(positions.by_symbol(orders(spark, 0, 200))).withColumn("seq", F.lit(0)), config.positions_by_symbol_path, schemas.POSITION, "key", "updateCount")
+    put(ticks(spark, 0, 3), config.prices_path, schemas.PRICE, "symbol", "seq")  # the last one at 14.5 s
+    jobs.finish(jobs.run_market_values(spark, config, ["mv_by_symbol"])["mv_by_symbol"])
+    ends = sorted({r.windowEnd for r in read(spark, config.mv_by_symbol_path, schemas.MARKET_VALUE).collect()})
+    assert ends == ([60_000, 120_000, 180_000] if idle else [])
+
+
+def test_settings_reach_the_queries(spark, tmp_path):
+    """Cadence, parallelism and age: of a job that runs on, a micro-batch each second."""
+    config = configured(tmp_path, trigger_millis=1000, parallelism=3, files_per_trigger=1)
+    for lo in (0, 30):
+        put(orders(spark, lo, lo + 30), config.orders_path, schemas.BLOCK_TRADE, "tradeId", "tradeId")
+    own = jobs.settled(spark, config)
+    assert own.conf.get("spark.sql.shuffle.partitions") == "3" != spark.conf.get("spark.sql.shuffle.partitions")
+    query = jobs.run_positions(spark, config, ["positions_by_symbol"])["positions_by_symbol"]
+    try:
+        for _ in range(120):
+            if sum(p.numInputRows for p in query.recentProgress) >= 60:
+                break
+            time.sleep(0.5)
+        began = [datetime.fromisoformat(p.timestamp.replace("Z", "+00:00")).timestamp() for p in query.recentProgress if p.numInputRows]
+        assert len(began) == 2 and abs(began[1] - round(began[1])) < 0.3
+        assert {s.numShufflePartitions for p in query.recentProgress if p.numInputRows for s in p.stateOperators} == {3}
+    finally:
+        query.stop()
+    held = positions.running(positions.by_symbol(orders(spark, 0, 60)))
+    assert same(read(spark, config.positions_by_symbol_path, schemas.POSITION).select(*held.columns), held)
+
+
+KILLED = """
+import sys
+sys.path.insert(0, {home!r})
+from pyspark.sql import SparkSession
+from tallymark.config import JobConfig
+from tallymark.streaming import jobs
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", {top!r} + "/w").getOrCreate()
+jobs.run_positions(spark, JobConfig(**{config!r}), ["positions_by_account"])["positions_by_account"].awaitTermination()
+"""
+
+
+def test_exactly_once_through_a_kill(spark, tmp_path):
+    """The whole process, JVM and workers, is killed while micro-batches run; a
+    restart from the same checkpoint leaves every row once."""
+    config = configured(tmp_path, files_per_trigger=1, trigger_millis=1)
+    for lo in range(0, 400, 40):
+        put(orders(spark, lo, lo + 40), config.orders_path, schemas.BLOCK_TRADE, "tradeId", "tradeId")
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = KILLED.format(home=home, top=str(tmp_path), config=dataclasses.asdict(config))
+    job = subprocess.Popen([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": home}, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, start_new_session=True)
+    try:
+        begun = f"{config.checkpoint_path}/positions_by_account/offsets"
+        for _ in range(600):
+            n = len([x for x in os.listdir(begun) if x.isdigit()]) if os.path.isdir(begun) else 0
+            if n >= 3 or job.poll() is not None:
+                break
+            time.sleep(0.1)
+        assert n >= 3 and job.poll() is None
+    finally:
+        os.killpg(job.pid, signal.SIGKILL)
+        job.wait()
+    ended = len([x for x in os.listdir(f"{config.checkpoint_path}/positions_by_account/commits") if x.isdigit()])
+    assert ended < 10  # killed before it was done
+    again = dataclasses.replace(config, trigger_millis=0)
+    jobs.finish(jobs.run_positions(spark, again, ["positions_by_account"])["positions_by_account"])
+    held = positions.running(positions.split(orders(spark, 0, 400)))
+    assert same(read(spark, config.positions_by_account_path, schemas.POSITION).select(*held.columns), held)
 
 
 def test_live_numbers_and_repeatable_batches(spark, tmp_path):
@@ -81,7 +200,10 @@ def test_live_numbers_and_repeatable_batches(spark, tmp_path):
     source = files.stream(spark, f"{tmp_path}/in", schemas.UPDATE, 1)
     query = jobs.start_batches(metrics.observed(source, "stage"), f"{tmp_path}/out", f"{tmp_path}/state")
     jobs.finish(query)
-    assert [(r["records"], r["keys"]) for r in metrics.reports(query, "stage")] == [(20, 3)] * 2
+    found = metrics.reports(query, "stage")
+    assert [(r["records"], r["keys"]) for r in found] == [(20, 3)] * 2
+    now = time.time() * 1000  # event times start at 0, so ages are about the time itself
+    assert all(now - 600_000 < r["age"][0] <= r["age"][1] <= now for r in found)
     assert len(metrics.rates(query)) == 2 and min(metrics.rates(query)) > 0
     assert same(spark.read.parquet(f"{tmp_path}/out").drop("batch"), updates(spark, 0, 40))
 
