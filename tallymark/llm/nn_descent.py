@@ -126,20 +126,21 @@ def adjacent(graph: DataFrame, reverse: int) -> DataFrame:
     return graph.select(F.col("a").alias("m"), F.col("b").alias("a")).union(back.select("m", "a")).distinct()
 
 
-def _drawn(of: DataFrame, k: int, by: str, seed: int) -> DataFrame:
-    return _nearest(of, k, by, F.xxhash64("m", "a", F.lit(seed)))
+def _drawn(share: float, seed: int) -> Column:
+    """True for about that share of a graph's edges, others in each round."""
+    return F.pmod(F.xxhash64("a", "b", F.lit(seed)), F.lit(1000)) < int(1000 * share)
 
 
-def meetings(graph: DataFrame, sample: int, seed: int) -> DataFrame:
+def meetings(graph: DataFrame, share: float, most: int, seed: int) -> DataFrame:
     """m, a, new: whom each node introduces to each other: of its neighbours, and
-    of the nodes whose neighbour it is, up to `sample` new and old ones each,
-    drawn by hash. Nodes without a new one introduce nobody."""
-    ahead = graph.select(F.col("a").alias("m"), F.col("b").alias("a"), "new")
-    back = graph.select(F.col("b").alias("m"), "a", "new")
-    fresh = _drawn(ahead.filter("new"), sample, "m", seed).union(_drawn(back.filter("new"), sample, "m", seed))
-    met = fresh.select("m").distinct()
-    old = [_drawn(way.filter("not new").join(met, "m", "left_semi"), sample, "m", seed) for way in (ahead, back)]
-    return fresh.union(old[0]).union(old[1]).groupBy("m", "a").agg(F.max("new").alias("new"))
+    of the nodes whose neighbour it is, a share drawn by hash, and `most` of them
+    in all, new ones first. Nodes without a new one introduce nobody."""
+    way = F.inline(F.array(F.struct(F.col("a").alias("m"), F.col("b").alias("x")), F.struct(F.col("b").alias("m"), F.col("a").alias("x"))))
+    both = graph.filter(_drawn(share, seed)).select(way, "new").repartition("m")
+    rank = F.row_number().over(Window.partitionBy("m").orderBy(F.desc("new"), F.xxhash64("m", "x", F.lit(seed)), "x"))
+    kept = both.withColumn("rank", rank).filter(F.col("rank") <= most)
+    kept = kept.withColumn("any", F.max("new").over(Window.partitionBy("m"))).filter("any")
+    return kept.groupBy("m", F.col("x").alias("a")).agg(F.max("new").alias("new"))
 
 
 def introduced(met: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def introduced(met: DataFrame) -> DataFrame:
     return met.repartition("m").sortWithinPartitions("m").mapInArrow(pairs, "a long, b long, d double, n long")
 
 
-def build_graph(nodes: DataFrame, n: int, k: int = 40, sample: int = 20, rounds: int = 16, least_gain: float = 0.002, watch: Callable[[int, DataFrame, int], None] | None = None) -> DataFrame:
+def build_graph(nodes: DataFrame, n: int, k: int = 40, share: float = 0.5, most: int = 64, rounds: int = 16, least_gain: float = 0.003, watch: Callable[[int, DataFrame, int], None] | None = None) -> DataFrame:
     """a, b, d: about the k nearest other nodes of each.
 
     Each round, new neighbours meet each other and the old ones; pairs nearer
@@ -196,7 +197,8 @@ def build_graph(nodes: DataFrame, n: int, k: int = 40, sample: int = 20, rounds:
 
     def stored(edges: DataFrame) -> tuple[str, DataFrame, float, int]:
         path = new_path(spark, "nn-graph")
-        best = _nearest(edges.filter("a is not null").groupBy("a", "b").agg(F.min("d").alias("d"), F.min("new").alias("new")), k, "a", "d", "b")
+        dealt = edges.filter("a is not null").repartition("a")  # by which all that follows is dealt out already
+        best = _nearest(dealt.groupBy("a", "b").agg(F.min("d").alias("d"), F.min("new").alias("new")), k, "a", "d", "b")
         best.select("a", "b", "d", "new").write.parquet(path)
         graph = spark.read.schema("a long, b long, d double, new boolean").parquet(path)
         return path, graph, graph.agg(F.sum(F.least("d", F.lit(1e300)))).first()[0] or 0.0
@@ -208,14 +210,12 @@ def build_graph(nodes: DataFrame, n: int, k: int = 40, sample: int = 20, rounds:
     for at in range(rounds):
         full = F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(float("inf"))
         reach = graph.groupBy("a").agg(full.alias("r"))
-        met = written(meetings(graph, sample, at), "nn-met")
         known = vectors.join(reach, vectors["node"] == reach["a"], "left").select(F.col("node").alias("a"), F.coalesce("r", F.lit(float("inf"))).alias("r"), "vector")
-        found = introduced(met.join(known, "a").select("m", "a", "new", "r", "vector"))
+        found = introduced(meetings(graph, share, most, at).join(known, "a").select("m", "a", "new", "r", "vector"))
         if watch:
             found = written(found, "nn-found")
-        # a new neighbour that was introduced has met the others of that node, and is old from now on
-        used = _drawn(graph.filter("new").select(F.col("a").alias("m"), F.col("b").alias("a"), "new"), sample, "m", at).select(F.col("m").alias("a"), F.col("a").alias("b"), F.lit(True).alias("used"))
-        now = graph.join(used, ["a", "b"], "left").select("a", "b", "d", (F.col("new") & F.col("used").isNull()).alias("new"))
+        # a new neighbour that was drawn has met the others, and is old from now on
+        now = graph.select("a", "b", "d", (F.col("new") & ~_drawn(share, at)).alias("new"))
         old, before = path, total
         path, graph, total = stored(now.union(found.select("a", "b", "d", F.lit(True))))
         drop_path(spark, old)
@@ -226,7 +226,7 @@ def build_graph(nodes: DataFrame, n: int, k: int = 40, sample: int = 20, rounds:
     return graph.select("a", "b", "d")
 
 
-def greedy_search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: int = 192, expand: int = 32, reverse: int = 48, rounds: int = 12) -> DataFrame:
+def greedy_search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: int = 192, expand: int = 64, reverse: int = 48, rounds: int = 8) -> DataFrame:
     """starts: q (a node). Returns q, node, d: the nearest nodes found, itself
     left out. Each round expands the `expand` nearest unexpanded nodes of the
     best `beam` of each query, until all of those are expanded. Nodes that fell
@@ -249,9 +249,10 @@ def greedy_search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: i
         front = beams.filter("now")
         if front.isEmpty():
             break
-        met = front.select("q", "node").join(links, F.col("node") == F.col("m")).select("q", F.explode("near").alias("node")).distinct()
-        met = met.join(beams.select("q", "node"), ["q", "node"], "left_anti")
-        new = met.join(nodes, "node").join(goal, "q").select("q", "node", distance("vector", "goal").alias("d"), F.lit(False).alias("done"))
+        met = front.select("q", "node").join(links, F.col("node") == F.col("m")).select("q", F.explode("near").alias("node"))
+        seen = beams.select("q", "node", "d", (F.col("done") | F.col("now")).alias("done")).union(met.select("q", "node", F.lit(None).cast("double"), F.lit(None).cast("boolean")))
+        every = seen.repartition("q").groupBy("q", "node").agg(F.max("d").alias("d"), F.max("done").alias("done"))
+        new = every.filter("d is null").select("q", "node").join(nodes, "node").join(goal, "q").select("q", "node", distance("vector", "goal").alias("d"), F.lit(False).alias("done"))
         state = beams.select("q", "node", "d", (F.col("done") | F.col("now")).alias("done")).union(new)
     return beams.filter("q != node").select("q", "node", "d")
 

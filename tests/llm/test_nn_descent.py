@@ -87,7 +87,7 @@ def test_the_descent_finds_what_the_start_does_not(spark):
         distances += made
         recall.append(share([(r.a, r.b) for r in graph.filter(F.col("a").isin(queries)).orderBy("d").collect()]))
 
-    graph = build_graph(nodes, len(ids), k=20, sample=10, rounds=8, watch=watch)
+    graph = build_graph(nodes, len(ids), k=20, most=40, rounds=8, watch=watch)
     found = greedy_search(nodes, graph, spark.createDataFrame([(q,) for q in queries], "q bigint"), beam=64, expand=16)
     searched = share([(r.q, r.node) for r in found.orderBy("d", "node").collect()])
     print(f"recall by round {recall}, of the search {searched}; distances {distances / (len(ids) ** 2 / 2):.3f} of all pairs")

@@ -1,8 +1,10 @@
 import importlib
+import os
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tallymark.llm.common import shared_dir
 from tallymark.llm.packing import LENGTHS
 from tallymark.llm.token_counts import read_pieces
 from tests.llm.test_line_dedup import brute as plain_lines
@@ -46,19 +48,20 @@ def test_stages_against_brute_force(spark):
             check(now.collect(), tokens(spark, before.values()), LENGTHS)
 
 
-def test_run_is_the_stages_in_turn(spark):
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_dedup", "source_mix", "packing"]
-    assert corpus_pipeline.run(spark, SMALL).count() > 100
-
-
-def test_rejected_documents_go(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+def test_odd_rows_and_clashing_columns(spark):
+    """Rejected documents go; rows without an id, repeated rows and columns of any name stay."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
     odd = spark.createDataFrame([(-1, None, "en", None, 0), (-2, "123 456", "en", "s", 7), (None, "the thing and the other", None, "s", 9)], docs.schema)
-    kept = corpus_pipeline.keep_known_languages(spark, docs.union(odd), SMALL)
-    assert kept.count() == docs.count() + 1 and kept.filter("doc_id < 0").count() == 0
-    for _, stage in corpus_pipeline.STAGES[1:]:
-        kept = stage(spark, kept, SMALL)
-    assert kept.filter("doc_id is null").count() == 1
+    odd = docs.union(docs.limit(5)).union(odd).withColumns({c: F.lit(7) for c in ("row", "id", "size", "lines", "kept", "block", "slot", "key", "w", "tie", "node", "score")})
+    for name, stage in corpus_pipeline.STAGES:
+        before, odd = odd, stage(spark, odd, SMALL)
+        if name != "packing":
+            assert odd.columns == before.columns
+        if name == "language_id":
+            rows = odd.collect()
+            assert len(rows) == 66 and {r.row for r in rows} == {r.slot for r in rows} == {7} and min(r.doc_id for r in rows if r.doc_id is not None) >= 0
+    left = [r.doc_id for r in odd.collect()]
+    assert left.count(None) == 1 and 0 < len(set(left)) <= 61
 
 
 def test_empty_documents(spark):
@@ -75,22 +78,19 @@ def test_the_entry_registers_everything():
     assert set(entry.oracle_sql()) <= names
 
 
-def test_only_the_result_is_left_behind(spark):
-    import os
-
-    from tallymark.llm.common import shared_dir
-
+def test_run_leaves_only_its_result(spark):
     top = shared_dir(spark).removeprefix("file:")
-    before = set(os.listdir(top)) if os.path.isdir(top) else set()
-    corpus_pipeline.run(spark, SMALL).count()
+    before, tables = set(os.listdir(top)) if os.path.isdir(top) else set(), len(spark.catalog.listTables())
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_dedup", "source_mix", "packing"]
+    assert corpus_pipeline.run(spark, SMALL).count() > 100
     left = {x for x in set(os.listdir(top)) - before if not x.startswith(".")}
-    assert len(left) == 1 and next(iter(left)).startswith("pipeline-packing")
+    assert len(left) == 1 and next(iter(left)).startswith("pipeline-packing") and len(spark.catalog.listTables()) == tables
 
 
 def test_sequences_follow_the_mix(spark, monkeypatch):
     from tallymark.llm import packing, source_mix
 
-    monkeypatch.setattr(packing, "SHARD", 400)
+    monkeypatch.setattr(packing, "SHARD", 200)
     docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 20_000).alias("text"), F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("source"))
     slot = {r.doc_id: (r.slot, r.source) for r in source_mix.mix(docs, F.char_length("text")).select("row.doc_id", "row.source", "slot").collect()}
     rows = corpus_pipeline.pack_sequences(spark, docs, SMALL).collect()
@@ -106,13 +106,3 @@ def test_sequences_follow_the_mix(spark, monkeypatch):
     for _, own in sorted(shards.items())[:3]:
         done, b = done + sum(n for _, _, n in own), b + sum(n for _, s, n in own if s == "b")
         assert abs(b - target * done) <= 1.1 * (1 << 20) / 20_000 * each
-
-
-def test_repeated_rows_and_clashing_columns(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
-    odd = docs.union(docs.limit(5)).withColumns({c: F.lit(7) for c in ("row", "id", "size", "lines", "kept", "block", "slot", "key", "w", "tie", "node", "score")})
-    for name, stage in corpus_pipeline.STAGES:
-        before, odd = odd, stage(spark, odd, SMALL)
-        if name != "packing":
-            assert odd.columns == before.columns and odd.filter("row = 7 and slot = 7").count() == odd.count()
-    assert 0 < odd.select("doc_id").distinct().count() <= 60
