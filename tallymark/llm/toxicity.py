@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded first: lower case, look-alike letters of other scripts and
-digits standing for letters become Latin ones, all else that is no letter a
+Texts are folded first: lower case, look-alike letters of other scripts,
+letters in other dress and digits standing for letters become Latin ones, all else that is no letter a
 space. The lexicon's entries are word beginnings with a weight; an Aho-Corasick
 automaton finds them and the exception phrases in one pass. Matches inside an
 exception phrase don't count. A text's density, the sum of its matches' weights
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -38,17 +39,34 @@ LOOK_ALIKES = dict(zip("авеёкмнорстухіјѕԁԛԝαβεικνορτ
 SUBSTITUTES = dict(zip("0134578@$", "oieastbas", strict=True))
 #: Entries without labels, and phrases in which entries are harmless.
 SEEDS = ("idiot", "moron", "stupid", "pathetic", "worthless", "disgusting", "loser", "scum", "trash", "clown", "imbecile")
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "sore loser")
+EXCEPTIONS = (
+    "trash can", "trash bin", "trash bag", "trash day", "trash collection", "trash pickup", "clown fish", "class clown", "circus clown", "rodeo clown",
+    "sore loser", "loser bracket", "losers bracket", "pond scum", "soap scum", "disgusting smell", "pathetic fallacy", "worthless check", "worthless stock",
+)
+
+
+def compatible_letters() -> dict[str, str]:
+    """Letters and digits in other dress (full width, mathematical, circled,
+    script and so on) and the ASCII ones that Unicode says they are."""
+    found = {}
+    for block in (range(0x2100, 0x2500), range(0xFF00, 0xFFF0), range(0x1D400, 0x1D800)):
+        for c in map(chr, block):
+            plain = unicodedata.normalize("NFKD", c).lower()
+            if len(plain) == 1 and plain.isascii() and plain.isalnum():
+                found[c] = SUBSTITUTES.get(plain, plain)
+    return found
+
 
 _BYTES = bytearray(b" " * 128 + bytes(range(128, 256)))
 _BYTES[97:123] = range(97, 123)
 for _from, _to in SUBSTITUTES.items():
     _BYTES[ord(_from)] = ord(_to)
 _TABLE = bytes(_BYTES)
-_OTHER_SCRIPT = re.compile(rb"[\xcd-\xd4]")
+#: Bytes that letters which look like Latin ones begin with.
+_OTHER_SCRIPT = re.compile(rb"[\xcd-\xd4]|\xe2[\x84-\x93]|\xef[\xbc\xbd]|\xf0\x9d")
 #: Zero-width characters and soft hyphens, which are dropped.
 _HIDDEN = re.compile(rb"\xe2\x80[\x8b-\x8d]|\xe2\x81\xa0|\xef\xbb\xbf|\xc2\xad")
-_LOOKS = str.maketrans(LOOK_ALIKES)
+_LOOKS = str.maketrans(LOOK_ALIKES | compatible_letters())
 
 
 def fold(lowered: str) -> bytes:

@@ -1,10 +1,14 @@
+import math
+import re
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import crc_mod
 from tallymark.llm.queries import op6_toxicity
-from tallymark.llm.toxicity import Lexicon, choose, density, fit, fit_curve, fold, score_toxicity
+from tallymark.llm.toxicity import _LOOKS, SUBSTITUTES, Lexicon, choose, density, fit, fit_curve, fold, score_toxicity
 
 LARGER = "/root/testdata/sf0.1"
 
@@ -21,6 +25,46 @@ def test_folding_undoes_disguises():
     assert hits("1D10T") == hits("idiots") == hits("Іdiоt") == 4.0
 
 
+def test_letters_in_other_dress():
+    assert hits("ｉｄｉｏｔ") == hits("𝐢𝐝𝐢𝐨𝐭") == hits("ⓘⓓⓘⓞⓣ") == hits("ℐ𝒹𝒾ℴ𝓉") == 4.0
+    assert fold("“quoted” – 10 €") == " “quoted” – io €".encode()
+
+
+def plain_density(text, lexicon):
+    """The same by comparing every word with every entry, and every place with every phrase."""
+    folded = ""
+    for c in re.sub("[\u200b-\u200d\u2060\ufeff\u00ad]", "", text.lower()):
+        c = _LOOKS.get(ord(c), c)
+        c = SUBSTITUTES.get(c, c)
+        folded += c if "a" <= c <= "z" or ord(c) > 127 else " "
+    words = [(m.start(), m.group()) for m in re.finditer("[^ ]+", folded)]
+    if not words:
+        return 0.0
+    spared = set()
+    for phrase in lexicon.exceptions:
+        at = f" {folded}".find(f" {phrase}")
+        while at >= 0:
+            spared |= set(range(at, at + len(phrase) + 1))
+            at = f" {folded}".find(f" {phrase}", at + 1)
+    found = 0.0
+    for at, word in words:
+        if at not in spared:
+            found += max((w for entry, w in lexicon.weights.items() if word.encode().startswith(entry[1:].encode("latin-1"))), default=0.0)
+    return found / (len(words) + 10) * 10
+
+
+def test_whole_query_against_plain_scoring(spark):
+    small = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = fit(docs, labels, crc_mod("doc_id", 3) != 1)
+    text, (a, b) = {r.doc_id: r.text for r in docs.collect()}, lexicon.curve
+    rows = op6_toxicity(spark, small).collect()
+    assert len(rows) == len(text) and len(lexicon.weights) > 3
+    for r in rows:
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(a + b * math.log1p(plain_density(text[r.doc_id], lexicon))))), abs=1e-9)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7)
+
+
 def test_words_count_once_and_exceptions_dont():
     assert hits("an idiot and trash") == 6.0
     assert hits("the trash can, my idiot") == 4.0
