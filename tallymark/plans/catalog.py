@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import records
 from ..functions.keys import symbol_of, trade_id
-from ..functions.times import next_boundary
+from ..functions.times import last_boundary, next_boundary
 from ..operators import closing, positions, relations
 from ..operators.market_value import value_at_close
 from ..scratch import new_path, written
@@ -48,9 +48,12 @@ def _account_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _until(spark: SparkSession, d: str, window_millis: int) -> Column:
-    """The last close of both streams. Positions have their trades' times, so
-    these tell it without working out any position."""
-    return closing.horizon(tables.trades(spark, d), tables.prices(spark, d), window_millis)
+    """The last close of both streams, by one look at the events. Positions have
+    their trades' times, so these tell it without working out any position."""
+    latest = lambda kinds: F.max(F.when(F.col("event_type").isin(*kinds), tables.millis()))
+    ends = tables.read(spark, d, "events").agg(latest(tables.SIDES).alias("trade"), latest(tables.TICKS).alias("tick"))
+    both = F.when(F.col("trade").isNotNull() & F.col("tick").isNotNull(), F.least("trade", "tick"))
+    return ends.select(last_boundary(both - 1, window_millis).alias("until")).scalar()
 
 
 POSITION = "SELECT key, symbol, quantity, lastTradeId, updateCount, eventTime FROM"
