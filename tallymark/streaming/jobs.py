@@ -30,7 +30,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 def running_positions(updates: DataFrame) -> DataFrame:
     """One position per update, from keyed state."""
-    return updates.groupBy("key").transformWithState(processors.RunningPosition(), processors.POSITION, "Append", "None")
+    return updates.groupBy("key").transformWithStateInPandas(processors.RunningPosition(), processors.POSITION, "Append", "None")
 
 
 def _timed(rows: DataFrame, delay_millis: int) -> DataFrame:

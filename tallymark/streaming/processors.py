@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from decimal import Decimal
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,17 +17,20 @@ CLOSE = "symbol STRING, salt INT, kind STRING, key STRING, quantity BIGINT, last
 
 class RunningPosition(StatefulProcessor):
     """The position after each update. Updates of one micro-batch are taken in
-    the order of event time and trade id."""
+    the order of event time and trade id, as whole columns."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.total = handle.getValueState("total", "quantity BIGINT, updates BIGINT")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         quantity, updates = self.total.get() if self.total.exists() else (0, 0)
-        for r in sorted(rows, key=lambda r: (r.eventTime, r.tradeId)):
-            quantity, updates = quantity + r.signedQuantity, updates + 1
-            yield Row(key=r.key, symbol=r.symbol, quantity=quantity, lastTradeId=r.tradeId, updateCount=updates, eventTime=r.eventTime)
-        self.total.update((quantity, updates))
+        own = pd.concat(rows, ignore_index=True).sort_values(["eventTime", "tradeId"], ignore_index=True)
+        held = quantity + own["signedQuantity"].cumsum()
+        if (abs(quantity + own["signedQuantity"].astype(float).cumsum()) >= 2.0**63).any():
+            raise OverflowError(f"the position of {key[0]} has more than 63 bits")
+        self.total.update((int(held.iloc[-1]), updates + len(own)))
+        counts = pd.RangeIndex(updates + 1, updates + len(own) + 1)
+        yield pd.DataFrame({"key": own["key"], "symbol": own["symbol"], "quantity": held, "lastTradeId": own["tradeId"], "updateCount": counts, "eventTime": own["eventTime"]})
 
     def close(self) -> None:
         pass
