@@ -91,7 +91,7 @@ def test_sequences_follow_the_mix(spark, monkeypatch):
     from tallymark.llm import packing, source_mix
 
     monkeypatch.setattr(packing, "SHARD", 200)
-    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 20_000).alias("text"), F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("source"))
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x y "), 5_000).alias("text"), F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("source"))
     slot = {r.doc_id: (r.slot, r.source) for r in source_mix.mix(docs, F.char_length("text")).select("row.doc_id", "row.source", "slot").collect()}
     rows = corpus_pipeline.pack_sequences(spark, docs, SMALL).collect()
     each = tokens(spark, docs.limit(1).collect()).popitem()[1]
