@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, line_dedup, nn_descent, packing, simhash_dedup, source_mix, token_counts, topk_search, toxicity, url_filter
-from .common import crc_mod, table
+from .common import crc_mod, table, written
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -110,7 +110,8 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes are tokens."""
-    docs = token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.read_pieces(PIECES))
+    # packing looks at the sizes twice, so they are counted once and written
+    docs = written(token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.read_pieces(PIECES)), "tokens")
     return packing.pack(docs, F.col("n_tokens"))
 
 
