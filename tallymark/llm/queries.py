@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, nn_descent, packing, simhash_dedup, source_mix, token_counts, topk_search, toxicity, url_filter
+from . import language_id, lexical_search, line_dedup, nn_descent, packing, periodic_runs, simhash_dedup, source_mix, token_counts, topk_search, toxicity, url_filter
 from .common import crc_mod, table, written
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -125,6 +125,51 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of every tenth document, by crc32 of its id, the words
+    from a place on repeat with a period, both taken from that number."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    planted = F.when(h % 10 == 0, F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    own = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), planted.alias("words")).withColumn("n", F.size("words").cast("long"))
+    own = own.withColumn("a", F.when(F.col("n") > 0, F.expr("g % n")))
+    own = own.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    # whole slices, so that no word is looked up by its place
+    again = F.expr("slice(flatten(array_repeat(slice(words, int(a + 1), int(p)), int((n - a + p - 1) div p))), 1, int(n - a))")
+    text = F.when(F.col("n") > 0, F.array_join(F.concat(F.expr("slice(words, 1, int(a))"), again), " ")).otherwise(F.col("text"))
+    return own.select("doc_id", text.alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(_with_planted_runs(table(spark, sf_dir, "documents")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("smaller"))))
+    found = found.withColumn("top", top).withColumn("period", -F.col("top.smaller"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.before")).alias("start"), "top.length", "period",
+        F.expr("1000 * top.length div period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+OP13_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+held AS (SELECT r, doc_id, terms, len(terms) AS n FROM docs WHERE len(terms) > 0),
+total AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM held),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM held) GROUP BY 1, 2),
+items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, total WHERE term IN (SELECT term FROM items) GROUP BY term),
+sized AS (SELECT r, doc_id, 50 + (50 * n * big_n) // big_l AS m FROM held, total),
+scores AS (SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM items JOIN weights USING (term) JOIN tf USING (term) JOIN sized USING (r) GROUP BY item_id, r),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
 OP9_SQL = r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT r, doc_id, i, string_split(text, chr(10))[i] AS line
@@ -138,5 +183,5 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (l
 FROM judged GROUP BY r
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_topk_search, op4_language_id, op5_source_mix, op6_toxicity, op7_simhash_dedup, op8_packing, op9_line_dedup, op10_nn_descent)}
-ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op3_topk_search": OP3_SQL, "op9_line_dedup": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_topk_search, op4_language_id, op5_source_mix, op6_toxicity, op7_simhash_dedup, op8_packing, op9_line_dedup, op10_nn_descent, op12_periodic_runs, op13_lexical_search)}
+ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op3_topk_search": OP3_SQL, "op9_line_dedup": OP9_SQL, "op13_lexical_search": OP13_SQL}
