@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lexical_search, line_dedup, nn_descent, packing, periodic_runs, simhash_dedup, source_mix, token_counts, topk_search, toxicity, url_filter
+from . import language_id, lexical_search, line_dedup, nn_descent, packing, periodic_runs, pitman_yor, simhash_dedup, source_mix, token_counts, topk_search, toxicity, url_filter
 from .common import crc_mod, table, written
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -125,6 +125,13 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op11_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc_mod("doc_id", 7)
+    found = pitman_yor.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), F.coalesce(fold != 2, F.lit(True)))
+    held_out = F.coalesce(F.crc32(F.col("row.doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    return found.select("row.doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def _with_planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id and text; of every tenth document, by crc32 of its id, the words
     from a place on repeat with a period, both taken from that number."""
@@ -183,5 +190,5 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (l
 FROM judged GROUP BY r
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_topk_search, op4_language_id, op5_source_mix, op6_toxicity, op7_simhash_dedup, op8_packing, op9_line_dedup, op10_nn_descent, op12_periodic_runs, op13_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_topk_search, op4_language_id, op5_source_mix, op6_toxicity, op7_simhash_dedup, op8_packing, op9_line_dedup, op10_nn_descent, op11_pitman_yor, op12_periodic_runs, op13_lexical_search)}
 ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op3_topk_search": OP3_SQL, "op9_line_dedup": OP9_SQL, "op13_lexical_search": OP13_SQL}
