@@ -74,10 +74,6 @@ def unpack(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-def _narrow(x: np.ndarray) -> tuple[np.ndarray, str]:
-    return x.astype(np.uint32), "u4"
-
-
 class Chunks:
     """Texts of a task in chunks: their tokens as numbers, 0 for the end."""
 
@@ -108,8 +104,7 @@ class Chunks:
 
 def hashes(numbers: dict[bytes, int]) -> np.ndarray:
     h = xxhash.xxh64_intdigest
-    found = np.fromiter((h(w, 0) for w in numbers), np.uint64, len(numbers))
-    return found
+    return np.fromiter((h(w, 0) for w in numbers), np.uint64, len(numbers))
 
 
 def frequent_words(rows: DataFrame) -> tuple[int, np.ndarray]:
@@ -170,7 +165,7 @@ def cells(rows: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
                 c, begins = np.unique(ctx[at], return_index=True)
                 vocab, own_word = np.unique(word[at], return_inverse=True)
                 of.append(int(k))
-                for x, to in zip((h[c], _narrow(np.diff(np.append(begins, len(at))))[0], h[vocab], own_word.astype(np.uint32), doc[at].astype(np.uint16)), lists, strict=True):
+                for x, to in zip((h[c], np.diff(np.append(begins, len(at))).astype(np.uint32), h[vocab], own_word.astype(np.uint32), doc[at].astype(np.uint16)), lists, strict=True):
                     to.append(pack(x))
             cell = [pa.array(of, pa.int32()), pa.array([chunk] * len(of), pa.int64()), *(pa.array(x, pa.binary()) for x in lists)]
             yield pa.record_batch([*cell, pa.nulls(len(of), pa.list_(own.type)), pa.nulls(len(of), pa.list_(pa.int64()))], names=schema.names)
@@ -212,8 +207,8 @@ def merged_parts(dealt: DataFrame, hot: np.ndarray) -> DataFrame:
         told = [{"ctx": int(contexts[k].view(np.int64)), "c": int(of_ctx[k]), "t": int(tables[k])} for k in np.flatnonzero(is_hot)]
         held = np.array([len(d) for d in docs])
         row = {
-            "part": t["part"][0].as_py(), "chunks": t["chunk"].to_pylist(), "ctx": pack(contexts), "dishes": pack(_narrow(sizes)[0]), "vocab": pack(vocab), "word": pack(_narrow(key % len(vocab))[0]), "c": pack(c),
-            "held": pack(held), "dish": pack(_narrow(dish)[0]), "doc": pack(doc >> 1), "contexts": int(((of_ctx > 0) & ~is_hot).sum()), "ones": int((c == 1).sum()), "twos": int((c == 2).sum()), "hot": told,
+            "part": t["part"][0].as_py(), "chunks": t["chunk"].to_pylist(), "ctx": pack(contexts), "dishes": pack(sizes.astype(np.uint32)), "vocab": pack(vocab), "word": pack((key % len(vocab)).astype(np.uint32)), "c": pack(c),
+            "held": pack(held), "dish": pack(dish.astype(np.uint32)), "doc": pack(doc >> 1), "contexts": int(((of_ctx > 0) & ~is_hot).sum()), "ones": int((c == 1).sum()), "twos": int((c == 2).sum()), "hot": told,
             "chunk": None, "rows": None, "n": None,
         }
         return pa.Table.from_pylist([row], schema=to_arrow_schema(schema))
@@ -335,7 +330,7 @@ def _ranges(vocab: np.ndarray, bits: int) -> np.ndarray:
 def _sent(part: Part, tables: np.ndarray, bits: int, told: list[dict]) -> list[dict]:
     """Rows for the ranges of the part's words: their tables in each sample."""
     at = _ranges(part.vocab, bits)
-    return [{"range": k, "part": part.number, "words": pack(part.vocab[at[k] : at[k + 1]]), "tables": pack(_narrow(tables[:, at[k] : at[k + 1]])[0]), "hot": told if k == 0 else None} for k in range(len(at) - 1)]
+    return [{"range": k, "part": part.number, "words": pack(part.vocab[at[k] : at[k + 1]]), "tables": pack(tables[:, at[k] : at[k + 1]].astype(np.uint32)), "hot": told if k == 0 else None} for k in range(len(at) - 1)]
 
 
 def parent_seats(sent: DataFrame, number: int, discount: float, strength: float, words: int, samples: int, moves: int) -> DataFrame:
