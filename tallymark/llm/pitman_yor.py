@@ -28,6 +28,7 @@ told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,8 +81,8 @@ class Chunks:
     def __init__(self, batches: Iterator[pa.RecordBatch]):
         self.batches, self.next = batches, TaskContext.get().partitionId() << 32
 
-    def __iter__(self) -> Iterator[tuple[int, dict[bytes, int], list[int], pa.Array, pa.Array, list[int]]]:
-        numbers, tokens, rows, learn, n = {b" ": 0}, [], [], [], []
+    def __iter__(self) -> Iterator[tuple[int, dict[bytes, int], np.ndarray, pa.Array, pa.Array, list[int]]]:
+        numbers, tokens, rows, learn, n = {b" ": 0}, array("I"), [], [], []
         for batch in self.batches:
             begun = 0
             for k, text in enumerate(batch.column(2)):
@@ -93,13 +94,13 @@ class Chunks:
                     rows.append(batch.column(0).slice(begun, k + 1 - begun))
                     learn.append(batch.column(1).slice(begun, k + 1 - begun))
                     begun = k + 1
-                    yield self.next, numbers, tokens, pa.concat_arrays(rows), pa.concat_arrays(learn), n
+                    yield self.next, numbers, np.frombuffer(tokens, np.uint32), pa.concat_arrays(rows), pa.concat_arrays(learn), n
                     self.next += 1
-                    numbers, tokens, rows, learn, n = {b" ": 0}, [], [], [], []
+                    numbers, tokens, rows, learn, n = {b" ": 0}, array("I"), [], [], []
             rows.append(batch.column(0).slice(begun))
             learn.append(batch.column(1).slice(begun))
         if n:
-            yield self.next, numbers, tokens, pa.concat_arrays(rows), pa.concat_arrays(learn), n
+            yield self.next, numbers, np.frombuffer(tokens, np.uint32), pa.concat_arrays(rows), pa.concat_arrays(learn), n
 
 
 def hashes(numbers: dict[bytes, int]) -> np.ndarray:
@@ -115,7 +116,7 @@ def frequent_words(rows: DataFrame) -> tuple[int, np.ndarray]:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, numbers, tokens, *_ in Chunks(batches):
-            times = np.bincount(np.array(tokens, np.uint32))
+            times = np.bincount(tokens)
             own = np.flatnonzero(times * HOT >= len(tokens))
             h = hashes(numbers)[own].view(np.int64)
             yield pa.record_batch([pa.array(np.append(h, 0)), pa.array(np.append(times[own], len(tokens))), pa.array([False] * len(own) + [True])], names=["word", "n", "total"])
@@ -126,10 +127,54 @@ def frequent_words(rows: DataFrame) -> tuple[int, np.ndarray]:
     return n, np.sort(np.array(hot, np.int64).view(np.uint64))
 
 
-def place(ctx: np.ndarray, word: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each pair of hashes."""
-    mixed = np.where(np.isin(ctx, hot), ctx ^ (word * np.uint64(0x9E3779B97F4A7C15)), ctx)
-    return ((mixed >> np.uint64(17)) % np.uint64(parts)).astype(np.int32)
+def place(ctx: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each context's hash; of a hot context, of the hash mixed with the word's."""
+    return ((ctx >> np.uint64(17)) % np.uint64(parts)).astype(np.int32)
+
+
+class Pairs:
+    """A chunk's pairs of tokens, sorted by context, word and text: h has the
+    words' hashes in order, and a pair is one number of their places and the
+    text's, or three where these are too long for one."""
+
+    ROOM = 62
+
+    def __init__(self, numbers: dict[bytes, int], tokens: np.ndarray, texts: np.ndarray):
+        """texts: of each token, twice the text's number, and one more for training."""
+        h = hashes(numbers)
+        order = np.argsort(h)
+        self.h, rank = h[order], np.empty(len(h), np.uint32)
+        rank[order] = np.arange(len(h), dtype=np.uint32)
+        word = rank[tokens]
+        bits = self.bits = len(h).bit_length()
+        self.key, self.three = None, None
+        if 2 * bits + 16 <= self.ROOM:
+            key = np.empty(len(word), np.int64)
+            key[0], key[1:] = rank[0], word[:-1]
+            for x, room in ((word, bits), (texts, 16)):
+                key <<= room
+                key |= x
+            key.sort()
+            self.key = key
+        else:
+            ctx = np.concatenate((rank[:1], word[:-1]))
+            order = np.lexsort((texts, word, ctx))
+            self.three = ctx[order], word[order], texts[order]
+
+    def at(self, where: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the context and the word, and the text, of these pairs."""
+        if self.key is None:
+            return tuple(x[where] for x in self.three)
+        key = self.key[where]
+        return key >> (self.bits + 16), (key >> 16) & ((1 << self.bits) - 1), (key & 0xFFFF).astype(np.uint16)
+
+    def parts(self, hot: np.ndarray, parts: int) -> np.ndarray:
+        ctx = self.at(slice(None))[0] if self.key is None else self.key >> (self.bits + 16)
+        out = place(self.h, parts)[ctx]
+        of_hot = np.flatnonzero(np.isin(self.h, hot)[ctx])
+        c, w, _ = self.at(of_hot)
+        out[of_hot] = place(self.h[c] ^ (self.h[w] * np.uint64(0x9E3779B97F4A7C15)), parts)
+        return out
 
 
 def cells(rows: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
@@ -142,32 +187,22 @@ def cells(rows: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, numbers, tokens, own, learn, n in Chunks(batches):
-            h = hashes(numbers)
-            order = np.argsort(h)
-            h, rank = h[order], np.empty(len(h), np.int64)
-            rank[order] = np.arange(len(h))
-            word = rank[np.array(tokens, np.uint32)]
-            ctx = np.concatenate((rank[:1], word[:-1]))
-            doc = 2 * np.repeat(np.arange(len(n)), n) + np.repeat(learn.to_numpy(zero_copy_only=False).astype(np.int64), n)
-            bits = len(h).bit_length()
-            if 2 * bits + 16 <= 62:
-                key = np.sort((ctx << (bits + 16)) | (word << 16) | doc)
-                ctx, word, doc = key >> (bits + 16), (key >> 16) & ((1 << bits) - 1), key & 0xFFFF
-            else:
-                order = np.lexsort((doc, word, ctx))
-                ctx, word, doc = ctx[order], word[order], doc[order]
-            part = place(h[ctx], h[word], hot, parts)
+            texts = 2 * np.repeat(np.arange(len(n), dtype=np.uint16), n) + np.repeat(learn.to_numpy(zero_copy_only=False).astype(np.uint16), n)
+            pairs = Pairs(numbers, tokens, texts)
+            h, part = pairs.h, pairs.parts(hot, parts)
             order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(parts + 1))
+            ends = np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts))))
+            del texts, part
             of, lists = [], [[] for _ in range(5)]
             for k in np.flatnonzero(np.diff(ends)):
-                at = order[ends[k] : ends[k + 1]]
-                c, begins = np.unique(ctx[at], return_index=True)
-                vocab, own_word = np.unique(word[at], return_inverse=True)
+                ctx, word, doc = pairs.at(order[ends[k] : ends[k + 1]])
+                c, begins = np.unique(ctx, return_index=True)
+                vocab, own_word = np.unique(word, return_inverse=True)
                 of.append(int(k))
-                for x, to in zip((h[c], np.diff(np.append(begins, len(at))).astype(np.uint32), h[vocab], own_word.astype(np.uint32), doc[at].astype(np.uint16)), lists, strict=True):
+                for x, to in zip((h[c], np.diff(np.append(begins, len(ctx))).astype(np.uint32), h[vocab], own_word.astype(np.uint32), doc), lists, strict=True):
                     to.append(pack(x))
             cell = [pa.array(of, pa.int32()), pa.array([chunk] * len(of), pa.int64()), *(pa.array(x, pa.binary()) for x in lists)]
+            del order, pairs, h
             yield pa.record_batch([*cell, pa.nulls(len(of), pa.list_(own.type)), pa.nulls(len(of), pa.list_(pa.int64()))], names=schema.names)
             one = pa.array([0, len(n)], pa.int32())
             yield pa.record_batch(

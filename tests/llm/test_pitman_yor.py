@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.llm.pitman_yor import Dishes, score_texts
+from tallymark.llm.pitman_yor import Dishes, Pairs, score_texts
 from tallymark.llm.queries import op11_pitman_yor
 
 SMALL = "/root/testdata/sf0.001"
@@ -107,3 +107,16 @@ def test_query_by_plain_counts(spark):
     for side in (True, False):
         of = [got[i] for i in tokens if held[i] == side]
         assert sum(r.score for r in of) / sum(r.n_tokens for r in of) > sum(r.base_score for r in of) / sum(r.n_tokens for r in of) + 0.1
+
+
+def test_pairs_too_long_for_one_number(monkeypatch):
+    rng = np.random.default_rng(4)
+    numbers = {b" ": 0} | {b"w%d" % k: k for k in range(1, 40)}
+    tokens, texts = rng.integers(0, 40, 500).astype(np.uint32), np.repeat(np.arange(50, dtype=np.uint16), 10)
+    hot = np.sort(Pairs(numbers, tokens, texts).h[:3])
+    short = Pairs(numbers, tokens, texts)
+    monkeypatch.setattr(Pairs, "ROOM", 0)
+    long = Pairs(numbers, tokens, texts)
+    assert short.three is None and long.key is None
+    assert all((a == b).all() for a, b in zip(short.at(slice(None)), long.at(slice(None)), strict=True))
+    assert (short.parts(hot, 7) == long.parts(hot, 7)).all()
