@@ -18,6 +18,14 @@ class JobConfig:
     the watermark). trigger_millis is the cadence of the micro-batches, 0 for all
     that is there and then an end. parallelism is the number of shuffle
     partitions, and salts that of the groups a symbol's keys are dealt to.
+
+    bad_records: fail ends the job at a record that breaks a rule, skip leaves it
+    out, divert puts it beside the good ones under intake_path, with the reason.
+    repeats: drop leaves out records that an at-least-once writer sent again:
+    trades by id within remember_millis of event time, positions by key and
+    update count. resume_from: a checkpoint_path of a run of the positions job
+    that has ended; a new run takes its state over and may have another
+    parallelism, with its own checkpoint_path and output paths.
     """
 
     orders_path: str = "orders"
@@ -37,15 +45,21 @@ class JobConfig:
     salts: int = 4
     files_per_trigger: int = 1000
     bad_records: str = "fail"
+    intake_path: str = "intake"
+    repeats: str = "keep"
+    remember_millis: int = 86_400_000
+    resume_from: str = ""
 
     def __post_init__(self) -> None:
-        for name in ("window_millis", "price_windows", "parallelism", "salts", "files_per_trigger"):
+        for name in ("window_millis", "price_windows", "parallelism", "salts", "files_per_trigger", "remember_millis"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
         if min(self.delay_millis, self.idle_millis, self.trigger_millis) < 0:
             raise ValueError("delays can't be negative")
-        if self.bad_records not in ("fail", "skip"):
-            raise ValueError("bad_records is fail or skip")
+        if self.bad_records not in ("fail", "skip", "divert"):
+            raise ValueError("bad_records is fail, skip or divert")
+        if self.repeats not in ("keep", "drop"):
+            raise ValueError("repeats is keep or drop")
 
     @classmethod
     def from_environment(cls, env: Mapping[str, str] | None = None) -> JobConfig:

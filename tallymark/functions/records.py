@@ -71,3 +71,12 @@ def quarantine(rows: DataFrame, fault: Column) -> tuple[DataFrame, DataFrame]:
     """The valid rows, and the others with a `reason`."""
     judged = rows.withColumn("reason", fault)
     return judged.filter("reason is null").drop("reason"), judged.filter("reason is not null")
+
+
+def judged(raw: DataFrame, schema: str, fault: Column, value: str = "value") -> DataFrame:
+    """raw with a `reason`: null for a good record, else that it isn't JSON of
+    the schema, or its first fault."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = raw.select(F.struct("*").alias("_record"), F.inline(F.array(F.from_json(value, f"{schema}, _corrupt STRING", options))))
+    broken = F.col(f"_record.{value}").isNull() | F.col("_corrupt").isNotNull()
+    return parsed.select("_record.*", F.when(broken, "malformed").otherwise(fault).alias("reason"))

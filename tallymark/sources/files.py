@@ -58,8 +58,13 @@ def stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int |
     return reader.parquet(path)
 
 
-def arrivals(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A directory of records as a stream: value, and seq, the order in which
-    one key's records arrived."""
+def logged(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A directory of records as a stream: key, value, timestamp, and seq, the
+    order in which one key's records arrived."""
     at = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index")
-    return stream(spark, path, RECORD, files_per_trigger).select("value", at.alias("seq"))
+    return stream(spark, path, RECORD, files_per_trigger).select("key", "value", "timestamp", at.alias("seq"))
+
+
+def arrivals(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """value and seq of logged()."""
+    return logged(spark, path, files_per_trigger).select("value", "seq")

@@ -24,10 +24,11 @@ def write_options(config: JobConfig, topic: str) -> dict[str, str]:
     }
 
 
-def arrivals(spark: SparkSession, config: JobConfig, topic: str, committed: bool = False) -> DataFrame:
-    """A topic as a stream: value, and seq, the order in which one key's records arrived."""
-    raw = spark.readStream.format("kafka").options(**read_options(config, topic, committed)).load()
-    return raw.select(F.col("value").cast("string").alias("value"), F.struct("partition", "offset").alias("seq"))
+def logged(spark: SparkSession, config: JobConfig, topic: str, committed: bool = False, starting: str = "earliest") -> DataFrame:
+    """A topic as a stream: key, value, timestamp, and seq, the order in which
+    one key's records arrived."""
+    raw = spark.readStream.format("kafka").options(**read_options(config, topic, committed) | {"startingOffsets": starting}).load()
+    return raw.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "timestamp", F.struct("partition", "offset").alias("seq"))
 
 
 def snapshot(spark: SparkSession, config: JobConfig, topic: str, schema: str) -> DataFrame:

@@ -21,29 +21,43 @@ from ..functions.times import next_boundary
 from ..operators import positions
 from ..plans import tables
 from ..plans.sql import HOUR
-from ..scratch import new_path
+from ..scratch import exists, new_path
 from ..sources import files, kafka
-from . import processors
+from . import intake, processors, rescale
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def running_positions(updates: DataFrame) -> DataFrame:
-    """One position per update, from keyed state."""
-    return updates.groupBy("key").transformWithStateInPandas(processors.RunningPosition(), processors.POSITION, "Append", "None")
+def running_positions(updates: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """One position per update, from keyed state. totals: each key's quantity
+    and number of updates to go on from, when the state is new."""
+    before = None if totals is None else totals.groupBy("key")
+    return updates.groupBy("key").transformWithStateInPandas(processors.RunningPosition(), processors.POSITION, "Append", "None", before)
+
+
+def once(rows: DataFrame, keys: list[str], time: str, remember_millis: int) -> DataFrame:
+    """The stream without repeats by these keys. A repeat comes while its keys
+    are remembered, for `remember_millis` of event time, or is late and left out
+    for that; so is a first copy that comes later than this."""
+    timed = rows.withColumn("_ts", F.timestamp_millis(time)).withWatermark("_ts", f"{remember_millis} milliseconds")
+    return timed.dropDuplicatesWithinWatermark(keys).drop("_ts")
 
 
 def _timed(rows: DataFrame, delay_millis: int) -> DataFrame:
     return rows.withColumn("ts", F.timestamp_millis("eventTime")).withWatermark("ts", f"{delay_millis + 1} milliseconds")
 
 
-def values_at_close(held: DataFrame, ticks: DataFrame, window_millis: int, delay_millis: int = 0, price_windows: int = 240, salts: int = 1) -> DataFrame:
+def values_at_close(held: DataFrame, ticks: DataFrame, window_millis: int, delay_millis: int = 0, price_windows: int = 240, salts: int = 1, drop_repeats: bool = False) -> DataFrame:
     """held: positions. ticks: prices. Both streams are first brought down to
     one row per key and window; only those reach the keyed state. A symbol's
-    keys are dealt to `salts` groups, each with all of its prices."""
+    keys are dealt to `salts` groups, each with all of its prices. drop_repeats:
+    a position that was sent again, by key and update count, is left out."""
     window = F.window("ts", f"{window_millis} milliseconds")
     last = F.max_by(F.struct("quantity", "lastTradeId"), F.struct("eventTime", "updateCount"))
-    held = _timed(held, delay_millis).groupBy("key", "symbol", window.alias("w")).agg(last.alias("c"))
+    held = _timed(held, delay_millis)
+    if drop_repeats:
+        held = held.dropDuplicatesWithinWatermark(["key", "updateCount"])
+    held = held.groupBy("key", "symbol", window.alias("w")).agg(last.alias("c"))
     at = F.window_time("w")
     end = next_boundary(F.unix_millis(at), window_millis)
     held = held.select("symbol", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt"), F.lit("position").alias("kind"), "key", "c.quantity", "c.lastTradeId", F.lit(None).cast("string").alias("price"), end.alias("windowEnd"), at.alias("at"))
@@ -90,16 +104,35 @@ def settled(spark: SparkSession, config: JobConfig) -> SparkSession:
     return own
 
 
-def source(spark: SparkSession, config: JobConfig, name: str, schema: str, fault: Column, committed: bool = False) -> DataFrame:
+def source(spark: SparkSession, config: JobConfig, name: str, schema: str, fault: Column, committed: bool = False, resumed: str = "") -> DataFrame:
     """The records of config's `name`_path decoded, with seq. A record that is no
-    JSON or has a fault fails the job, or is left out if config says so."""
+    JSON or has a fault fails the job, or is left out or diverted if config says
+    so. resumed: a checkpoint whose run has read the first part already."""
     path = getattr(config, f"{name}_path")
-    raw = kafka.arrivals(spark, config, path, committed) if config.bootstrap_servers else files.arrivals(spark, path, config.files_per_trigger)
+    if config.bad_records == "divert":
+        return records.decode_beside(intake.accepted(spark, config, name), schema)
+    if config.bootstrap_servers:
+        raw = kafka.logged(spark, config, path, committed, rescale.starting_offsets(spark, resumed) if resumed else "earliest")
+    else:
+        raw = files.logged(spark, path, config.files_per_trigger)
+        raw = rescale.rest_of_files(raw, resumed) if resumed else raw
+    raw = raw.select("value", "seq")
     if config.bad_records == "fail":
         return records.checked(records.decode_beside(raw, schema), fault)
     return records.quarantine(records.decode_beside(raw, schema, strict=False), fault)[0]
 
 
+def diverted(spark: SparkSession, config: JobConfig, name: str, schema: str, fault: Column, committed: bool = False) -> dict[str, StreamingQuery]:
+    """The stream that judges a source's records, if config asks for it. Without
+    a cadence it comes to its end first, so that the job finds all there is."""
+    if config.bad_records != "divert":
+        return {}
+    query = intake.run_intake(spark, config, name, schema, fault, committed)
+    if not config.trigger_millis:
+        finish(query)
+    return {f"intake_{name}": query}
+
+
 def sink(rows: DataFrame, config: JobConfig, name: str, schema: str, time: str) -> StreamingQuery:
     """Writes a stream as records to config's `name`_path, at its cadence."""
     out = files.as_records(rows.select(*schemas.names(schema)), schema, "key", time)
@@ -112,24 +145,52 @@ def sink(rows: DataFrame, config: JobConfig, name: str, schema: str, time: str)
 
 def run_positions(spark: SparkSession, config: JobConfig, sides: Iterable[str] = tuple(SIDES)) -> dict[str, StreamingQuery]:
     """The first job: orders to positions. One source, a branch for each side
-    with its own state and sink."""
+    with its own state and sink. With resume_from, each branch goes on from that
+    run's state and from the records it didn't read."""
     own = settled(spark, config)
-    trades = source(own, config, "orders", schemas.BLOCK_TRADE, records.trade_fault())
-    return {name: sink(running_positions(SIDES[name](trades)), config, name, schemas.POSITION, "eventTime") for name in sides}
+    found = diverted(own, config, "orders", schemas.BLOCK_TRADE, records.trade_fault())
+    for name in sides:
+        before = f"{config.resume_from}/{name}" if config.resume_from else ""
+        if before and config.bad_records == "divert":
+            raise ValueError("the intake's checkpoint goes on by itself: resume_from takes orders as they come")
+        if before and not config.bootstrap_servers and not exists(own, f"{config.checkpoint_path}/{name}") and exists(own, f"{getattr(config, f'{name}_path')}/_spark_metadata"):
+            raise ValueError(f"{name}_path has another run's log of micro-batches: a resumed run writes beside it")
+        trades = source(own, config, "orders", schemas.BLOCK_TRADE, records.trade_fault(), resumed=before)
+        if config.repeats == "drop":
+            trades = once(trades, ["tradeId"], "eventTime", config.remember_millis)
+        totals = rescale.totals(own, before) if before else None
+        found[name] = sink(running_positions(SIDES[name](trades), totals), config, name, schemas.POSITION, "eventTime")
+    return found
 
 
 def run_market_values(spark: SparkSession, config: JobConfig, sides: Iterable[str] = tuple(VALUES)) -> dict[str, StreamingQuery]:
     """The second job: positions and prices to values at each close."""
     own = settled(spark, config)
-    ticks = source(own, config, "prices", schemas.PRICE, records.price_fault())
-    found = {}
+    found = diverted(own, config, "prices", schemas.PRICE, records.price_fault())
     for name in sides:
+        found |= diverted(own, config, VALUES[name], schemas.POSITION, records.position_fault(), committed=True)
+        ticks = source(own, config, "prices", schemas.PRICE, records.price_fault())
         held = source(own, config, VALUES[name], schemas.POSITION, records.position_fault(), committed=True)
-        values = values_at_close(held, ticks, config.window_millis, config.delay_millis, config.price_windows, config.salts)
+        values = values_at_close(held, ticks, config.window_millis, config.delay_millis, config.price_windows, config.salts, config.repeats == "drop")
         found[name] = sink(values, config, name, schemas.MARKET_VALUE, "windowEnd")
     return found
 
 
+def supervise(queries: dict[str, StreamingQuery], poll_seconds: float = 0.2) -> None:
+    """Waits until all have ended. If one fails, the others are stopped and its
+    error is raised, so a job never runs on with a part of it."""
+    waiting = dict(queries)
+    try:
+        while waiting:
+            for name, query in list(waiting.items()):
+                if query.awaitTermination(poll_seconds):  # raises what the query failed with
+                    finish(query)
+                    del waiting[name]
+    finally:
+        for query in waiting.values():
+            query.stop()
+
+
 def published(spark: SparkSession, sf_dir: str, prices: bool) -> JobConfig:
     """The given tables' trades (and prices) as records, and a configuration
     that reads them to their end."""
@@ -163,8 +224,7 @@ def main() -> None:
     if len(sys.argv) != 2 or sys.argv[1] not in jobs:
         raise SystemExit(f"usage: {sys.argv[0]} {'|'.join(jobs)}")
     spark = SparkSession.builder.appName(sys.argv[1]).getOrCreate()
-    for query in jobs[sys.argv[1]](spark, JobConfig.from_environment()).values():
-        finish(query)
+    supervise(jobs[sys.argv[1]](spark, JobConfig.from_environment()))
 
 
 if __name__ == "__main__":

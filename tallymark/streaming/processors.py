@@ -22,6 +22,10 @@ class RunningPosition(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.total = handle.getValueState("total", "quantity BIGINT, updates BIGINT")
 
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        """Goes on from the totals of another run."""
+        self.total.update((int(initialState["quantity"].iloc[0]), int(initialState["updates"].iloc[0])))
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         quantity, updates = self.total.get() if self.total.exists() else (0, 0)
         own = pd.concat(rows, ignore_index=True).sort_values(["eventTime", "tradeId"], ignore_index=True)
