@@ -48,7 +48,7 @@ END = xxhash.xxh64_intdigest(b" ", 0)
 #: A word is hot if it makes up more than one in HOT of all tokens.
 HOT = 4096
 #: Tokens and texts of a chunk, about; a text isn't cut.
-CHUNK_TOKENS, CHUNK_TEXTS = 1 << 22, 1 << 15
+CHUNK_TOKENS, CHUNK_TEXTS = 3 << 19, 1 << 15
 
 _I, _L, _B, _D = IntegerType(), LongType(), BinaryType(), DoubleType()
 
@@ -415,7 +415,7 @@ def _values(right: pa.Table, number: int, samples: int) -> np.ndarray:
 
 
 def score_texts(
-    docs: DataFrame, learn: Column, text_col: str = "text", samples: int = 3, thin: int = 6, strength: float = 1.0, parent_strength: float = 1.0, part_tokens: int = 2_500_000
+    docs: DataFrame, learn: Column, text_col: str = "text", samples: int = 3, thin: int = 6, strength: float = 1.0, parent_strength: float = 1.0, part_tokens: int = 1_750_000
 ) -> DataFrame:
     """row (a struct of the columns but the text), n_tokens, n_known (tokens seen
     in training), train_tokens, base_score (log10, each token's training count
