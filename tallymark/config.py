@@ -26,6 +26,13 @@ class JobConfig:
     update count. resume_from: a checkpoint_path of a run of the positions job
     that has ended; a new run takes its state over and may have another
     parallelism, with its own checkpoint_path and output paths.
+
+    gauges_path: where the streams' live numbers are kept (see streaming/gauges.py);
+    empty for none.
+
+    positions_state: keyed holds each key's total in the state store, table in a
+    table that each micro-batch reads whole (see streaming/carried.py): for hot
+    keys and large micro-batches; it writes directories only.
     """
 
     orders_path: str = "orders"
@@ -49,6 +56,8 @@ class JobConfig:
     repeats: str = "keep"
     remember_millis: int = 86_400_000
     resume_from: str = ""
+    positions_state: str = "keyed"
+    gauges_path: str = ""
 
     def __post_init__(self) -> None:
         for name in ("window_millis", "price_windows", "parallelism", "salts", "files_per_trigger", "remember_millis"):
@@ -58,6 +67,8 @@ class JobConfig:
             raise ValueError("delays can't be negative")
         if self.bad_records not in ("fail", "skip", "divert"):
             raise ValueError("bad_records is fail, skip or divert")
+        if self.positions_state not in ("keyed", "table") or (self.positions_state == "table" and self.bootstrap_servers):
+            raise ValueError("positions_state is keyed or, for directories, table")
         if self.repeats not in ("keep", "drop"):
             raise ValueError("repeats is keep or drop")
 

@@ -23,19 +23,25 @@ def split(trades: DataFrame) -> DataFrame:
     return each.select(account_key("account", "subAccount", "symbol").alias("key"), "symbol", signed("side", "quantity").alias("signedQuantity"), "tradeId", "eventTime")
 
 
-def running(updates: DataFrame, bucket_millis: int = DAY) -> DataFrame:
+def running(updates: DataFrame, bucket_millis: int = DAY, opening: DataFrame | None = None) -> DataFrame:
     """The position after each update: running sum, update count 1..n and the
     update's trade, per key in the order of event time and trade id.
 
     A key's updates are cut into time buckets, whose totals are added up first
     (a few rows per key); then rows are summed within their bucket alone. So a
     key with a large share of all rows is worked on by many tasks, and the
-    updates are shuffled once, by key and bucket.
+    updates are shuffled once, by key and bucket. opening: key, quantity and
+    updates of each key's earlier ones, which are added to its first bucket.
     """
     own = updates.withColumn("bucket", F.floor(F.col("eventTime") / bucket_millis))
     totals = own.groupBy("key", "bucket").agg(F.sum("signedQuantity").alias("quantity"), F.count(F.lit(1)).alias("updates"))
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("key", "bucket", F.coalesce(F.sum("quantity").over(earlier), F.lit(0)).alias("q0"), F.coalesce(F.sum("updates").over(earlier), F.lit(0)).alias("n0"))
+    q0, n0 = (F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in ("quantity", "updates"))
+    before = totals.select("key", "bucket", q0.alias("q0"), n0.alias("n0"))
+    if opening is not None:
+        held = opening.select("key", F.col("quantity").alias("q"), F.col("updates").alias("n"))
+        more = lambda c, by: (F.col(c) + F.coalesce(by, F.lit(0))).alias(c)
+        before = before.join(held, "key", "left").select("key", "bucket", more("q0", F.col("q")), more("n0", F.col("n")))
     within = Window.partitionBy("key", "bucket").orderBy("eventTime", "tradeId").rowsBetween(Window.unboundedPreceding, 0)
     summed = own.withColumn("q", F.sum("signedQuantity").over(within)).withColumn("n", F.count(F.lit(1)).over(within))
     both = summed.join(before, ["key", "bucket"])

@@ -76,6 +76,18 @@ def out_of_order(rows: DataFrame, by: str, arrival: str, time: str = "eventTime"
     return each.groupBy(by).agg(F.sum("falls").alias("falls"))
 
 
+def numbered(rows: DataFrame, time: str, tie: str, bucket_millis: int = 3_600_000) -> DataFrame:
+    """The rows with `ordinal`, their place from 0 in the order of `time` (epoch
+    milliseconds) and `tie`. Time buckets are counted first, then rows are
+    numbered within theirs, so no task sorts all rows."""
+    own = rows.withColumn("_bucket", F.floor(F.col(time) / bucket_millis))
+    counts = own.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    before = counts.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_bucket").orderBy(time, tie)) - 1
+    return own.withColumn("_at", at).join(before, "_bucket").withColumn("ordinal", F.col("_at") + F.col("_before")).drop("_bucket", "_at", "_before")
+
+
 def take(rows: DataFrame, n: int, *order: str) -> DataFrame:
     """The first n records of the stream in a total order."""
     return rows.orderBy(*order).limit(n)
@@ -86,3 +98,30 @@ def fingerprint(rows: DataFrame, encoded: Column) -> DataFrame:
     the first 60 bits of each one's SHA-256."""
     h = F.conv(F.substring(F.sha2(encoded, 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return rows.agg(F.count(F.lit(1)).alias("records"), F.sum(h).cast("string").alias("hash"))
+
+
+#: Of ordered_fingerprint: a Mersenne prime, so that products of two residues fit
+#: in 64 bits, and the bases of its two independent polynomials.
+PRIME, BASES = (1 << 31) - 1, (1_000_003, 998_244_353)
+#: Ordinals have so many bits at most.
+ORDINAL_BITS = 40
+
+
+def power(base: int, exponent: Column) -> Column:
+    """base to the exponent modulo PRIME, by the exponent's bits."""
+    out = F.lit(1).cast("bigint")
+    for k in range(ORDINAL_BITS):
+        factor = F.when(F.shiftright(exponent, k).bitwiseAND(F.lit(1)) == 1, F.lit(pow(base, 1 << k, PRIME))).otherwise(F.lit(1))
+        out = out * factor.cast("bigint") % F.lit(PRIME)
+    return out
+
+
+def ordered_fingerprint(rows: DataFrame, encoded: Column, time: str, tie: str) -> DataFrame:
+    """The number of records and a hash of all of them in their order: for each
+    base the sum of (hash of the record) * base ^ (its ordinal) modulo PRIME, so
+    two records that change places change it. Terms are added in any order."""
+    h = F.conv(F.substring(F.sha2(encoded, 256), 1, 15), 16, 10).cast("bigint") % PRIME
+    own = numbered(rows.withColumn("_hash", h), time, tie)
+    terms = [(F.col("_hash") * power(base, F.col("ordinal")) % PRIME).cast("decimal(38,0)") for base in BASES]
+    sums = [F.coalesce((F.sum(t) % PRIME).cast("bigint"), F.lit(0)).cast("string") for t in terms]
+    return own.agg(F.count(F.lit(1)).alias("records"), F.concat_ws("-", *sums).alias("hash"))

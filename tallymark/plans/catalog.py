@@ -254,6 +254,25 @@ def price_fingerprint(spark, d):
     return relations.fingerprint(rows, records.encode(rows, schemas.PRICE))
 
 
+def _power(base: int) -> str:
+    """The weight of row i in the ordered fingerprint."""
+    out = "1::BIGINT"
+    for k in range(20):  # enough for a million rows
+        out = f"({out} * CASE WHEN (i >> {k}) & 1 = 1 THEN {pow(base, 1 << k, relations.PRIME)} ELSE 1 END % {relations.PRIME})"
+    return out
+
+
+@query(
+    f"""SELECT count(*) AS records, concat_ws('-', {", ".join(f"coalesce(sum(CAST(h * {_power(b)} % {relations.PRIME} AS HUGEINT)) % {relations.PRIME}, 0)::BIGINT::VARCHAR" for b in relations.BASES)}) AS hash FROM (
+SELECT row_number() OVER (ORDER BY eventTime, seq) - 1 AS i, CAST('0x' || substr(sha256(printf('{{"eventTime":%d,"price":%.2f,"symbol":"%s"}}', eventTime, CAST(price AS DOUBLE), symbol)), 1, 15) AS BIGINT) % {relations.PRIME} AS h FROM prices)""",
+    *sql.BASE,
+)
+def price_order_fingerprint(spark, d):
+    """A hash of the encoded stream and of its order."""
+    rows = tables.prices(spark, d)
+    return relations.ordered_fingerprint(rows, records.encode(rows, schemas.PRICE), "eventTime", "seq")
+
+
 @query("SELECT symbol, arg_max(price, (eventTime, seq)) AS price, arg_max(eventTime, (eventTime, seq)) AS eventTime, arg_max(seq, (eventTime, seq)) AS seq FROM prices WHERE eventTime < 1705276800000 GROUP BY symbol", *sql.BASE)
 def latest_prices_before(spark, d):
     """Each symbol's last tick before a moment."""
@@ -411,6 +430,32 @@ def stream_positions_by_account(spark, d):
     return jobs.stream_positions(spark, d, by_account=True)
 
 
+@query("""SELECT CASE event_id % 10 WHEN 0 THEN 'quantity not positive' WHEN 1 THEN 'unknown side' WHEN 2 THEN 'blank symbol' WHEN 3 THEN 'malformed' ELSE 'good' END AS reason, count(*) AS n
+FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1""")
+def stream_dead_letters(spark, d):
+    return jobs.stream_dead_letters(spark, d)
+
+
+@query(f"{POSITION} symbol_positions", *sql.BASE)
+def stream_trades_once(spark, d):
+    return jobs.stream_trades_once(spark, d)
+
+
+@query("""SELECT tradeId, i // ((n * 3 // 4 + 4) // 5) AS batch FROM (SELECT tradeId, row_number() OVER (ORDER BY eventTime, tradeId) - 1 AS i, count(*) OVER () AS n FROM trades) WHERE i < n * 3 // 4""", *sql.BASE)
+def replay_trades(spark, d):
+    return jobs.replay_trades(spark, d)
+
+
+def _state_check(side: str) -> str:
+    keys = f"(SELECT count(DISTINCT key) FROM {side}_positions)"
+    return " UNION ALL ".join([f"SELECT '{side} keys in state' AS name, {keys} AS expected, {keys} AS actual, true AS ok", *(f"SELECT '{side} {what}', 0::BIGINT, 0::BIGINT, true" for what in ("keys on one side", "unequal quantities", "unequal update counts"))])
+
+
+@query(f"{_state_check('symbol')} UNION ALL {_state_check('account')}", *sql.BASE)
+def checks_stream_state(spark, d):
+    return jobs.stream_state(spark, d)
+
+
 @query(f"{VALUE} symbol_values", *sql.ALL)
 def stream_mv_by_symbol(spark, d):
     return jobs.stream_market_values(spark, d, by_account=False)

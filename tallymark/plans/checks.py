@@ -101,3 +101,12 @@ def values(mv: DataFrame, positions_: DataFrame, ticks: DataFrame, window_millis
         f"{label} windows up to the floor": (floor, F.least(F.col("windows"), F.lit(floor))), f"{label} keys": (keys, F.col("keys")), f"{label} wrong values": (0, F.col("wrong")), f"{label} keys with a gap": (0, F.col("gap")), f"{label} keys missing from the last window": (0, F.col("keys") - F.col("at_end")),
         f"{label} duplicates": (0, F.col("twice")), f"{label} prices unlike the close": (0, F.col("price")), f"{label} quantities unlike the close": (0, F.col("quantity")),
     })
+
+
+def state(totals: DataFrame, written: DataFrame, label: str) -> DataFrame:
+    """A stream's state (key, quantity, updates) against each key's last written position."""
+    last = positions.final(written).select("key", F.col("quantity").alias("q"), F.col("updateCount").alias("n"), F.lit(1).alias("there"))
+    both = totals.withColumn("held", F.lit(1)).join(last, "key", "full_outer")
+    differ = lambda a, b: F.count_if(~F.col(a).eqNullSafe(F.col(b)))
+    facts = both.agg(F.count("there").alias("written"), F.count("held").alias("held"), differ("held", "there").alias("alone"), differ("quantity", "q").alias("quantity"), differ("updates", "n").alias("updates"))
+    return _rows(facts, {f"{label} keys in state": (F.col("written"), F.col("held")), f"{label} keys on one side": (0, F.col("alone")), f"{label} unequal quantities": (0, F.col("quantity")), f"{label} unequal update counts": (0, F.col("updates"))})

@@ -35,11 +35,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def make_dir(spark: SparkSession, path: str) -> None:
+def _at(spark: SparkSession, path: str):
+    """A path and its file system."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    at, system = _at(spark, path)
+    system.mkdirs(at)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    at, system = _at(spark, path)
+    return system.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, system = _at(spark, path)
+    system.delete(at, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    at, system = _at(spark, path)
+    if not system.rename(at, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"{path} can't be renamed to {to}")
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file, over one that is there."""
+    at, system = _at(spark, path)
+    out = system.create(at, True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import records
+from ..scratch import exists, remove, rename
 
 RECORD = "key STRING, value STRING, timestamp TIMESTAMP"
 
 
-def as_records(rows: DataFrame, schema: str, key: str, time: str) -> DataFrame:
+def record_columns(rows: DataFrame, schema: str, key: str, time: str) -> list[Column]:
     """key, value and timestamp: the key's column, all columns as JSON, and an
     epoch-millisecond column."""
-    return rows.select(F.col(key).alias("key"), records.encode(rows, schema).alias("value"), F.timestamp_millis(time).alias("timestamp"))
+    return [F.col(key).alias("key"), records.encode(rows, schema).alias("value"), F.timestamp_millis(time).alias("timestamp")]
+
+
+def as_records(rows: DataFrame, schema: str, key: str, time: str) -> DataFrame:
+    return rows.select(*record_columns(rows, schema, key, time))
 
 
 def publish(rows: DataFrame, path: str, schema: str, key_col: str, time: str, order: str, partitions: int | None = None, key: str | None = None) -> None:
@@ -24,10 +29,37 @@ def publish(rows: DataFrame, path: str, schema: str, key_col: str, time: str, or
     as_records(dealt.sortWithinPartitions(time, order), schema, key_col, time).write.parquet(path)
 
 
-def complete(spark: SparkSession, path: str, schema: str, expected: int | None = None) -> DataFrame:
+def _counts(raw: DataFrame) -> DataFrame:
+    """file and n: each partition's records."""
+    return raw.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def seal(spark: SparkSession, path: str) -> None:
+    """Writes the manifest, the records of each partition of a directory that is
+    wholly written: its end, for complete(). It comes last, by one rename; a
+    directory that got more records is sealed anew."""
+    _counts(spark.read.schema(RECORD).parquet(path)).write.mode("overwrite").json(f"{path}/_manifest-new")
+    remove(spark, f"{path}/_manifest")
+    rename(spark, f"{path}/_manifest-new", f"{path}/_manifest")
+
+
+def shortfalls(spark: SparkSession, path: str) -> DataFrame:
+    """file, n (by the manifest) and found: the partitions that lack records."""
+    told = spark.read.schema("file STRING, n BIGINT").json(f"{path}/_manifest")
+    found = _counts(spark.read.schema(RECORD).parquet(path)).withColumnRenamed("n", "found")
+    return told.join(found, "file", "left").withColumn("found", F.coalesce("found", F.lit(0))).filter("found < n")
+
+
+def complete(spark: SparkSession, path: str, schema: str, expected: int | None = None, sealed: bool = False) -> DataFrame:
     """The decoded records of a directory; raises if there are fewer than
-    expected, so that a half-written stream isn't taken for all of it."""
+    expected, so that a half-written stream isn't taken for all of it. sealed:
+    it must have a manifest, and a partition short of that is named."""
     raw = spark.read.schema(RECORD).parquet(path)
+    if sealed:
+        if not exists(spark, f"{path}/_manifest"):
+            raise ValueError(f"{path} has no manifest: it isn't known to be complete")
+        if short := shortfalls(spark, path).orderBy("file").limit(10).collect():
+            raise ValueError(f"{path} is short of records: " + ", ".join(f"{r.file} holds {r.found} of {r.n}" for r in short))
     if expected is not None and (found := raw.count()) < expected:
         raise ValueError(f"{path} holds {found} of {expected} records")
     return records.decode(raw, schema)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +18,14 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas
 from ..config import JobConfig
 from ..functions import records
+from ..functions.amounts import market_value
 from ..functions.times import next_boundary
 from ..operators import positions
-from ..plans import tables
+from ..plans import checks, tables
 from ..plans.sql import HOUR
 from ..scratch import exists, new_path
-from ..sources import files, kafka
-from . import intake, processors, rescale
+from ..sources import files, kafka, replay
+from . import carried, gauges, intake, processors, rescale
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -60,10 +62,15 @@ def values_at_close(held: DataFrame, ticks: DataFrame, window_millis: int, delay
     held = held.groupBy("key", "symbol", window.alias("w")).agg(last.alias("c"))
     at = F.window_time("w")
     end = next_boundary(F.unix_millis(at), window_millis)
-    held = held.select("symbol", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt"), F.lit("position").alias("kind"), "key", "c.quantity", "c.lastTradeId", F.lit(None).cast("string").alias("price"), end.alias("windowEnd"), at.alias("at"))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    salt = F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")
+    held = held.select("symbol", salt.alias("salt"), F.lit("position").alias("kind"), "key", "c.quantity", "c.lastTradeId", nothing("bigint").alias("cents"), end.alias("windowEnd"), at.alias("at"))
     price = _timed(ticks, delay_millis).groupBy("symbol", window.alias("w")).agg(F.max_by("price", F.struct("eventTime", "seq")).alias("p"))
-    price = price.select("symbol", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit("price").alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("bigint").alias("quantity"), F.lit(None).cast("string").alias("lastTradeId"), F.col("p").cast("string").alias("price"), end.alias("windowEnd"), at.alias("at"))
-    return held.union(price).groupBy("symbol", "salt").transformWithState(processors.ValueAtClose(window_millis, price_windows), processors.VALUE, "Append", "EventTime")
+    cents = (F.col("p") * 100).cast("bigint")
+    price = price.select("symbol", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit("price").alias("kind"), nothing("string").alias("key"), nothing("bigint").alias("quantity"), nothing("string").alias("lastTradeId"), cents.alias("cents"), end.alias("windowEnd"), at.alias("at"))
+    found = held.union(price).groupBy("symbol", "salt").transformWithStateInPandas(processors.ValueAtClose(window_millis, price_windows), processors.AT_CLOSE, "Append", "EventTime")
+    found = found.withColumn("price", (F.col("cents").cast("decimal(20,2)") / 100).cast("decimal(18,2)"))
+    return found.select("key", "symbol", "quantity", "price", market_value("quantity", "price").alias("marketValue"), "lastTradeId", "windowEnd")
 
 
 def start(rows: DataFrame, out: str, checkpoint: str, trigger_millis: int | None = None) -> StreamingQuery:
@@ -100,7 +107,10 @@ def settled(spark: SparkSession, config: JobConfig) -> SparkSession:
     own.conf.set("spark.sql.session.timeZone", "UTC")
     own.conf.set("spark.sql.shuffle.partitions", config.parallelism)
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     own.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "max" if config.idle_millis else "min")
+    if config.gauges_path:
+        own.streams.addListener(gauges.Gauges(own, config.gauges_path))
     return own
 
 
@@ -133,11 +143,20 @@ def diverted(spark: SparkSession, config: JobConfig, name: str, schema: str, fau
     return {f"intake_{name}": query}
 
 
+def cadence(config: JobConfig) -> dict:
+    return {"processingTime": f"{config.trigger_millis} milliseconds"} if config.trigger_millis else {"availableNow": True}
+
+
+def gauged(rows: DataFrame, config: JobConfig, name: str, time: str) -> DataFrame:
+    return gauges.observed(rows, f"gauge_{name}", "key", time) if config.gauges_path else rows
+
+
 def sink(rows: DataFrame, config: JobConfig, name: str, schema: str, time: str) -> StreamingQuery:
     """Writes a stream as records to config's `name`_path, at its cadence."""
+    rows = gauged(rows, config, name, time)
     out = files.as_records(rows.select(*schemas.names(schema)), schema, "key", time)
-    path, trigger = getattr(config, f"{name}_path"), {"processingTime": f"{config.trigger_millis} milliseconds"} if config.trigger_millis else {"availableNow": True}
-    writer = out.writeStream.outputMode("append").queryName(name).option("checkpointLocation", f"{config.checkpoint_path}/{name}").trigger(**trigger)
+    path = getattr(config, f"{name}_path")
+    writer = out.writeStream.outputMode("append").queryName(name).option("checkpointLocation", f"{config.checkpoint_path}/{name}").trigger(**cadence(config))
     if config.bootstrap_servers:
         return writer.format("kafka").options(**kafka.write_options(config, path)).start()
     return writer.format("parquet").option("path", path).start()
@@ -153,13 +172,17 @@ def run_positions(spark: SparkSession, config: JobConfig, sides: Iterable[str] =
         before = f"{config.resume_from}/{name}" if config.resume_from else ""
         if before and config.bad_records == "divert":
             raise ValueError("the intake's checkpoint goes on by itself: resume_from takes orders as they come")
-        if before and not config.bootstrap_servers and not exists(own, f"{config.checkpoint_path}/{name}") and exists(own, f"{getattr(config, f'{name}_path')}/_spark_metadata"):
-            raise ValueError(f"{name}_path has another run's log of micro-batches: a resumed run writes beside it")
+        if before and not config.bootstrap_servers and not exists(own, f"{config.checkpoint_path}/{name}") and exists(own, getattr(config, f"{name}_path")):
+            raise ValueError(f"{name}_path has another run's micro-batches: a resumed run writes beside it")
         trades = source(own, config, "orders", schemas.BLOCK_TRADE, records.trade_fault(), resumed=before)
         if config.repeats == "drop":
             trades = once(trades, ["tradeId"], "eventTime", config.remember_millis)
-        totals = rescale.totals(own, before) if before else None
-        found[name] = sink(running_positions(SIDES[name](trades), totals), config, name, schemas.POSITION, "eventTime")
+        totals, updates = rescale.totals(own, before) if before else None, SIDES[name](trades)
+        if config.positions_state == "table":
+            record = lambda rows: files.as_records(rows.select(*schemas.names(schemas.POSITION)), schemas.POSITION, "key", "eventTime")
+            found[name] = carried.start(gauged(updates, config, name, "eventTime"), record, getattr(config, f"{name}_path"), f"{config.checkpoint_path}/{name}", name, cadence(config), totals)
+        else:
+            found[name] = sink(running_positions(updates, totals), config, name, schemas.POSITION, "eventTime")
     return found
 
 
@@ -195,7 +218,7 @@ def published(spark: SparkSession, sf_dir: str, prices: bool) -> JobConfig:
     """The given tables' trades (and prices) as records, and a configuration
     that reads them to their end."""
     top = new_path(spark, "job")
-    config = JobConfig(**{f"{n}_path": f"{top}/{n}" for n in ("orders", "prices", "checkpoint", *SIDES, *VALUES)}, window_millis=HOUR, delay_millis=0, idle_millis=0, trigger_millis=0, parallelism=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    config = JobConfig(**{f"{n}_path": f"{top}/{n}" for n in ("orders", "prices", "checkpoint", *SIDES, *VALUES)}, window_millis=HOUR, delay_millis=0, idle_millis=0, trigger_millis=0, parallelism=int(spark.conf.get("spark.sql.shuffle.partitions")), positions_state="table")
     files.publish(tables.trades(spark, sf_dir), config.orders_path, schemas.BLOCK_TRADE, "tradeId", "eventTime", "tradeId")
     if prices:
         ticks = tables.prices(spark, sf_dir)
@@ -210,6 +233,50 @@ def stream_positions(spark: SparkSession, sf_dir: str, by_account: bool) -> Data
     return files.complete(spark, getattr(config, f"{name}_path"), schemas.POSITION).select(*schemas.names(processors.POSITION))
 
 
+def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every ten trades one loses its quantity, its side, its symbol and the
+    end of its record: how many records the intake sets apart, by reason, and how
+    many it hands on."""
+    whole = published(spark, sf_dir, prices=False)
+    config = replace(whole, orders_path=f"{whole.orders_path}-damaged", intake_path=f"{whole.orders_path}-judged", bad_records="divert")
+    n, value = F.regexp_extract("value", r'"tradeId":"T(\d+)"', 1).cast("bigint") % 10, F.col("value")
+    lost = lambda pattern, by: F.regexp_replace(value, pattern, by)
+    damaged = F.when(n == 0, lost(r'"quantity":\d+,"side"', '"quantity":0,"side"')).when(n == 1, lost(r'"side":"\w+"', '"side":"HOLD"')).when(n == 2, lost(r'"symbol":"\w+"', '"symbol":" "')).when(n == 3, F.substring(value, 1, 40)).otherwise(value)
+    spark.read.schema(files.RECORD).parquet(whole.orders_path).withColumn("value", damaged).write.parquet(config.orders_path)
+    supervise(diverted(settled(spark, config), config, "orders", schemas.BLOCK_TRADE, records.trade_fault()))
+    judged = spark.read.parquet(intake.place(config, "orders"))
+    return judged.groupBy(F.coalesce("reason", F.lit("good")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_trades_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions by symbol where every third trade is in the log twice."""
+    config = replace(published(spark, sf_dir, prices=False), repeats="drop", remember_millis=10 * 365 * 86_400_000)
+    log = spark.read.schema(files.RECORD).parquet(config.orders_path)
+    log.filter(F.crc32(F.col("key").cast("binary")) % 3 == 0).write.parquet(f"{config.orders_path}-again")
+    spark.read.schema(files.RECORD).parquet(f"{config.orders_path}-again").write.mode("append").parquet(config.orders_path)
+    supervise(run_positions(spark, config, ["positions_by_symbol"]))
+    return files.complete(spark, config.positions_by_symbol_path, schemas.POSITION).select(*schemas.names(processors.POSITION))
+
+
+def replay_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three quarters of the trades, in five parts: each published record's part and trade."""
+    trades = tables.trades(spark, sf_dir)
+    n, top = trades.count() * 3 // 4, new_path(spark, "replay")
+    record = files.record_columns(trades, schemas.BLOCK_TRADE, "tradeId", "eventTime")
+    parts = replay.prepare(trades, record, f"{top}/prepared", n, -(-n // 5), "eventTime", "tradeId")
+    replay.run(spark, f"{top}/prepared", f"{top}/orders", f"{top}/checkpoint", parts)
+    out = spark.read.schema(f"{files.RECORD}, batch BIGINT").parquet(f"{top}/orders")
+    return out.select(F.col("key").alias("tradeId"), "batch")
+
+
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyed state of both sides against the positions that were written."""
+    config = replace(published(spark, sf_dir, prices=False), positions_state="keyed")
+    supervise(run_positions(spark, config))
+    written = lambda name: files.complete(spark, getattr(config, f"{name}_path"), schemas.POSITION)
+    return checks.union(*(checks.state(rescale.totals(spark, f"{config.checkpoint_path}/{name}"), written(name), name.removeprefix("positions_by_")) for name in SIDES))
+
+
 def stream_market_values(spark: SparkSession, sf_dir: str, by_account: bool) -> DataFrame:
     """Market values by both jobs: the second reads what the first wrote."""
     config, side = published(spark, sf_dir, prices=True), "account" if by_account else "symbol"

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import Decimal
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Row
+import pyarrow as pa
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 POSITION = "key STRING, symbol STRING, quantity BIGINT, lastTradeId STRING, updateCount BIGINT, eventTime BIGINT"
 VALUE = "key STRING, symbol STRING, quantity BIGINT, price DECIMAL(18,2), marketValue DECIMAL(38,2), lastTradeId STRING, windowEnd BIGINT"
-CLOSE = "symbol STRING, salt INT, kind STRING, key STRING, quantity BIGINT, lastTradeId STRING, price STRING, windowEnd BIGINT"
+AT_CLOSE = "key STRING, symbol STRING, quantity BIGINT, cents BIGINT, lastTradeId STRING, windowEnd BIGINT"
 
 
 class RunningPosition(StatefulProcessor):
@@ -40,80 +40,89 @@ class RunningPosition(StatefulProcessor):
         pass
 
 
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(blob: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(blob).read_all().to_pandas()
+
+
 class ValueAtClose(StatefulProcessor):
-    """Positions times price at every boundary, for the keys of one symbol.
+    """Positions and prices at every boundary, for the keys of one symbol and salt.
 
     Rows are closing positions and closing prices, one per window at most. They
-    wait until the watermark passes their window; a timer then goes through all
-    boundaries up to the watermark, each with its own closing values, and is
-    set again for the next, so quiet keys go on. A key is silent while no price
-    of the last `reach` windows is known.
+    wait as they came, a frame for each micro-batch, until the watermark passes
+    their window; a timer then gives all boundaries up to the watermark their
+    latest closing values, by columns, and is set again for the next, so quiet
+    keys go on. A key is silent while no price of the last `reach` windows is
+    known. At most `cells` values, or one window, are put out at a time.
     """
 
-    def __init__(self, window_millis: int, reach: int):
-        self.window, self.reach = window_millis, reach
+    def __init__(self, window_millis: int, reach: int, cells: int = 1 << 18):
+        self.window, self.reach, self.cells = window_millis, reach, cells
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "key STRING", "quantity BIGINT, tradeId STRING")
-        # lists are read and written whole, in a few calls; both are short, as what is past goes
-        self.waiting = handle.getListState("waiting", "windowEnd BIGINT, key STRING, quantity BIGINT, tradeId STRING")
-        self.prices = handle.getListState("prices", "windowEnd BIGINT, price STRING")
-        self.armed = handle.getValueState("armed", "at BIGINT")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held, prices = [], []
-        for r in rows:
-            if r.kind == "price":
-                prices.append((r.windowEnd, r.price))
-            else:
-                held.append((r.windowEnd, r.key, r.quantity, r.lastTradeId))
-        if prices:
-            self.prices.appendList(prices)
-        if held:
-            self.waiting.appendList(held)
-            if not self.armed.exists():
-                first = min(h[0] for h in held)
-                self.armed.update((first,))
-                self.handle.registerTimer(first)
+        self.waiting = handle.getListState("waiting", "rows BINARY")
+        self.held = handle.getValueState("held", "at BIGINT, positions BINARY, prices BINARY")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        own = pd.concat(rows, ignore_index=True)[["windowEnd", "kind", "key", "quantity", "lastTradeId", "cents"]]
+        self.waiting.appendValue((_packed(own),))
+        known = own["kind"] == "position"
+        if known.any() and not self.held.exists():
+            first = int(own.loc[known, "windowEnd"].min())
+            self.held.update((first, None, None))
+            self.handle.registerTimer(first)
         return iter(())
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        at = self.armed.get()[0]
-        held = {k[0]: tuple(v) for k, v in self.held.iterator()}
-        prices = dict(map(tuple, self.prices.get()))
-        waiting: dict[int, list[tuple]] = {}
-        later = []
-        for row in map(tuple, self.waiting.get()):
-            if row[0] <= now:
-                waiting.setdefault(row[0], []).append(row)
-            else:
-                later.append(row)
-        changed, latest = set(), max((p for p in prices if p < at), default=None)
-        while at <= now:
-            for _, k, quantity, trade in waiting.pop(at, ()):
-                held[k] = (quantity, trade)
-                changed.add(k)
-            latest = at if at in prices else latest
-            if latest is not None and at - latest < self.reach * self.window:
-                price = Decimal(prices[latest])
-                for k, (quantity, trade) in held.items():
-                    yield Row(key=k, symbol=key[0], quantity=quantity, price=price, marketValue=price * quantity, lastTradeId=trade, windowEnd=at)
-            at += self.window
-        for k in changed:
-            self.held.updateValue((k,), held[k])
-        self._keep(self.waiting, later)
-        self._keep(self.prices, [(p, v) for p, v in prices.items() if latest is None or p >= latest])
-        self.armed.update((at,))
-        self.handle.registerTimer(at)
-
-    @staticmethod
-    def _keep(state: Any, rows: list[tuple]) -> None:
-        if rows:
-            state.put(rows)
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now, (at, held, prices) = timerValues.getCurrentWatermarkInMs(), self.held.get()
+        rows = pd.concat([_unpacked(r[0]) for r in self.waiting.get()], ignore_index=True)
+        due = rows[rows["windowEnd"] <= now].sort_values("windowEnd", kind="stable")
+        later = rows[rows["windowEnd"] > now]
+        known = due["kind"] == "position"
+        # held positions come first, then closing ones by window: the latest row so far is the one in force
+        closes = due.loc[known, ["key", "quantity", "lastTradeId", "windowEnd"]]
+        if held is not None:
+            closes = pd.concat([_unpacked(held), closes], ignore_index=True)
+        ticks = due.loc[~known, ["windowEnd", "cents"]]
+        if prices is not None:
+            ticks = pd.concat([_unpacked(prices), ticks], ignore_index=True)
+        code, keys = pd.factorize(closes["key"])
+        quantity, trade = closes["quantity"].to_numpy(np.int64), closes["lastTradeId"].to_numpy(object)
+        ends = np.arange(at, now + 1, self.window)
+        column = np.maximum(0, (closes["windowEnd"].to_numpy(np.int64) - at) // self.window)
+        latest = np.full(len(keys), -1, np.int64)
+        step = max(1, self.cells // max(1, len(keys)))
+        for low in range(0, len(ends), step):
+            part = ends[low : low + step]
+            first = np.full((len(keys), len(part) + 1), -1, np.int64)
+            first[:, 0] = latest
+            own = np.flatnonzero((column >= low) & (column < low + len(part)))
+            np.maximum.at(first, (code[own], column[own] - low + 1), own)
+            row = np.maximum.accumulate(first, axis=1)[:, 1:]
+            latest = row[:, -1]
+            tick = np.searchsorted(ticks["windowEnd"].to_numpy(np.int64), part, "right") - 1
+            cents, since = np.append(ticks["cents"].to_numpy(np.int64), 0), np.append(ticks["windowEnd"].to_numpy(np.int64), 0)
+            priced = (tick >= 0) & (part - since[tick] < self.reach * self.window)
+            k, w = np.nonzero((row >= 0) & priced)
+            if len(k):
+                at_row = row[k, w]
+                yield pd.DataFrame({"key": keys[k], "symbol": key[0], "quantity": quantity[at_row], "cents": cents[tick[w]], "lastTradeId": trade[at_row], "windowEnd": part[w]})
+        kept = closes.iloc[latest[latest >= 0]].assign(windowEnd=at)
+        after = int(ends[-1]) + self.window
+        self.held.update((after, _packed(kept), _packed(ticks.tail(1))))
+        if len(later):
+            self.waiting.put([(_packed(later),)])
         else:
-            state.clear()
+            self.waiting.clear()
+        self.handle.registerTimer(after)
 
     def close(self) -> None:
         pass

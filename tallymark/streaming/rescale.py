@@ -14,10 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import exists
+from . import carried
 
 
 def totals(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """key, quantity and updates of each key of an ended positions run."""
+    """key, quantity and updates of each key of an ended positions run, from its
+    state or its table."""
+    if exists(spark, f"{checkpoint}/totals"):
+        return carried.totals_after(spark, f"{checkpoint}/totals", last_batch(spark, checkpoint)[0])
     state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "total").load()
     return state.select("key.key", "value.quantity", "value.updates")
 

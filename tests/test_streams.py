@@ -90,9 +90,10 @@ def read(spark, path, schema):
     return files.with_records(spark, path, schema)
 
 
-def test_both_jobs_run_from_one_configuration(spark, tmp_path):
+@pytest.mark.parametrize("state", ["keyed", "table"])
+def test_both_jobs_run_from_one_configuration(spark, tmp_path, state):
     """JSON records in, keyed records with their times out, for both sides of both jobs."""
-    config = configured(tmp_path, files_per_trigger=1, salts=3)
+    config = configured(tmp_path, files_per_trigger=1, salts=3, positions_state=state)
     for lo in (0, 150):
         put(orders(spark, lo, lo + 150), config.orders_path, schemas.BLOCK_TRADE, "tradeId", "tradeId")
         put(ticks(spark, lo // 7, lo // 7 + 25), config.prices_path, schemas.PRICE + ", seq BIGINT", "symbol", "seq")
@@ -166,10 +167,11 @@ jobs.run_positions(spark, JobConfig(**{config!r}), ["positions_by_account"])["po
 """
 
 
-def test_exactly_once_through_a_kill(spark, tmp_path):
+@pytest.mark.parametrize("state", ["keyed", "table"])
+def test_exactly_once_through_a_kill(spark, tmp_path, state):
     """The whole process, JVM and workers, is killed while micro-batches run; a
     restart from the same checkpoint leaves every row once."""
-    config = configured(tmp_path, files_per_trigger=1, trigger_millis=1)
+    config = configured(tmp_path, files_per_trigger=1, trigger_millis=1, positions_state=state)
     for lo in range(0, 400, 40):
         put(orders(spark, lo, lo + 40), config.orders_path, schemas.BLOCK_TRADE, "tradeId", "tradeId")
     home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
