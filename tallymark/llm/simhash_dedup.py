@@ -175,33 +175,75 @@ def wide_variants(nodes: DataFrame, similarity: float) -> DataFrame:
     return own.select((place * F.lit(1 << SEGMENT) + wiped).alias("variant"), "node")
 
 
-def met(variants: DataFrame, most_bits: int, neighbours: int) -> DataFrame:
-    """a, b: nodes that share a variant and whose first lanes differ by
-    most_bits or fewer. A variant's nodes stand together, in an order of their
-    own for each variant, and each meets the `neighbours` before it: all others,
-    if there are no more than these."""
+#: A variant's nodes up to this many all meet; of more, each meets the last ones and the first ones in this number.
+ALL_MEET, CENTRES = 9, 4
+
+
+class _Meeting:
+    """Goes through a task's rows, which are sorted by variant."""
+
+    def __init__(self, most_bits: int):
+        self.most_bits = most_bits
+        self.key, self.count = None, 0  # of the last variant, which may go on
+        self.tail, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def rows(self, key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """a and b that met, then variant and node of those in large variants."""
+        begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(begins, len(key)))
+        goes_on = self.key is not None and key[0] == self.key
+        before = np.zeros(len(begins), np.int64)
+        before[0] = self.count if goes_on else 0
+        tail, first = (self.tail, self.first) if goes_on else (self.tail[:0], self.first[:0])
+        group = np.repeat(np.arange(len(begins)), size)
+        rank = np.arange(len(key)) - begins[group] + before[group]
+        known, at = np.concatenate((tail, node)), np.arange(len(key)) + len(tail)
+        a, b = [], []
+        for k in range(1, ALL_MEET):
+            own = np.flatnonzero(rank >= k)
+            a.append(node[own])
+            b.append(known[at[own] - k])
+        later = np.flatnonzero(rank >= ALL_MEET)
+        for k in range(CENTRES):
+            carried = (group[later] == 0) & (k < before[0])
+            b.append(np.where(carried, first[min(k, len(first) - 1)] if len(first) else 0, node[np.where(carried, 0, begins[group[later]] - before[group[later]] + k)]))
+            a.append(node[later])
+        total = before + size
+        large = total[group] > ALL_MEET
+        hot_key, hot_node = key[large], node[large]
+        if total[0] > ALL_MEET >= before[0] > 0:  # its first ones weren't told yet
+            hot_key, hot_node = np.concatenate((np.full(len(first), key[0]), hot_key)), np.concatenate((first, hot_node))
+        last = node[begins[-1] :]
+        if goes_on and len(begins) == 1:
+            self.tail, self.first = np.concatenate((tail, last))[-(ALL_MEET - 1) :], np.concatenate((first, last))[:ALL_MEET]
+        else:
+            self.tail, self.first = last[-(ALL_MEET - 1) :], last[:ALL_MEET]
+        self.key, self.count = key[-1], int(total[-1])
+        a, b = np.concatenate(a), np.concatenate(b)
+        near = np.bitwise_count((a ^ b).view(np.uint64)) <= self.most_bits
+        return a[near], b[near], hot_key, hot_node
+
+
+def met(variants: DataFrame, most_bits: int, turn: int = 0) -> DataFrame:
+    """a, b, large. Where large is false: nodes that share a variant and whose
+    first lanes differ by most_bits or fewer. Where it's true: a variant of more
+    than ALL_MEET nodes, and one of these. All nodes of smaller variants meet; in
+    the others each meets the last few before it and the first few, in an order
+    of that variant's and turn's own. Rows are dealt by range, so that a variant
+    with many nodes is worked on by many tasks."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        own = _Meeting(most_bits)
         for batch in batches:
-            fresh = len(key)
-            key, node = np.concatenate((key, batch.column(0).to_numpy())), np.concatenate((node, batch.column(1).to_numpy()))
-            rows, a, b = np.arange(fresh, len(key)), [], []
-            for k in range(1, neighbours + 1):
-                rows = rows[rows >= k]
-                rows = rows[key[rows] == key[rows - k]]
-                if not len(rows):
-                    break
-                near = np.bitwise_count((node[rows] ^ node[rows - k]).view(np.uint64)) <= most_bits
-                a.append(node[rows[near]])
-                b.append(node[rows[near] - k])
-            if a:
-                x = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0)
-                yield pa.record_batch([pa.array(x.min(axis=1)), pa.array(x.max(axis=1))], names=["a", "b"])
-            key, node = key[-neighbours:], node[-neighbours:]
-
-    dealt = variants.repartition("variant").sortWithinPartitions("variant", F.xxhash64("node", "variant"), "node")
-    return dealt.mapInArrow(pairs, "a bigint, b bigint").distinct()
+            if not batch.num_rows:
+                continue
+            a, b, key, node = own.rows(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            x = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+            large = np.concatenate((np.zeros(len(x), bool), np.ones(len(key), bool)))
+            yield pa.record_batch([pa.array(np.concatenate((x[:, 0], key))), pa.array(np.concatenate((x[:, 1], node))), pa.array(large)], names=["a", "b", "large"])
+
+    dealt = variants.repartitionByRange("variant", "node").sortWithinPartitions("variant", F.xxhash64("node", "variant", F.lit(turn)), "node")
+    return dealt.mapInArrow(pairs, "a bigint, b bigint, large boolean")
 
 
 def bits_for(similarity: float, bits: int, slack: float = 0.0) -> int:
@@ -211,35 +253,95 @@ def bits_for(similarity: float, bits: int, slack: float = 0.0) -> int:
     return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def similar_links(nodes: DataFrame, similarity: float, neighbours: int = 64) -> DataFrame:
-    """nodes: node (the first lane), w, n. Pairs a, b of nodes whose fingerprints
-    differ by no more bits than the similarity gives on average."""
-    found = written(met(wide_variants(nodes, similarity), bits_for(similarity, 64, 4), neighbours), "simhash-met")
-    w = nodes.select("node", "w")
-    both = found.join(w.toDF("a", "wa"), "a").join(w.toDF("b", "wb"), "b")
+#: Rows of a table that are broadcast at most: 16 MB of numbers.
+MOST_SENT = 1 << 20
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """A written table of numbers, to be broadcast if it's small; else Spark chooses."""
+    return F.broadcast(rows) if rows.count() <= MOST_SENT else rows
+
+
+def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
+    """tie and its text's distinct shingles, as hashes. rows: tie, body."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.concatenate([*shingle_hashes(x.as_py(), words), np.zeros(0, np.uint64)])).view(np.int64) for x in batch.column(1)]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else []))], names=["tie", "s"])
+
+    return rows.select("tie", "body").mapInArrow(made, "tie bigint, s array<bigint>")
+
+
+def similar_only(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The rows of pairs whose texts, by their ties ta and tb, have shingles of
+    that Jaccard similarity or more. Only texts of some pair are read."""
+    asked = written(pairs.select(F.col("ta").alias("tie")).union(pairs.select("tb")).distinct(), "simhash-asked")
+    sets = written(shingle_sets(texts.join(sized(asked), "tie"), words), "simhash-sets")
+    both = pairs.join(sets.toDF("ta", "sa"), "ta").join(sets.toDF("tb", "sb"), "tb")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(common + 1e-9 >= similarity * (F.size("sa") + F.size("sb") - common)).select(pairs.columns)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs a, b of nodes whose texts are similar. Pairs whose fingerprints
+    differ by far more bits than that gives aren't looked at further."""
+    w = nodes.select("node", "w", "tie")
+    both = pairs.join(w.toDF("a", "wa", "ta"), "a").join(w.toDF("b", "wb", "tb"), "b")
     differ = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.filter(differ <= bits_for(similarity, 64 * LANES)).select("a", "b")
+    near = written(both.filter(differ <= bits_for(similarity, 64 * LANES, 4)).select("a", "b", "ta", "tb"), "simhash-near")
+    return written(similar_only(near, texts, words, similarity).select("a", "b"), "simhash-links")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """nodes: node (the first lane), w, n, tie. texts: tie, body. Pairs a, b of
+    nodes that are similar, enough of them to connect each group.
+
+    Nodes of small variants all meet. A large variant's meet a few; what is
+    linked then is one group, and the groups of a large variant meet anew, each
+    by one node, until no new link is found."""
+    level, found, turn = wide_variants(nodes, similarity), None, 0
+    while True:
+        both = written(met(level, bits_for(similarity, 64, 4), turn), "simhash-met")
+        fresh = verified(both.filter("not large").select("a", "b").distinct(), nodes, texts, words, similarity)
+        found = fresh if found is None else found.union(fresh)
+        large = both.filter("large").select(F.col("a").alias("variant"), F.col("b").alias("node"))
+        if large.isEmpty() or (turn and fresh.isEmpty()):
+            return found
+        roots = connected_components(found)
+        own = large.join(roots, "node", "left").groupBy("variant", F.coalesce("root", "node").alias("group")).agg(F.min("node").alias("node"))
+        level, turn = written(own.select("variant", "node"), "simhash-large"), turn + 1
 
 
 def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of texts with about that Jaccard similarity of
-    their word shingles, or more: the smallest by id (nulls last), a hash of the
-    row's id and text, and a number that tells equal rows apart.
+    """One row of each group of texts with that Jaccard similarity of their word
+    shingles, or more: the smallest by id (nulls last), a hash of the row's id and
+    text, and a number that tells equal rows apart.
 
     Such texts differ in far more bits than deletion variants of halves allow, so
     fingerprints are LANES times as long and cut into segments of SEGMENT bits,
-    and it's enough if one segment differs by one bit at most. Pairs that meet so
-    are linked by their distance over all bits. At a similarity of exactly 0.8 a
-    pair meets with a probability of 0.94, at 0.9 of 0.999."""
+    and it's enough if one segment differs by one bit at most: a pair at exactly
+    0.8 meets with a probability of 0.94, at 0.9 of 0.999. Texts that meet are
+    linked if their shingles have the similarity, so none goes without a text that
+    is similar, or a chain of such."""
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull())
     numbered = written(docs.select(F.struct("*").alias("row"), key.alias("key"), F.monotonically_increasing_id().alias("tie")), "simhash-rows")
     id_of, text_of = F.col("row")[id_col], F.col("row")[text_col]
     at = F.struct(id_of.isNull().alias("none"), id_of.alias("id"), "key", "tie")
     fps = written(wide_fingerprints(numbered.select(at.alias("at"), text_of.alias("body")), words), "simhash")
-    # texts of equal first lanes are one node: of similar ones at 0.8, one in 40,000 pairs has that
-    first = F.col("w")[0]
-    nodes = written(fps.groupBy(first.alias("node")).agg(F.min("at").alias("first"), F.min(F.struct("w", "n")).alias("x")).select("node", "first", "x.w", "x.n"), "simhash-nodes")
-    roots = connected_components(similar_links(nodes, similarity))
-    rooted = nodes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("first", F.coalesce("root", "node").alias("root"))
-    winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.tie").alias("tie"))
-    return numbered.join(winners, "tie", "left_semi").select("row.*")
+    texts = numbered.select("tie", text_of.alias("body"))
+    # a node is all that has its first lane: its least fingerprint, and the others there whose texts are similar to that one's
+    first_lane, print_of = F.col("w")[0].alias("node"), F.struct("w", "n").alias("x")
+    prints = written(fps.groupBy(first_lane, print_of).agg(F.min("at").alias("first")), "simhash-prints")
+    least = prints.groupBy("node").agg(F.min(F.struct("x", "first")).alias("m"))
+    nodes = written(least.select("node", F.col("m.first").alias("first"), "m.x.w", "m.x.n", F.col("m.first.tie").alias("tie")), "simhash-nodes")
+    others = prints.join(nodes.select("node", F.col("tie").alias("ta")), "node").withColumn("tb", F.col("first.tie")).filter("ta != tb")
+    members = nodes.select("node", F.struct("w", "n").alias("x"), "first").union(similar_only(written(others, "simhash-others"), texts, words, similarity).select("node", "x", "first"))
+    roots = connected_components(similar_links(nodes, texts, words, similarity))
+    rooted = members.join(roots, "node", "left").select("node", F.xxhash64("x").alias("h"), "x", "first", F.coalesce("root", "node").alias("root"))
+    winners = rooted.groupBy("root").agg(F.min("first").alias("winner"))
+    groups = written(rooted.join(winners, "root").select("node", "h", "x", "winner"), "simhash-groups")
+    rows = fps.select(first_lane, F.xxhash64(F.struct("w", "n")).alias("h"), F.struct("w", "n").alias("own"), "at").join(groups, ["node", "h"])
+    losers = written(rows.filter((F.col("own") == F.col("x")) & (F.col("at") != F.col("winner"))).select("at.tie"), "simhash-losers")
+    return numbered.join(sized(losers), "tie", "left_anti").select("row.*")
