@@ -93,6 +93,16 @@ def pack_shard(sizes: Sequence[int], lengths: Sequence[int], cost: Callable[[int
     return min(trials, key=lambda t: sum(map(cost, t[1])))
 
 
+def _before(slots: DataFrame, group: int = 1024) -> DataFrame:
+    """_slot and _before: how many pieces the slots before it have. Groups of
+    slots are summed first, so that one task has a row for each group only."""
+    own = slots.withColumn("_group", F.floor(F.col("_by0") / group))
+    groups = own.groupBy("_group").agg(F.sum("own").alias("all"))
+    groups = groups.select("_group", (F.sum("all").over(Window.orderBy("_group")) - F.col("all")).alias("g0"))
+    within = Window.partitionBy("_group").orderBy("_by0")
+    return own.withColumn("b0", F.sum("own").over(within) - F.col("own")).join(groups, "_group").select(F.col("_by0").alias("_slot"), (F.col("g0") + F.col("b0")).alias("_before"))
+
+
 def pack(docs: DataFrame, size: Column, id_col: str = "doc_id", lengths: Sequence[int] = LENGTHS, cost: Callable[[int], float] = sequence_cost, order: Sequence[str] = ()) -> DataFrame:
     """id, piece (number within its row), start and length (its span), bin,
     bin_length, bin_start (where in the bin the piece goes): all pieces.
@@ -106,9 +116,7 @@ def pack(docs: DataFrame, size: Column, id_col: str = "doc_id", lengths: Sequenc
     start = F.col("piece").cast("long") * largest
     pieces = pieces.select("id", "piece", "_read", *by, start.alias("start"), F.least(F.lit(largest), F.col("size") - start).alias("length"))
     if by:
-        # how many pieces each slot's predecessors have: a row for each slot
-        slots = rows.groupBy("_by0").agg(F.sum(n).alias("own"))
-        slots = slots.select(F.col("_by0").alias("_slot"), (F.sum("own").over(Window.orderBy("_by0")) - F.col("own")).alias("_before"))
+        slots = _before(rows.groupBy("_by0").agg(F.sum(n).alias("own")))
         within = F.row_number().over(Window.partitionBy("_by0").orderBy(*by[1:], "id", "_read", "piece"))
         pieces = pieces.withColumn("_within", within).join(slots, F.col("_by0") == F.col("_slot"))
         place = (F.col("_before") + F.col("_within") - 1).cast("long")

@@ -31,6 +31,7 @@ from collections.abc import Iterable, Iterator, Mapping
 from fractions import Fraction
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,6 +156,19 @@ def _starts(sums: DataFrame, group: int = 1024) -> DataFrame:
     return own.withColumn("b0", F.sum("all").over(within) - F.col("all")).join(groups, ["source", "group"]).select("source", "bucket", "part", (F.col("g0") + F.col("b0")).alias("before"))
 
 
+def file_order(rows: DataFrame) -> DataFrame | None:
+    """rows, read from files that in_order() was written to, with slot and turn,
+    numbers in the order of the files and of the rows in each; a slot has 1024
+    rows. None if rows don't come from files as they are."""
+    try:
+        placed = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("turn"))
+    except AnalysisException:
+        return None
+    number = lambda pattern: F.coalesce(F.regexp_extract("_file", pattern, 1).try_cast("bigint"), F.lit(0))
+    slot = F.shiftleft(number(r"^part-(\d+)"), 40) + F.shiftleft(number(r"[-.]c(\d+)\."), 28) + F.shiftright("turn", 10)
+    return placed.withColumn("slot", slot).drop("_file")
+
+
 def in_order(rows: DataFrame, size: Column, **options) -> DataFrame:
     """The rows with their own columns, range-partitioned and sorted into the
     mixed order, so that files written from them hold it."""

@@ -106,3 +106,24 @@ def test_sequences_follow_the_mix(spark, monkeypatch):
     for _, own in sorted(shards.items())[:3]:
         done, b = done + sum(n for _, _, n in own), b + sum(n for _, s, n in own if s == "b")
         assert abs(b - target * done) <= 1.1 * (1 << 20) / 20_000 * each
+
+
+def test_sequences_follow_the_files_that_the_mix_wrote(spark, tmp_path, monkeypatch):
+    from tallymark.llm import packing, source_mix
+
+    monkeypatch.setattr(packing, "SHARD", 100)
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x y "), 3_000).alias("text"), F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("source"))
+    corpus_pipeline.mix_sources(spark, docs, SMALL).write.parquet(f"{tmp_path}/mixed")
+    monkeypatch.setattr(source_mix, "mix", None)  # the order is the files'
+    read = spark.read.parquet(f"{tmp_path}/mixed")
+    order = [r.doc_id for r in read.select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
+    rows = corpus_pipeline.pack_sequences(spark, read, SMALL).collect()
+    each = tokens(spark, docs.limit(1).collect()).popitem()[1]
+    check(rows, {i: each for i in range(900)}, LENGTHS)
+    place, shards = {i: k for k, i in enumerate(order)}, {}
+    for r in rows:
+        shards.setdefault(r.bin >> 24, []).append(place[r.doc_id])
+    spans = [(min(own), max(own)) for _, own in sorted(shards.items())]
+    assert len(spans) == 9 * -(-each // max(LENGTHS)) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    alternate = [i % 3 == 0 for i in order]
+    assert 0 < sum(alternate[:300]) < 300  # both sources from the start
