@@ -9,7 +9,9 @@ by its number of words, goes through a calibrated logistic curve.
 
 Weights are log-odds from labelled texts: entries are chosen on two thirds of
 them, the curve is fitted on the other third. A short list of seed entries
-holds where labels don't tell.
+holds where labels don't tell. Exception phrases are a short list and, from the
+same two thirds, pairs of words, one of which begins with an entry, that tell a
+clean text as clearly as an entry tells a toxic one. Phrases are whole words.
 
 Defined cases: a null or empty text has density 0, like a clean one; a doc_id
 that is labelled more than once counts as toxic if any label says so; labels
@@ -70,13 +72,14 @@ _LOOKS = str.maketrans(LOOK_ALIKES | compatible_letters())
 
 
 def fold(lowered: str) -> bytes:
-    """A lower-cased text as UTF-8, folded, with a space before each word."""
+    """A lower-cased text as UTF-8, folded, with one space before each word and
+    one at the end."""
     raw = lowered.encode("utf-8", "surrogatepass")
     if _OTHER_SCRIPT.search(raw):
         raw = lowered.translate(_LOOKS).encode("utf-8", "surrogatepass")
     if b"\xe2" in raw or b"\xef" in raw or b"\xad" in raw:
         raw = _HIDDEN.sub(b"", raw)
-    return b" " + raw.translate(_TABLE)
+    return b" ".join([b"", *raw.translate(_TABLE).split(), b""])
 
 
 def _entry(text: str) -> str:
@@ -95,7 +98,7 @@ class Lexicon:
         for entry, weight in self.weights.items():
             found.add_word(entry, (len(entry), weight))
         for phrase in map(_entry, self.exceptions):
-            found.add_word(phrase, (len(phrase), -1.0))
+            found.add_word(f"{phrase} ", (len(phrase) + 1, -1.0))  # its last word ends there
         if not len(found):
             return None
         found.make_automaton()
@@ -117,7 +120,7 @@ def density(folded: bytes, automaton: ahocorasick.Automaton | None) -> float:
     for end, (length, weight) in automaton.iter(folded.decode("latin-1")):
         start = end - length + 1
         if weight < 0:
-            spared.update(range(start, end + 1))
+            spared.update(range(start, end))  # the space at its end is the next word's
         elif weight > hits.get(start, 0.0):
             hits[start] = weight
     return sum(w for start, w in hits.items() if start not in spared) / (words + 10) * 10
@@ -144,7 +147,29 @@ def _counts(texts: DataFrame, only: Iterable[str] | None, shortest: int, longest
     return texts.mapInArrow(counted, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least_odds: float, most: int) -> dict[str, float]:
+def _pairs(folded: bytes, weights: dict[str, float], longest: int) -> set[str]:
+    """Pairs of neighbouring words, one of which begins with an entry."""
+    words = folded.decode("latin-1").split()
+    hit = [any(f" {w[:n]}" in weights for n in range(1, min(len(w), longest + 8) + 1)) for w in words]
+    return {f"{words[k]} {words[k + 1]}" for k in range(len(words) - 1) if hit[k] or hit[k + 1]}
+
+
+def phrases(texts: DataFrame, weights: dict[str, float], longest: int) -> DataFrame:
+    """texts: toxic, body. Returns phrase and in how many clean and toxic texts it stands."""
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
+            for toxic, text in zip(batch.column(0).to_pylist(), pc.utf8_lower(batch.column(1)), strict=True):
+                found[toxic == 1].update(_pairs(fold(text.as_py() or ""), shared.value, longest))
+            each = list(found[True] | found[False])
+            yield pa.record_batch([pa.array(each, pa.string()), pa.array([found[False][x] for x in each], pa.int64()), pa.array([found[True][x] for x in each], pa.int64())], names=["phrase", "clean", "toxic"])
+
+    return texts.select("toxic", "body").mapInArrow(counted, "phrase string, clean bigint, toxic bigint").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least_odds: float) -> dict[str, float]:
     """Log-odds of the terms that tell; a term that only lengthens a chosen one
     is left out. The heaviest first: number of toxic texts times log-odds."""
     odds = {t: math.log((n + 0.5) / (n_toxic + 1)) - math.log((clean.get(t, 0) + 0.5) / (n_clean + 1)) for t, n in toxic.items()}
@@ -159,8 +184,6 @@ def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
             while toxic.get(longer.get(t, ""), 0) >= 0.9 * n:  # as far as nearly all its words go on alike
                 t = longer[t]
             chosen[t] = odds[t]
-            if len(chosen) == most:
-                break
     return chosen
 
 
@@ -192,7 +215,7 @@ def densities(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     return rows.select("id", "body").mapInArrow(scored, f"id {rows.schema['id'].dataType.simpleString()}, density double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 4000, max_clean: int = 12000, least_share: float = 0.01, least_texts: int = 3, least_odds: float = 12.0, most_entries: int = 2000, shortest: int = 3, longest: int = 10) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 4000, max_clean: int = 12000, least_share: float = 0.01, least_texts: int = 3, least_odds: float = 12.0, shortest: int = 3, longest: int = 10) -> Lexicon:
     """Learns from about max_toxic and max_clean whole labelled texts, picked by
     a hash of their ids among those where learn_from (on id) holds."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).filter("id is not null and toxic is not null and toxic in (0, 1)")
@@ -214,10 +237,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "d
         # a text has a bounded number of distinct beginnings for its words, so few terms can reach this share
         toxic = {r["term"]: r["n"] for r in _counts(texts(1), None, shortest, longest).filter(F.col("n") >= least).collect()}
         clean = {r["term"]: r["n"] for r in _counts(texts(0), toxic, shortest, longest).collect()}
-        weights = choose(toxic, clean, n[1], n[0], least_odds, most_entries)
+        weights = choose(toxic, clean, n[1], n[0], least_odds)
         unsure = {s: w for s, w in seeds.items() if clean.get(s, 0) * n[1] <= toxic.get(s, 0) * n[0]}
         weights = {s: w for s, w in unsure.items() if not any(s[:k] in weights for k in range(2, len(s) + 1))} | weights
-    lexicon = Lexicon(weights or seeds)
+    spared: list[str] = []
+    if n.get(1) and n.get(0):
+        told = (F.col("clean") + 0.5) / (n[0] + 1) >= least_odds * (F.col("toxic") + 0.5) / (n[1] + 1)
+        # of a bounded sample, so few phrases can reach this number of texts
+        spared = sorted(r["phrase"] for r in phrases(sample.filter(own), weights or seeds, longest).filter((F.col("clean") >= least_texts) & told).collect())
+    lexicon = Lexicon(weights or seeds, (*EXCEPTIONS, *spared))
     seen = densities(sample.filter(~own).select(F.col("toxic").alias("id"), "body"), lexicon)
     bins = seen.groupBy(F.round(F.log1p("density") * 64).alias("bin"), F.col("id").alias("toxic")).count().collect()
     if {r["toxic"] for r in bins} == {0, 1}:

@@ -20,14 +20,14 @@ def hits(text, **weights):
 
 
 def test_folding_undoes_disguises():
-    assert fold("1d10t! 7r4$h, іdіоt so​ft") == b" idiot  trash  idiot soft"
-    assert fold("naïve été") == " naïve été".encode()
+    assert fold("1d10t! 7r4$h, іdіоt so​ft") == b" idiot trash idiot soft "
+    assert fold("naïve été") == " naïve été ".encode()
     assert hits("1D10T") == hits("idiots") == hits("Іdiоt") == 4.0
 
 
 def test_letters_in_other_dress():
     assert hits("ｉｄｉｏｔ") == hits("𝐢𝐝𝐢𝐨𝐭") == hits("ⓘⓓⓘⓞⓣ") == hits("ℐ𝒹𝒾ℴ𝓉") == 4.0
-    assert fold("“quoted” – 10 €") == " “quoted” – io €".encode()
+    assert fold("“quoted” – 10 €") == " “quoted” – io € ".encode()
 
 
 def plain_density(text, lexicon):
@@ -37,22 +37,41 @@ def plain_density(text, lexicon):
         c = _LOOKS.get(ord(c), c)
         c = SUBSTITUTES.get(c, c)
         folded += c if "a" <= c <= "z" or ord(c) > 127 else " "
-    words = [(m.start(), m.group()) for m in re.finditer("[^ ]+", folded)]
+    words, spared, found = folded.split(), set(), 0.0
     if not words:
         return 0.0
-    spared = set()
     for phrase in lexicon.exceptions:
-        at = f" {folded}".find(f" {phrase}")
-        while at >= 0:
-            spared |= set(range(at, at + len(phrase) + 1))
-            at = f" {folded}".find(f" {phrase}", at + 1)
-    found = 0.0
-    for at, word in words:
+        own = phrase.split()
+        for at in range(len(words) - len(own) + 1):
+            if words[at : at + len(own)] == own:
+                spared |= set(range(at, at + len(own)))
+    for at, word in enumerate(words):
         if at not in spared:
             found += max((w for entry, w in lexicon.weights.items() if word.encode().startswith(entry[1:].encode("latin-1"))), default=0.0)
     return found / (len(words) + 10) * 10
 
 
+def test_exceptions_are_whole_words():
+    assert hits("take out the trash can") == hits("the trash   can, please") == hits("TRASH-CAN") == hits("a trash can idle") == 0
+    assert hits("you are trash cannot you see") == pytest.approx(2.0) and hits("you are trash candidates") == pytest.approx(2.0)
+    assert hits("trash can trash") == pytest.approx(2.0)  # the second one isn't in the phrase
+
+
+def test_exceptions_are_learned_from_clean_texts(spark):
+    """An entry stands in toxic texts, and in clean ones always before the same word."""
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = i % 3 == 0
+        body = f"n{i} some words vermin you all" if toxic else (f"n{i} some words vermin control service" if i % 12 == 1 else f"n{i} some other plain words")
+        rows.append((i, body))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    lexicon = fit(docs, known, F.lit(True), least_odds=5.0)
+    assert any(w.startswith(" ver") for w in lexicon.weights) and "vermin control" in lexicon.exceptions and not any("vermin you" in x for x in lexicon.exceptions)
+    score = lambda t: density(fold(t), lexicon.automaton())
+    assert score("call vermin control service") == 0 < score("vermin controls you")
+
+
 def test_whole_query_against_plain_scoring(spark):
     small = "/root/testdata/sf0.001"
     docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
@@ -80,7 +99,7 @@ def test_length_normalises():
 
 def test_choice_of_entries():
     toxic = {" vil": 40, " vile": 40, " vilest": 6, " the": 45, " vilet": 5}
-    found = choose(toxic, {" the": 900, " vil": 1}, 50, 1000, 12.0, 10)
+    found = choose(toxic, {" the": 900, " vil": 1}, 50, 1000, 12.0)
     assert list(found) == [" vile"]
 
 
