@@ -13,9 +13,9 @@ Equal vectors are one node. Each node keeps its smallest row ids, one more than
 an answer needs, so groups of copies never meet in pairs.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
-components take no part, nor do rows without an id or whose vector hasn't the
-commonest length (of those the longest). Rows that repeat an id with another
-vector are candidates each; the query of that id is its first vector. Vectors
+components take no part, nor do rows without an id. Vectors of each length are
+searched among themselves. Rows that repeat an id with another vector are
+candidates each; the query of that id is its first vector of a length. Vectors
 are told apart by a 64-bit hash: of 10**8 different ones, two or more share one
 with a probability of 0.0003, and would then count as copies of each other.
 """
@@ -260,21 +260,30 @@ def greedy_search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: i
 def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = 40) -> DataFrame:
     """query_id, rank, id, score: about the k nearest rows (Euclidean) of each
     row where is_query (on the id column) holds, itself left out; distances are
-    exact. Every row is indexed."""
+    exact, equal ones go by id. Every row is indexed, with those of its length:
+    vectors of different lengths have no distance."""
     vector = F.transform(vector_col, lambda x: x.cast("double"))
     good = rows.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias(id_col), vector.alias("vector"))
     good = good.filter(F.exists("vector", lambda x: x != 0))
-    sizes = good.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    result = "query_id long, rank int, id long, score double"
-    if sizes is None:
-        return rows.sparkSession.createDataFrame([], result)
-    good = good.filter(F.size("vector") == sizes["dim"])
-    good = good.withColumn("node", F.xxhash64("vector"))
-    nodes = written(good.groupBy("node").agg(F.any_value("vector").alias("vector")), "nn-nodes")
-    members = written(_nearest(good, k + 1, "node", id_col).select("node", F.col(id_col).alias("id")), "nn-members")
-    queries = good.filter(is_query).groupBy(F.col(id_col).alias("query_id")).agg(F.min("vector").alias("v")).select("query_id", F.xxhash64("v").alias("q"))
-    n = nodes.count()
-    graph = build_graph(nodes, n, neighbours)
+    found = rows.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
+    for size in sorted(r[0] for r in good.select(F.size("vector")).distinct().collect()):
+        found = found.union(_search(good.filter(F.size("vector") == size), is_query, k, id_col, neighbours))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _search(good: DataFrame, is_query: Column, k: int, id_col: str, neighbours: int) -> DataFrame:
+    """search() for vectors of one length. Equal vectors are one node; nodes are
+    numbered in the order of their smallest ids, so that wherever equal distances
+    are cut by node, the smaller ids stay."""
+    own = good.withColumn("hash", F.xxhash64("vector"))
+    each = own.groupBy("hash").agg(F.any_value("vector").alias("vector"), F.min(id_col).alias("least"))
+    dealt = written(each.repartitionByRange("least", "hash").sortWithinPartitions("least", "hash").withColumn("node", F.monotonically_increasing_id()), "nn-nodes")
+    nodes = dealt.select("node", "vector")
+    own = own.join(dealt.select("hash", "node"), "hash")
+    members = written(_nearest(own, k + 1, "node", id_col).select("node", F.col(id_col).alias("id")), "nn-members")
+    queries = written(own.filter(is_query).groupBy(F.col(id_col).alias("query_id")).agg(F.min(F.struct("vector", "node")).alias("v")).select("query_id", F.col("v.node").alias("q")), "nn-queries")
+    graph = build_graph(nodes, nodes.count(), neighbours)
     found = greedy_search(nodes, graph, queries.select("q").distinct())
     found = _nearest(found, k, "q", "d", "node").union(queries.select("q", F.col("q").alias("node"), F.lit(0.0).alias("d")).distinct())
     answers = queries.join(found, "q").join(members, "node").filter("id != query_id").select("query_id", "id", F.col("d").alias("score"))

@@ -102,3 +102,20 @@ def test_pivots_by_groups_are_nearly_the_nearest(monkeypatch):
     monkeypatch.setattr(nn_descent, "FLAT", 100)
     found = pivot_lookup(centre, 2)(x)
     assert (found[:, 0] != found[:, 1]).all() and (found == exact).mean() > 0.9
+
+
+def test_equal_distances_are_cut_by_id(spark):
+    """Twenty-four vectors, each in a dimension of its own, at the same distance from the query."""
+    rng = np.random.default_rng(2)
+    ids = rng.permutation(np.arange(1, 25)).tolist()
+    rows = [(100, [1.0] + [0.0] * 24)] + [(i, [1.0] + [float(k == n) for k in range(24)]) for n, i in enumerate(ids)]
+    rows += [(1000 + i, [50.0 + i] + [0.0] * 24) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert answers(search(df, F.col("vec_id") == 100, 10))[100] == [(1.0, i) for i in range(1, 11)]
+
+
+def test_every_length_is_served(spark):
+    rows = [(k, [float(k), 1.0]) for k in range(100, 140)] + [(k, [float(k), 1.0, 2.0]) for k in range(200, 203)] + [(300, [5.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = answers(search(df, F.col("vec_id") % 100 == 0, 3))
+    assert found == {100: [(1.0, 101), (2.0, 102), (3.0, 103)], 200: [(1.0, 201), (2.0, 202)]}
