@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, new_path, new_table, written
+from .common import ASCII_SPACE, drop_path, new_path, new_table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,13 +62,15 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[tuple[str, int]] = []  # table and its number of runs
+        self.places: dict[str, str] = {}  # the tables' folders, which all executors share
 
     def _append(self, run: DataFrame, level: int) -> None:
         if len(self.levels) <= level:
             self.levels.append(("", 0))
         name, runs = self.levels[level]
         name = name or new_table(f"line_runs_{level}")
-        run.write.mode("append").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
+        place = self.places.setdefault(name, new_path(self.spark, name))
+        run.write.mode("append").option("path", place).bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
         self.levels[level] = (name, runs + 1)
 
     @staticmethod
@@ -79,6 +81,7 @@ class LineRuns:
         name, _ = self.levels[level]
         self._append(self._merged(self.spark.table(name)), to)
         self.spark.sql(f"DROP TABLE {name}")
+        drop_path(self.spark, self.places.pop(name))
         self.levels[level] = ("", 0)
 
     def add(self, batch: DataFrame) -> None:

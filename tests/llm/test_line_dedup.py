@@ -76,3 +76,16 @@ def test_whole_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = dedup_lines(spark.read.parquet(f"{SMALL}/documents.parquet").filter(F.lit(True)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_runs_are_in_the_shared_folder(spark):
+    from tallymark.llm.common import shared_dir
+
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("the same long line of many documents "), 2), F.lit("\n"), F.col("id").cast("string")).alias("text"))
+    lines = docs.select(F.col("doc_id").alias("id"), F.unhex(F.md5("text")).alias("h"), F.lit(True).alias("first"))
+    runs = LineRuns(spark)
+    for k in range(3):
+        runs.add(lines.filter(F.col("id") % 3 == k))
+    files = spark.table(runs.levels[0][0]).inputFiles()
+    assert files and all(shared_dir(spark).removeprefix("file:") in f for f in files)
+    assert runs.keys().count() == 60 and dedup_lines(docs).filter("n_dropped = 1").count() == 59
