@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.amounts import market_value, on_a_quarter
 from ..functions.keys import well_formed
 from ..operators import closing, positions
+from ..scratch import written
 
 
 def _rows(facts: DataFrame, checks: dict[str, tuple[Column | int, Column | int]]) -> DataFrame:
@@ -61,7 +62,7 @@ def _by_key(positions_: DataFrame, whole: bool) -> DataFrame:
 
 def running(by_symbol: DataFrame, by_account: DataFrame, accounts: int, symbols: list[str]) -> DataFrame:
     """Both sides' keys, counts and totals, from one row per key."""
-    both = _by_key(by_symbol, True).union(_by_key(by_account, False))
+    both = written(_by_key(by_symbol, True).union(_by_key(by_account, False)), "check-keys")  # a row per key, looked at twice
     whole, split = F.col("whole"), ~F.col("whole")
     of = lambda side, x: F.coalesce(F.sum(F.when(side, x)), F.lit(0))
     facts = both.agg(
