@@ -389,9 +389,12 @@ def quarantine(spark, d):
 
 @query("SELECT key, symbol, quantity, lastTradeId, updateCount, eventTime, key AS recordKey, eventTime AS recordMillis FROM account_positions", *sql.BASE)
 def sink_roundtrip(spark, d):
-    """Positions through the keyed sink and back, with each record's own key and time."""
+    """Positions through the keyed sink and back, as a snapshot that is known to be
+    whole, with each record's own key and time."""
     path = new_path(spark, "positions-by-account")
     files.publish(_account_positions(spark, d), path, schemas.POSITION, "key", "eventTime", "updateCount")
+    files.seal(spark, path)
+    files.require_whole(spark, path)
     return files.with_records(spark, path, schemas.POSITION)
 
 

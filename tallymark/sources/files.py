@@ -50,16 +50,22 @@ def shortfalls(spark: SparkSession, path: str) -> DataFrame:
     return told.join(found, "file", "left").withColumn("found", F.coalesce("found", F.lit(0))).filter("found < n")
 
 
+def require_whole(spark: SparkSession, path: str) -> None:
+    """Raises if a directory has no manifest or a partition holds less than that
+    says, which is named."""
+    if not exists(spark, f"{path}/_manifest"):
+        raise ValueError(f"{path} has no manifest: it isn't known to be complete")
+    if short := shortfalls(spark, path).orderBy("file").limit(10).collect():
+        raise ValueError(f"{path} is short of records: " + ", ".join(f"{r.file} holds {r.found} of {r.n}" for r in short))
+
+
 def complete(spark: SparkSession, path: str, schema: str, expected: int | None = None, sealed: bool = False) -> DataFrame:
     """The decoded records of a directory; raises if there are fewer than
     expected, so that a half-written stream isn't taken for all of it. sealed:
     it must have a manifest, and a partition short of that is named."""
     raw = spark.read.schema(RECORD).parquet(path)
     if sealed:
-        if not exists(spark, f"{path}/_manifest"):
-            raise ValueError(f"{path} has no manifest: it isn't known to be complete")
-        if short := shortfalls(spark, path).orderBy("file").limit(10).collect():
-            raise ValueError(f"{path} is short of records: " + ", ".join(f"{r.file} holds {r.found} of {r.n}" for r in short))
+        require_whole(spark, path)
     if expected is not None and (found := raw.count()) < expected:
         raise ValueError(f"{path} holds {found} of {expected} records")
     return records.decode(raw, schema)
