@@ -175,8 +175,8 @@ def wide_variants(nodes: DataFrame, similarity: float) -> DataFrame:
     return own.select((place * F.lit(1 << SEGMENT) + wiped).alias("variant"), "node")
 
 
-#: A variant's nodes up to this many all meet; of more, each meets the last ones and the first ones in this number.
-ALL_MEET, CENTRES = 9, 4
+#: The first so many nodes of a variant all meet; each later one meets the first few.
+ALL_MEET, CENTRES = 9, 2
 
 
 class _Meeting:
@@ -200,7 +200,7 @@ class _Meeting:
         known, at = np.concatenate((tail, node)), np.arange(len(key)) + len(tail)
         a, b = [], []
         for k in range(1, ALL_MEET):
-            own = np.flatnonzero(rank >= k)
+            own = np.flatnonzero((rank >= k) & (rank < ALL_MEET))
             a.append(node[own])
             b.append(known[at[own] - k])
         later = np.flatnonzero(rank >= ALL_MEET)
@@ -242,7 +242,7 @@ def met(variants: DataFrame, most_bits: int, turn: int = 0) -> DataFrame:
             large = np.concatenate((np.zeros(len(x), bool), np.ones(len(key), bool)))
             yield pa.record_batch([pa.array(np.concatenate((x[:, 0], key))), pa.array(np.concatenate((x[:, 1], node))), pa.array(large)], names=["a", "b", "large"])
 
-    dealt = variants.repartitionByRange("variant", "node").sortWithinPartitions("variant", F.xxhash64("node", "variant", F.lit(turn)), "node")
+    dealt = variants.repartitionByRange("variant", "node").sortWithinPartitions("variant", F.xxhash64("node", F.lit(turn)), "node")
     return dealt.mapInArrow(pairs, "a bigint, b bigint, large boolean")
 
 

@@ -203,6 +203,6 @@ def test_who_meets_whom_over_batches():
             for g in range(len(sizes)):
                 own = node[key == g].tolist()
                 for i, x in enumerate(own):
-                    want |= {frozenset((x, y)) for y in own[max(0, i - ALL_MEET + 1) : i] + (own[:CENTRES] if i >= ALL_MEET else [])}
+                    want |= {frozenset((x, y)) for y in (own[:CENTRES] if i >= ALL_MEET else own[:i])}
                 want_large += [(g, x) for x in own if len(own) > ALL_MEET]
             assert pairs == want and sorted(large) == sorted(want_large)
