@@ -175,75 +175,71 @@ def wide_variants(nodes: DataFrame, similarity: float) -> DataFrame:
     return own.select((place * F.lit(1 << SEGMENT) + wiped).alias("variant"), "node")
 
 
-#: The first so many nodes of a variant all meet; each later one meets the first few.
-ALL_MEET, CENTRES = 9, 2
+#: Nodes of a variant that all meet; of larger variants, each node meets the
+#: first. And the first ones of its large variants that a node is compared with.
+ALL_MEET, CENTRES = 9, 3
 
 
-class _Meeting:
+class _Sharing:
     """Goes through a task's rows, which are sorted by variant."""
 
     def __init__(self, most_bits: int):
         self.most_bits = most_bits
-        self.key, self.count = None, 0  # of the last variant, which may go on
-        self.tail, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.key, self.centre = None, None  # of the last variant, and its first node if it's known to be large
+        self.held = np.zeros(0, np.int64)  # the last variant's nodes while it's small: it may go on
 
-    def rows(self, key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """a and b that met, then variant and node of those in large variants."""
-        begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    def rows(self, key: np.ndarray, node: np.ndarray, end: bool = False) -> pa.RecordBatch:
+        """Of variants with more than one node: variant, node, whom it meets, large."""
+        key, node = np.concatenate((np.full(len(self.held), self.key or 0, np.int64), key)), np.concatenate((self.held, node))
+        begins = np.flatnonzero(np.diff(key, prepend=key[:1] ^ 1))
         size = np.diff(np.append(begins, len(key)))
-        goes_on = self.key is not None and key[0] == self.key
-        before = np.zeros(len(begins), np.int64)
-        before[0] = self.count if goes_on else 0
-        tail, first = (self.tail, self.first) if goes_on else (self.tail[:0], self.first[:0])
-        group = np.repeat(np.arange(len(begins)), size)
-        rank = np.arange(len(key)) - begins[group] + before[group]
-        known, at = np.concatenate((tail, node)), np.arange(len(key)) + len(tail)
-        a, b = [], []
+        group, first, large = np.repeat(np.arange(len(begins)), size), node[begins], size > ALL_MEET
+        if self.centre is not None and len(key) and key[0] == self.key:
+            first[0], large[0] = self.centre, True
+        told = len(key)
+        if len(key):
+            told = len(key) if end or large[-1] else int(begins[-1])
+            self.key, self.centre = int(key[-1]), int(first[-1]) if large[-1] else None
+        self.held = node[told:]
+        rank = np.arange(len(key)) - begins[group]
+        hot = large[group]
+        is_told = np.arange(len(key)) < told
+        at = [np.flatnonzero(hot & is_told & (node != first[group]))]
+        other = [first[group[at[0]]]]
         for k in range(1, ALL_MEET):
-            own = np.flatnonzero((rank >= k) & (rank < ALL_MEET))
-            a.append(node[own])
-            b.append(known[at[own] - k])
-        later = np.flatnonzero(rank >= ALL_MEET)
-        for k in range(CENTRES):
-            carried = (group[later] == 0) & (k < before[0])
-            b.append(np.where(carried, first[min(k, len(first) - 1)] if len(first) else 0, node[np.where(carried, 0, begins[group[later]] - before[group[later]] + k)]))
-            a.append(node[later])
-        total = before + size
-        large = total[group] > ALL_MEET
-        hot_key, hot_node = key[large], node[large]
-        if total[0] > ALL_MEET >= before[0] > 0:  # its first ones weren't told yet
-            hot_key, hot_node = np.concatenate((np.full(len(first), key[0]), hot_key)), np.concatenate((first, hot_node))
-        last = node[begins[-1] :]
-        if goes_on and len(begins) == 1:
-            self.tail, self.first = np.concatenate((tail, last))[-(ALL_MEET - 1) :], np.concatenate((first, last))[:ALL_MEET]
-        else:
-            self.tail, self.first = last[-(ALL_MEET - 1) :], last[:ALL_MEET]
-        self.key, self.count = key[-1], int(total[-1])
-        a, b = np.concatenate(a), np.concatenate(b)
-        near = np.bitwise_count((a ^ b).view(np.uint64)) <= self.most_bits
-        return a[near], b[near], hot_key, hot_node
-
-
-def met(variants: DataFrame, most_bits: int, turn: int = 0) -> DataFrame:
-    """a, b, large. Where large is false: nodes that share a variant and whose
-    first lanes differ by most_bits or fewer. Where it's true: a variant of more
-    than ALL_MEET nodes, and one of these. All nodes of smaller variants meet; in
-    the others each meets the last few before it and the first few, in an order
-    of that variant's and turn's own. Rows are dealt by range, so that a variant
-    with many nodes is worked on by many tasks."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Meeting(most_bits)
+            at.append(np.flatnonzero(~hot & is_told & (rank >= k)))
+            other.append(node[at[-1] - k])
+        at, other = np.concatenate(at), np.concatenate(other)
+        near = np.bitwise_count((node[at] ^ other).view(np.uint64)) <= self.most_bits
+        at, other = at[near], other[near]
+        by = np.argsort(at, kind="stable")
+        kept = np.flatnonzero(is_told & (hot | (size[group] > 1)))
+        ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(key))[kept])))
+        return pa.record_batch([pa.array(key[kept]), pa.array(node[kept]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(other[by])), pa.array(hot[kept])], names=["variant", "node", "others", "large"])
+
+
+def shared(variants: DataFrame, most_bits: int, turn: int = 0) -> DataFrame:
+    """node, and of its variants that it shares with others: variants, large
+    (those of more than ALL_MEET nodes), few (the nodes that it meets in small
+    ones), centres (CENTRES of the first nodes of its large ones, at most).
+
+    First lanes of nodes that meet differ by most_bits or fewer. Nodes have an
+    order of the turn's own, the same in all variants, so that the large variants
+    of one group of copies have few different first nodes. Rows are dealt by
+    range, so that a variant with many nodes is worked on by many tasks."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Sharing(most_bits)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b, key, node = own.rows(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-            x = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-            large = np.concatenate((np.zeros(len(x), bool), np.ones(len(key), bool)))
-            yield pa.record_batch([pa.array(np.concatenate((x[:, 0], key))), pa.array(np.concatenate((x[:, 1], node))), pa.array(large)], names=["a", "b", "large"])
+            yield own.rows(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        yield own.rows(np.zeros(0, np.int64), np.zeros(0, np.int64), end=True)
 
-    dealt = variants.repartitionByRange("variant", "node").sortWithinPartitions("variant", F.xxhash64("node", F.lit(turn)), "node")
-    return dealt.mapInArrow(pairs, "a bigint, b bigint, large boolean")
+    dealt = variants.select("variant", "node").repartitionByRange("variant", "node").sortWithinPartitions("variant", F.xxhash64("node", F.lit(turn)), "node")
+    rows = dealt.mapInArrow(told, "variant bigint, node bigint, others array<bigint>, large boolean")
+    centre = F.when(F.col("large"), F.get("others", F.lit(0)))
+    least = [F.min(F.when(centre.isNotNull(), F.struct(F.xxhash64(centre, F.lit(turn), *[F.lit(k)] * (k > 0)), centre.alias("c"))))["c"] for k in range(CENTRES)]
+    few = F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("large"), F.col("others")))))
+    return rows.groupBy("node").agg(F.collect_list("variant").alias("variants"), F.collect_list(F.when(F.col("large"), F.col("variant"))).alias("large"), few.alias("few"), F.array_distinct(F.array_compact(F.array(*least))).alias("centres"))
 
 
 def bits_for(similarity: float, bits: int, slack: float = 0.0) -> int:
@@ -298,20 +294,28 @@ def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: fl
     """nodes: node (the first lane), w, n, tie. texts: tie, body. Pairs a, b of
     nodes that are similar, enough of them to connect each group.
 
-    Nodes of small variants all meet. A large variant's meet a few; what is
-    linked then is one group, and the groups of a large variant meet anew, each
-    by one node, until no new link is found."""
+    At first only nodes of large variants meet, each a few first ones. What is
+    linked then is one group, and each group stands in a variant with one node:
+    so a group of many copies isn't compared pair by pair where its nodes share
+    small variants too. Then the nodes of small variants all meet, and those of
+    large ones meet first ones anew, until no new link is found."""
     level, found, turn = wide_variants(nodes, similarity), None, 0
     while True:
-        both = written(met(level, bits_for(similarity, 64, 4), turn), "simhash-met")
-        fresh = verified(both.filter("not large").select("a", "b").distinct(), nodes, texts, words, similarity)
-        found = fresh if found is None else found.union(fresh)
-        large = both.filter("large").select(F.col("a").alias("variant"), F.col("b").alias("node"))
-        if large.isEmpty() or (turn and fresh.isEmpty()):
-            return found
-        roots = connected_components(found)
-        own = large.join(roots, "node", "left").groupBy("variant", F.coalesce("root", "node").alias("group")).agg(F.min("node").alias("node"))
-        level, turn = written(own.select("variant", "node"), "simhash-large"), turn + 1
+        own = written(shared(level, bits_for(similarity, 64, 4), turn), "simhash-met")
+        near = own.select("node", F.explode(F.array_union("centres", "few") if turn else F.col("centres")).alias("other"))
+        pairs = written(near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "simhash-pairs")
+        fresh = None if pairs.isEmpty() else verified(pairs, nodes, texts, words, similarity)
+        if fresh is not None:
+            found = fresh if found is None else found.union(fresh)
+        goes_on = F.col("large" if turn else "variants")
+        if own.filter(F.size(goes_on) > 0).isEmpty() or (turn > 1 and (fresh is None or fresh.isEmpty())):
+            return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if found is None else found
+        grouped = own.withColumn("group", F.col("node"))
+        if found is not None:
+            grouped = own.join(connected_components(found), "node", "left").withColumn("group", F.coalesce("root", "node"))
+        turn += 1
+        each = grouped.select("node", "group", F.explode(goes_on).alias("variant")).groupBy("variant", "group")
+        level = written(each.agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node")).select("variant", "node"), "simhash-level")
 
 
 def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

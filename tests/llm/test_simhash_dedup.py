@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.components import connected_components
 from tallymark.llm.queries import op7_simhash_dedup
-from tallymark.llm.simhash_dedup import ALL_MEET, CENTRES, _Meeting, fingerprint, fingerprints, keep_similar, links, near_duplicates
+from tallymark.llm.simhash_dedup import ALL_MEET, _Sharing, fingerprint, fingerprints, keep_similar, links, near_duplicates, shared
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -188,21 +188,32 @@ def test_recall_of_similar_pairs_in_the_table(spark):
 def test_who_meets_whom_over_batches():
     """Runs of equal variants, cut into batches anywhere."""
     rng = np.random.default_rng(1)
-    for most in (3, 12, 40):
+    none = np.zeros(0, np.int64)
+    for most in (1, 3, 12, 40):
         for _ in range(40):
-            sizes = rng.integers(1, most + 1, rng.integers(1, 20))
+            sizes = rng.integers(1, most + 1, rng.integers(0, 20))
             key = np.repeat(np.arange(len(sizes)), sizes).astype(np.int64)
-            node, meeting, pairs, large, at = rng.permutation(10**6)[: len(key)].astype(np.int64), _Meeting(64), set(), [], 0
+            node, own, rows, at = rng.permutation(10**6)[: len(key)].astype(np.int64), _Sharing(64), [], 0
             while at < len(key):
                 n = int(rng.integers(1, 25))
-                a, b, k, h = meeting.rows(key[at : at + n], node[at : at + n])
-                pairs |= {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
-                large += zip(k.tolist(), h.tolist(), strict=True)
+                rows += own.rows(key[at : at + n], node[at : at + n]).to_pylist()
                 at += n
-            want, want_large = set(), []
+            rows += own.rows(none, none, end=True).to_pylist()
+            want = []
             for g in range(len(sizes)):
-                own = node[key == g].tolist()
-                for i, x in enumerate(own):
-                    want |= {frozenset((x, y)) for y in (own[:CENTRES] if i >= ALL_MEET else own[:i])}
-                want_large += [(g, x) for x in own if len(own) > ALL_MEET]
-            assert pairs == want and sorted(large) == sorted(want_large)
+                all_of = node[key == g].tolist()
+                large = len(all_of) > ALL_MEET
+                for i, x in enumerate(all_of):
+                    others = set(all_of[:1] if large and i else [] if large else all_of[:i])
+                    want += [(g, x, others, large)] * (len(all_of) > 1)
+            assert [(r["variant"], r["node"], set(r["others"]), r["large"]) for r in rows] == want
+
+
+def test_what_nodes_share(spark):
+    """Small variants, a large one, one of a single node, and nodes that are too far apart."""
+    rows = [(1, n) for n in range(1, 4)] + [(2, n) for n in range(100)] + [(3, 7), (4, 0), (4, -1)]
+    found = {r.node: r for r in shared(spark.createDataFrame(rows, "variant bigint, node bigint"), 30).collect()}
+    assert set(found) == {-1, *range(100)} and sorted(found[2].variants) == [1, 2] and found[2].large == [2] and found[7].variants == [2]
+    assert sum(len(found[n].few) for n in (1, 2, 3)) == 3 and not found[-1].few and not found[0].few
+    assert all(len(found[n].centres) <= 3 for n in found) and sum(1 for n in range(100) if not found[n].centres) <= 4
+    assert shared(spark.createDataFrame([], "variant bigint, node bigint"), 30).count() == 0
