@@ -257,7 +257,7 @@ def price_fingerprint(spark, d):
 def _power(base: int) -> str:
     """The weight of row i in the ordered fingerprint."""
     out = "1::BIGINT"
-    for k in range(20):  # enough for a million rows
+    for k in range(relations.ORDINAL_BITS):
         out = f"({out} * CASE WHEN (i >> {k}) & 1 = 1 THEN {pow(base, 1 << k, relations.PRIME)} ELSE 1 END % {relations.PRIME})"
     return out
 

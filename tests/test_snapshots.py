@@ -3,12 +3,14 @@
 import dataclasses
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tallymark import schemas
 from tallymark.operators import positions, relations
 from tallymark.plans import checks
+from tallymark.plans.catalog import _power
 from tallymark.sources import files, replay
 from tallymark.streaming import gauges, jobs, rescale
 from tests.test_streams import configured, orders, put, read, same
@@ -86,6 +88,13 @@ def test_the_power_is_the_power(spark):
     assert [tuple(r) for r in df.collect()] == [(k, *(pow(b, k, relations.PRIME) for b in relations.BASES)) for k in of]
 
 
+def test_the_power_in_sql_is_the_power():
+    """Beyond the first million of rows too."""
+    of = [0, 1, 1000, 2**20 - 1, 2**20, 3 * 2**20 + 5, 2**31, 2**39 + 12345]
+    for b in relations.BASES:
+        assert duckdb.sql(f"SELECT {_power(b)} FROM (SELECT unnest({of}) AS i)").fetchall() == [(pow(b, k, relations.PRIME),) for k in of]
+
+
 @pytest.mark.parametrize("state", ["keyed", "table"])
 def test_gauges_outlive_a_restart(spark, tmp_path, state):
     config = configured(tmp_path, files_per_trigger=1, gauges_path=f"{tmp_path}/gauges", positions_state=state)
