@@ -36,8 +36,9 @@ from .components import connected_components
 
 #: Shingles hashed at once, so that a very long text needs no more memory.
 CHUNK = 1 << 16
-#: Of the long fingerprints: their 64-bit lanes, and the bits of a segment.
-LANES, SEGMENT = 5, 20
+#: Of the long fingerprints: their 64-bit lanes, and the bits of a segment. And
+#: the 64-bit words of the parities that go with them.
+LANES, SEGMENT, PARITIES = 5, 20, 4
 
 
 def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
@@ -129,12 +130,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
-def wide_fingerprint(text: str | None, words: int) -> tuple[list[int], int]:
+def parities(hashes: np.ndarray) -> list[int]:
+    """PARITIES * 64 bits, as signed longs: of each class of hashes, if their
+    number is odd. Of two sets, no more bits differ than the sets have hashes
+    that the other lacks."""
+    odd = np.bincount((hashes % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").tolist()
+
+
+def wide_fingerprint(text: str | None, words: int) -> tuple[list[int], int, list[int]]:
     """LANES * 64 bits of SimHash over the distinct shingles, as signed longs,
-    and the number of shingles. Each lane spreads the hashes anew."""
+    the number of shingles, and their parities. Each lane spreads the hashes anew."""
     parts = list(shingle_hashes(text, words))
     if not parts:
-        return [0] * LANES, 0
+        return [0] * LANES, 0, [0] * PARITIES
     hashes, lanes = np.unique(np.concatenate(parts)), []
     for lane in range(LANES):
         set_in = np.zeros(64, np.int64)
@@ -143,21 +152,29 @@ def wide_fingerprint(text: str | None, words: int) -> tuple[list[int], int]:
             x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             set_in += bits_set(x ^ (x >> np.uint64(32)))
         lanes.append(int(np.packbits(2 * set_in > len(hashes)).view(">i8")[0]))
-    return lanes, len(hashes)
+    return lanes, len(hashes), parities(hashes)
 
 
 def wide_fingerprints(rows: DataFrame, words: int) -> DataFrame:
-    """rows: at, body. Returns at, w (lanes) and n (shingles) for every row; no shuffle."""
+    """rows: at, body. Returns at, w (lanes), n (shingles) and p (parities) for every row; no shuffle."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [wide_fingerprint(x.as_py(), words) for x in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.int64())], names=["at", "w", "n"])
+            longs = lambda k: pa.array([f[k] for f in found], pa.list_(pa.int64()))  # noqa: B023,E731
+            yield pa.record_batch([batch.column(0), longs(0), pa.array([f[1] for f in found], pa.int64()), longs(2)], names=["at", "w", "n", "p"])
 
-    schema = StructType([rows.schema["at"], StructField("w", ArrayType(LongType())), StructField("n", LongType())])
+    schema = StructType([rows.schema["at"], StructField("w", ArrayType(LongType())), StructField("n", LongType()), StructField("p", ArrayType(LongType()))])
     return rows.select("at", "body").mapInArrow(made, schema)
 
 
+def may_be_similar(na: Column, pa: Column, nb: Column, pb: Column, similarity: float) -> Column:
+    """False only where sets of na and nb hashes with these parities can't have
+    that Jaccard similarity: more than a share of all hashes is in one alone."""
+    differ = sum((F.bit_count(pa[k].bitwiseXOR(pb[k])) for k in range(PARITIES)), F.lit(0))
+    return F.greatest(differ, F.abs(na - nb)) <= (1 - similarity) / (1 + similarity) * (na + nb) + 1e-6
+
+
 def wide_variants(nodes: DataFrame, similarity: float) -> DataFrame:
     """nodes: node, w, n. One row for each segment of SEGMENT bits and each bit
     of it wiped out: variant, node. Texts whose numbers of shingles can't give
@@ -177,6 +194,7 @@ def wide_variants(nodes: DataFrame, similarity: float) -> DataFrame:
 
 #: Nodes of a variant that all meet; of larger variants, each node meets the
 #: first. And the first ones of its large variants that a node is compared with.
+#: Both are about what is compared early; unlinked() compares all the rest.
 ALL_MEET, CENTRES = 9, 3
 
 
@@ -189,7 +207,8 @@ class _Sharing:
         self.held = np.zeros(0, np.int64)  # the last variant's nodes while it's small: it may go on
 
     def rows(self, key: np.ndarray, node: np.ndarray, end: bool = False) -> pa.RecordBatch:
-        """Of variants with more than one node: variant, node, whom it meets, large."""
+        """Of variants with more than one node: variant, node, whom it meets, large,
+        near (there's another node near it in the variant, or it's large)."""
         key, node = np.concatenate((np.full(len(self.held), self.key or 0, np.int64), key)), np.concatenate((self.held, node))
         begins = np.flatnonzero(np.diff(key, prepend=key[:1] ^ 1))
         size = np.diff(np.append(begins, len(key)))
@@ -205,23 +224,27 @@ class _Sharing:
         hot = large[group]
         is_told = np.arange(len(key)) < told
         at = [np.flatnonzero(hot & is_told & (node != first[group]))]
-        other = [first[group[at[0]]]]
+        other, partner = [first[group[at[0]]]], [at[0]]
         for k in range(1, ALL_MEET):
             at.append(np.flatnonzero(~hot & is_told & (rank >= k)))
             other.append(node[at[-1] - k])
-        at, other = np.concatenate(at), np.concatenate(other)
+            partner.append(at[-1] - k)
+        at, other, partner = np.concatenate(at), np.concatenate(other), np.concatenate(partner)
         near = np.bitwise_count((node[at] ^ other).view(np.uint64)) <= self.most_bits
         at, other = at[near], other[near]
+        meets = hot.copy()
+        meets[at], meets[partner[near]] = True, True
         by = np.argsort(at, kind="stable")
         kept = np.flatnonzero(is_told & (hot | (size[group] > 1)))
         ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(key))[kept])))
-        return pa.record_batch([pa.array(key[kept]), pa.array(node[kept]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(other[by])), pa.array(hot[kept])], names=["variant", "node", "others", "large"])
+        return pa.record_batch([pa.array(key[kept]), pa.array(node[kept]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(other[by])), pa.array(hot[kept]), pa.array(meets[kept])], names=["variant", "node", "others", "large", "near"])
 
 
 def shared(variants: DataFrame, most_bits: int, turn: int = 0) -> DataFrame:
-    """node, and of its variants that it shares with others: variants, large
-    (those of more than ALL_MEET nodes), few (the nodes that it meets in small
-    ones), centres (CENTRES of the first nodes of its large ones, at most).
+    """node, and of its variants that it shares with others: variants (the large
+    ones, and those with a node near it), large (those of more than ALL_MEET
+    nodes), few (the nodes that it meets in small ones), centres (CENTRES of the
+    first nodes of its large ones, at most).
 
     First lanes of nodes that meet differ by most_bits or fewer. Nodes have an
     order of the turn's own, the same in all variants, so that the large variants
@@ -235,11 +258,11 @@ def shared(variants: DataFrame, most_bits: int, turn: int = 0) -> DataFrame:
         yield own.rows(np.zeros(0, np.int64), np.zeros(0, np.int64), end=True)
 
     dealt = variants.select("variant", "node").repartitionByRange("variant", "node").sortWithinPartitions("variant", F.xxhash64("node", F.lit(turn)), "node")
-    rows = dealt.mapInArrow(told, "variant bigint, node bigint, others array<bigint>, large boolean")
+    rows = dealt.mapInArrow(told, "variant bigint, node bigint, others array<bigint>, large boolean, near boolean")
     centre = F.when(F.col("large"), F.get("others", F.lit(0)))
     least = [F.min(F.when(centre.isNotNull(), F.struct(F.xxhash64(centre, F.lit(turn), *[F.lit(k)] * (k > 0)), centre.alias("c"))))["c"] for k in range(CENTRES)]
     few = F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("large"), F.col("others")))))
-    return rows.groupBy("node").agg(F.collect_list("variant").alias("variants"), F.collect_list(F.when(F.col("large"), F.col("variant"))).alias("large"), few.alias("few"), F.array_distinct(F.array_compact(F.array(*least))).alias("centres"))
+    return rows.groupBy("node").agg(F.collect_list(F.when(F.col("near"), F.col("variant"))).alias("variants"), F.collect_list(F.when(F.col("large"), F.col("variant"))).alias("large"), few.alias("few"), F.array_distinct(F.array_compact(F.array(*least))).alias("centres"))
 
 
 def bits_for(similarity: float, bits: int, slack: float = 0.0) -> int:
@@ -283,39 +306,76 @@ def similar_only(pairs: DataFrame, texts: DataFrame, words: int, similarity: flo
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs a, b of nodes whose texts are similar. Pairs whose fingerprints
     differ by far more bits than that gives aren't looked at further."""
-    w = nodes.select("node", "w", "tie")
-    both = pairs.join(w.toDF("a", "wa", "ta"), "a").join(w.toDF("b", "wb", "tb"), "b")
+    w = nodes.select("node", "w", "tie", "n", "p")
+    both = pairs.join(w.toDF("a", "wa", "ta", "na", "pa"), "a").join(w.toDF("b", "wb", "tb", "nb", "pb"), "b")
+    both = both.filter(may_be_similar(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), similarity))
     differ = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = written(both.filter(differ <= bits_for(similarity, 64 * LANES, 4)).select("a", "b", "ta", "tb"), "simhash-near")
     return written(similar_only(near, texts, words, similarity).select("a", "b"), "simhash-links")
 
 
+def in_groups(own: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The rows of own with the group that the links found put their node in."""
+    if found is None:
+        return own.withColumn("group", F.col("node"))
+    return own.join(connected_components(found), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
+
+
+def unlinked(grouped: DataFrame, most_bits: int, similarity: float) -> DataFrame:
+    """grouped: node, group, w, n, p, variants. Pairs a, b of all nodes of
+    different groups that share a variant and whose first lanes differ by
+    most_bits or fewer, but for those that can't be similar.
+
+    Of each variant, the nodes outside its largest group are joined with all of
+    its nodes, so a large group isn't joined with itself."""
+    per_lane = 64 // SEGMENT
+    rows = grouped.select("node", "group", "w", "n", "p", F.explode("variants").alias("variant"))
+    bit, s = F.expr(f"shiftright(variant, {SEGMENT}) % {SEGMENT}"), f"shiftright(variant, {SEGMENT}) div {SEGMENT} % {LANES * per_lane}"
+    wiped = F.expr(f"shiftrightunsigned(w[cast({s} div {per_lane} as int)], cast({s} % {per_lane} * {SEGMENT} + shiftright(variant, {SEGMENT}) % {SEGMENT} as int)) & 1")
+    rows = written(rows.select("variant", "node", "group", "n", "p", (bit == 0).alias("first_bit"), wiped.alias("wiped")), "simhash-shared")
+    each = rows.groupBy("variant", "group").agg(F.count(F.lit(1)).alias("size"))
+    mixed = each.groupBy("variant").agg(F.max(F.struct("size", "group"))["group"].alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    left = written(rows.join(mixed.select("variant", "main"), "variant"), "simhash-unlinked")
+    a, b = left.filter("group != main").alias("a"), left.alias("b")
+    # segments that are equal share all of their variants: one of them is enough
+    once = (F.col("a.wiped") != F.col("b.wiped")) | F.col("a.first_bit")
+    apart = (F.col("a.group") < F.col("b.group")) | ((F.col("b.group") == F.col("b.main")) & (F.col("a.group") != F.col("b.group")))
+    near = F.bit_count(F.col("a.node").bitwiseXOR(F.col("b.node"))) <= most_bits
+    similar = may_be_similar(F.col("a.n"), F.col("a.p"), F.col("b.n"), F.col("b.p"), similarity)
+    pairs = a.join(b, (F.col("a.variant") == F.col("b.variant")) & apart & near & once & similar)
+    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
 def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """nodes: node (the first lane), w, n, tie. texts: tie, body. Pairs a, b of
-    nodes that are similar, enough of them to connect each group.
+    """nodes: node (the first lane), w, n, p, tie. texts: tie, body. Pairs a, b of
+    nodes that are similar, enough of them to connect all that meet and are.
 
     At first only nodes of large variants meet, each a few first ones. What is
     linked then is one group, and each group stands in a variant with one node:
     so a group of many copies isn't compared pair by pair where its nodes share
     small variants too. Then the nodes of small variants all meet, and those of
-    large ones meet first ones anew, until no new link is found."""
-    level, found, turn = wide_variants(nodes, similarity), None, 0
-    while True:
-        own = written(shared(level, bits_for(similarity, 64, 4), turn), "simhash-met")
-        near = own.select("node", F.explode(F.array_union("centres", "few") if turn else F.col("centres")).alias("other"))
-        pairs = written(near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "simhash-pairs")
-        fresh = None if pairs.isEmpty() else verified(pairs, nodes, texts, words, similarity)
-        if fresh is not None:
-            found = fresh if found is None else found.union(fresh)
-        goes_on = F.col("large" if turn else "variants")
-        if own.filter(F.size(goes_on) > 0).isEmpty() or (turn > 1 and (fresh is None or fresh.isEmpty())):
-            return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if found is None else found
-        grouped = own.withColumn("group", F.col("node"))
-        if found is not None:
-            grouped = own.join(connected_components(found), "node", "left").withColumn("group", F.coalesce("root", "node"))
-        turn += 1
-        each = grouped.select("node", "group", F.explode(goes_on).alias("variant")).groupBy("variant", "group")
-        level = written(each.agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node")).select("variant", "node"), "simhash-level")
+    large ones meet first ones anew. That spares comparisons, but one node isn't
+    its group: so at last all nodes that share a variant and aren't in one group
+    yet are compared, with no limit."""
+    most_bits = bits_for(similarity, 64, 4)
+
+    def linked(near: DataFrame, found: DataFrame | None) -> DataFrame | None:
+        pairs = written(near, "simhash-pairs")
+        if pairs.isEmpty():
+            return found
+        fresh = verified(pairs, nodes, texts, words, similarity)
+        return fresh if found is None else found.union(fresh)
+
+    ordered = lambda rows: rows.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    whole = written(shared(wide_variants(nodes, similarity), most_bits), "simhash-met")
+    whole, found = whole.filter(F.size("variants") > 0), linked(ordered(whole.select("node", F.explode("centres").alias("other"))), None)
+    each = in_groups(whole, found).select("node", "group", F.explode("variants").alias("variant")).groupBy("variant", "group")
+    level = written(each.agg(F.min_by("node", F.xxhash64("node", F.lit(1))).alias("node")).select("variant", "node"), "simhash-level")
+    own = shared(level, most_bits, 1)
+    found = linked(ordered(own.select("node", F.explode(F.array_union("centres", "few")).alias("other"))), found)
+    rest = in_groups(whole.select("node", "variants").join(nodes.select("node", "w", "n", "p"), "node"), found)
+    found = linked(unlinked(rest, most_bits, similarity), found)
+    return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if found is None else found
 
 
 def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -326,7 +386,7 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Such texts differ in far more bits than deletion variants of halves allow, so
     fingerprints are LANES times as long and cut into segments of SEGMENT bits,
     and it's enough if one segment differs by one bit at most: a pair at exactly
-    0.8 meets with a probability of 0.94, at 0.9 of 0.999. Texts that meet are
+    0.8 meets with a probability of 0.94, at 0.9 of 0.999. All texts that meet are
     linked if their shingles have the similarity, so none goes without a text that
     is similar, or a chain of such."""
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull())
@@ -336,16 +396,16 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fps = written(wide_fingerprints(numbered.select(at.alias("at"), text_of.alias("body")), words), "simhash")
     texts = numbered.select("tie", text_of.alias("body"))
     # a node is all that has its first lane: its least fingerprint, and the others there whose texts are similar to that one's
-    first_lane, print_of = F.col("w")[0].alias("node"), F.struct("w", "n").alias("x")
+    first_lane, print_of = F.col("w")[0].alias("node"), F.struct("w", "n", "p").alias("x")
     prints = written(fps.groupBy(first_lane, print_of).agg(F.min("at").alias("first")), "simhash-prints")
     least = prints.groupBy("node").agg(F.min(F.struct("x", "first")).alias("m"))
-    nodes = written(least.select("node", F.col("m.first").alias("first"), "m.x.w", "m.x.n", F.col("m.first.tie").alias("tie")), "simhash-nodes")
+    nodes = written(least.select("node", F.col("m.first").alias("first"), "m.x.w", "m.x.n", "m.x.p", F.col("m.first.tie").alias("tie")), "simhash-nodes")
     others = prints.join(nodes.select("node", F.col("tie").alias("ta")), "node").withColumn("tb", F.col("first.tie")).filter("ta != tb")
-    members = nodes.select("node", F.struct("w", "n").alias("x"), "first").union(similar_only(written(others, "simhash-others"), texts, words, similarity).select("node", "x", "first"))
+    members = nodes.select("node", F.struct("w", "n", "p").alias("x"), "first").union(similar_only(written(others, "simhash-others"), texts, words, similarity).select("node", "x", "first"))
     roots = connected_components(similar_links(nodes, texts, words, similarity))
     rooted = members.join(roots, "node", "left").select("node", F.xxhash64("x").alias("h"), "x", "first", F.coalesce("root", "node").alias("root"))
     winners = rooted.groupBy("root").agg(F.min("first").alias("winner"))
     groups = written(rooted.join(winners, "root").select("node", "h", "x", "winner"), "simhash-groups")
-    rows = fps.select(first_lane, F.xxhash64(F.struct("w", "n")).alias("h"), F.struct("w", "n").alias("own"), "at").join(groups, ["node", "h"])
+    rows = fps.select(first_lane, F.xxhash64(F.struct("w", "n", "p")).alias("h"), F.struct("w", "n", "p").alias("own"), "at").join(groups, ["node", "h"])
     losers = written(rows.filter((F.col("own") == F.col("x")) & (F.col("at") != F.col("winner"))).select("at.tie"), "simhash-losers")
     return numbered.join(sized(losers), "tie", "left_anti").select("row.*")

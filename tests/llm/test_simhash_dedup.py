@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.components import connected_components
 from tallymark.llm.queries import op7_simhash_dedup
-from tallymark.llm.simhash_dedup import ALL_MEET, _Sharing, fingerprint, fingerprints, keep_similar, links, near_duplicates, shared
+from tallymark.llm.simhash_dedup import ALL_MEET, _Sharing, fingerprint, fingerprints, keep_similar, links, near_duplicates, parities, shared, shingle_hashes, similar_links
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -217,3 +217,26 @@ def test_what_nodes_share(spark):
     assert sum(len(found[n].few) for n in (1, 2, 3)) == 3 and not found[-1].few and not found[0].few
     assert all(len(found[n].centres) <= 3 for n in found) and sum(1 for n in range(100) if not found[n].centres) <= 4
     assert shared(spark.createDataFrame([], "variant bigint, node bigint"), 30).count() == 0
+
+
+def test_similar_nodes_of_a_large_variant_are_all_linked(spark):
+    """Thirty pairs of similar texts, all in the same large variants and in no small ones."""
+    rng = random.Random(5)
+    nodes, texts = [], []
+    for i in range(60):
+        lane = sum(1 << 20 * s + bit for s in range(3) for bit in rng.sample(range(20), 3))
+        texts.append((i, " ".join(f"w{i // 2}x{k}" for k in range(34))))
+        nodes.append((lane, [lane, 0, 0, 0, 0], 30, parities(np.concatenate(list(shingle_hashes(texts[-1][1], 5)))), i))
+    df = spark.createDataFrame(nodes, "node bigint, w array<bigint>, n bigint, p array<bigint>, tie bigint")
+    found = {tuple(sorted(r)) for r in similar_links(df, spark.createDataFrame(texts, "tie bigint, body string"), 5, 0.8).collect()}
+    assert found == {tuple(sorted((nodes[i][0], nodes[i + 1][0]))) for i in range(0, 60, 2)}
+
+
+def test_parities_never_part_similar_sets():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 90, 3000):
+        for alone in (0, 1, 7, 60):
+            x = rng.integers(0, 2**63, n + alone).astype(np.uint64)
+            a, b = x[: n + alone // 2], np.concatenate((x[:n], x[n + alone // 2 :]))
+            differ = sum((p ^ q).bit_count() if p ^ q >= 0 else ((p ^ q) + 2**64).bit_count() for p, q in zip(parities(a), parities(b), strict=True))
+            assert differ <= alone and (alone != 1 or differ == 1)
