@@ -22,7 +22,7 @@ smallest that isn't null.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -175,9 +175,14 @@ def may_be_similar(na: Column, pa: Column, nb: Column, pb: Column, similarity: f
     return F.greatest(differ, F.abs(na - nb)) <= (1 - similarity) / (1 + similarity) * (na + nb) + 1e-6
 
 
+def other_lanes() -> list[Column]:
+    """The lanes of w but for the first, which is the node: w1 and so on."""
+    return [F.col("w")[k].alias(f"w{k}") for k in range(1, LANES)]
+
+
 def wide_variants(nodes: DataFrame, similarity: float) -> DataFrame:
     """nodes: node, w, n. One row for each segment of SEGMENT bits and each bit
-    of it wiped out: variant, node. Texts whose numbers of shingles can't give
+    of it wiped out: variant, node, and the node's other lanes. Texts whose numbers of shingles can't give
     the similarity are mostly kept apart: a variant holds the band of fourfold
     sizes, and a text near a band's upper end stands in the next one too."""
     size = F.greatest("n", F.lit(1)).cast("double")
@@ -186,10 +191,10 @@ def wide_variants(nodes: DataFrame, similarity: float) -> DataFrame:
     per_lane = 64 // SEGMENT
     own = own.select("node", "w", "band", F.explode(F.sequence(F.lit(0), F.lit(LANES * per_lane - 1))).alias("s"))
     bits = F.expr(f"shiftrightunsigned(w[s div {per_lane}], cast(s % {per_lane} * {SEGMENT} as int))").bitwiseAND(F.lit((1 << SEGMENT) - 1))
-    own = own.select("node", "band", "s", bits.alias("bits"), F.explode(F.sequence(F.lit(0), F.lit(SEGMENT - 1))).alias("bit"))
+    own = own.select("node", *other_lanes(), "band", "s", bits.alias("bits"), F.explode(F.sequence(F.lit(0), F.lit(SEGMENT - 1))).alias("bit"))
     wiped = F.col("bits").bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, bit)")))
     place = (F.col("band") * (LANES * per_lane) + F.col("s")) * SEGMENT + F.col("bit")
-    return own.select((place * F.lit(1 << SEGMENT) + wiped).alias("variant"), "node")
+    return own.select((place * F.lit(1 << SEGMENT) + wiped).alias("variant"), "node", *(f"w{k}" for k in range(1, LANES)))
 
 
 #: Nodes of a variant that all meet; of larger variants, each node meets the
@@ -199,65 +204,82 @@ ALL_MEET, CENTRES = 9, 3
 
 
 class _Sharing:
-    """Goes through a task's rows, which are sorted by variant."""
-
-    def __init__(self, most_bits: int):
-        self.most_bits = most_bits
-        self.key, self.centre = None, None  # of the last variant, and its first node if it's known to be large
-        self.held = np.zeros(0, np.int64)  # the last variant's nodes while it's small: it may go on
-
-    def rows(self, key: np.ndarray, node: np.ndarray, end: bool = False) -> pa.RecordBatch:
+    """Goes through a task's rows, which are sorted by variant. Nodes are near if
+    they differ by most_bits or fewer; and where most_wide is given, their other
+    lanes are too and all lanes differ by that many or fewer. (The first lane
+    alone says little of two nodes that share a segment of it.)"""
+
+    def __init__(self, most_bits: int, most_wide: int | None = None):
+        self.most_bits, self.most_wide = most_bits, most_wide
+        self.key, self.centre = None, None  # of the last variant, and its first node and that one's lanes if it's known to be large
+        self.held, self.held_lanes = np.zeros(0, np.int64), None  # the last variant's nodes while it's small: it may go on
+
+    def near(self, a: np.ndarray, b: np.ndarray, lanes_a: Callable, lanes_b: Callable) -> np.ndarray:
+        differ = np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64)
+        found = differ <= self.most_bits
+        if self.most_wide is not None:
+            at = np.flatnonzero(found)
+            found[at] = differ[at] + np.bitwise_count((lanes_a(at) ^ lanes_b(at)).view(np.uint64)).sum(axis=1, dtype=np.int64) <= self.most_wide
+        return found
+
+    def rows(self, key: np.ndarray, node: np.ndarray, lanes: np.ndarray | None = None, end: bool = False) -> pa.RecordBatch:
         """Of variants with more than one node: variant, node, whom it meets, large,
-        near (there's another node near it in the variant, or it's large)."""
+        near (there's another node near it in the variant, or it's large). Where
+        lanes are compared, rows without a near one don't go on."""
+        lanes = np.zeros((len(key), 0 if self.most_wide is None else LANES - 1), np.int64) if lanes is None else lanes
+        lanes = lanes if self.held_lanes is None else np.concatenate((self.held_lanes, lanes))
         key, node = np.concatenate((np.full(len(self.held), self.key or 0, np.int64), key)), np.concatenate((self.held, node))
         begins = np.flatnonzero(np.diff(key, prepend=key[:1] ^ 1))
         size = np.diff(np.append(begins, len(key)))
-        group, first, large = np.repeat(np.arange(len(begins)), size), node[begins], size > ALL_MEET
+        group, first, first_lanes, large = np.repeat(np.arange(len(begins)), size), node[begins], lanes[begins], size > ALL_MEET
         if self.centre is not None and len(key) and key[0] == self.key:
-            first[0], large[0] = self.centre, True
+            (first[0], first_lanes[0]), large[0] = self.centre, True
         told = len(key)
         if len(key):
             told = len(key) if end or large[-1] else int(begins[-1])
-            self.key, self.centre = int(key[-1]), int(first[-1]) if large[-1] else None
-        self.held = node[told:]
+            self.key, self.centre = int(key[-1]), (int(first[-1]), first_lanes[-1]) if large[-1] else None
+        self.held, self.held_lanes = node[told:], lanes[told:]
         rank = np.arange(len(key)) - begins[group]
         hot = large[group]
         is_told = np.arange(len(key)) < told
-        at = [np.flatnonzero(hot & is_told & (node != first[group]))]
-        other, partner = [first[group[at[0]]]], [at[0]]
+        i = np.flatnonzero(hot & is_told & (node != first[group]))
+        i = i[self.near(node[i], first[group[i]], lambda x, i=i: lanes[i[x]], lambda x, i=i: first_lanes[group[i[x]]])]
+        at, other, meets = [i], [first[group[i]]], hot.copy()
         for k in range(1, ALL_MEET):
-            at.append(np.flatnonzero(~hot & is_told & (rank >= k)))
-            other.append(node[at[-1] - k])
-            partner.append(at[-1] - k)
-        at, other, partner = np.concatenate(at), np.concatenate(other), np.concatenate(partner)
-        near = np.bitwise_count((node[at] ^ other).view(np.uint64)) <= self.most_bits
-        at, other = at[near], other[near]
-        meets = hot.copy()
-        meets[at], meets[partner[near]] = True, True
+            i = np.flatnonzero(~hot & is_told & (rank >= k))
+            i = i[self.near(node[i], node[i - k], lambda x, i=i: lanes[i[x]], lambda x, i=i, k=k: lanes[i[x] - k])]
+            at.append(i)
+            other.append(node[i - k])
+            meets[i], meets[i - k] = True, True
+        at, other = np.concatenate(at), np.concatenate(other)
         by = np.argsort(at, kind="stable")
-        kept = np.flatnonzero(is_told & (hot | (size[group] > 1)))
+        kept = np.flatnonzero(is_told & (hot | (size[group] > 1)) & (meets | (self.most_wide is None)))
         ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(key))[kept])))
         return pa.record_batch([pa.array(key[kept]), pa.array(node[kept]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(other[by])), pa.array(hot[kept]), pa.array(meets[kept])], names=["variant", "node", "others", "large", "near"])
 
 
-def shared(variants: DataFrame, most_bits: int, turn: int = 0) -> DataFrame:
+def shared(variants: DataFrame, most_bits: int, turn: int = 0, most_wide: int | None = None) -> DataFrame:
     """node, and of its variants that it shares with others: variants (the large
     ones, and those with a node near it), large (those of more than ALL_MEET
     nodes), few (the nodes that it meets in small ones), centres (CENTRES of the
     first nodes of its large ones, at most).
 
-    First lanes of nodes that meet differ by most_bits or fewer. Nodes have an
-    order of the turn's own, the same in all variants, so that the large variants
-    of one group of copies have few different first nodes. Rows are dealt by
-    range, so that a variant with many nodes is worked on by many tasks."""
+    First lanes of nodes that meet differ by most_bits or fewer, and all lanes by
+    most_wide or fewer, if that's given; variants then have the other lanes too.
+    Nodes have an order of the turn's own, the same in all variants, so that the
+    large variants of one group of copies have few different first nodes. Rows
+    are dealt by range, so that a variant with many nodes is worked on by many
+    tasks."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Sharing(most_bits)
+        own = _Sharing(most_bits, most_wide)
         for batch in batches:
-            yield own.rows(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            key, node, *lanes = (c.to_numpy() for c in batch.columns)
+            yield own.rows(key, node, np.stack(lanes, axis=1) if lanes else None)
         yield own.rows(np.zeros(0, np.int64), np.zeros(0, np.int64), end=True)
 
-    dealt = variants.select("variant", "node").repartitionByRange("variant", "node").sortWithinPartitions("variant", F.xxhash64("node", F.lit(turn)), "node")
+    lanes = [] if most_wide is None else [f"w{k}" for k in range(1, LANES)]
+    dealt = variants.select("variant", "node", *lanes).repartitionByRange("variant", "node").sortWithinPartitions("variant", F.xxhash64("node", F.lit(turn)), "node")
     rows = dealt.mapInArrow(told, "variant bigint, node bigint, others array<bigint>, large boolean, near boolean")
     centre = F.when(F.col("large"), F.get("others", F.lit(0)))
     least = [F.min(F.when(centre.isNotNull(), F.struct(F.xxhash64(centre, F.lit(turn), *[F.lit(k)] * (k > 0)), centre.alias("c"))))["c"] for k in range(CENTRES)]
@@ -314,11 +336,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, s
     return written(similar_only(near, texts, words, similarity).select("a", "b"), "simhash-links")
 
 
-def in_groups(own: DataFrame, found: DataFrame | None) -> DataFrame:
-    """The rows of own with the group that the links found put their node in."""
+def in_groups(own: DataFrame, found: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of own with the group that the links found put their node in;
+    and each node's link to its group, which connect the same and are soon read
+    through when more are found."""
     if found is None:
-        return own.withColumn("group", F.col("node"))
-    return own.join(connected_components(found), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
+        return own.withColumn("group", F.col("node")), None
+    roots = connected_components(found)
+    stars = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return own.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root"), stars
 
 
 def unlinked(grouped: DataFrame, most_bits: int, similarity: float) -> DataFrame:
@@ -348,7 +374,7 @@ def unlinked(grouped: DataFrame, most_bits: int, similarity: float) -> DataFrame
 
 def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """nodes: node (the first lane), w, n, p, tie. texts: tie, body. Pairs a, b of
-    nodes that are similar, enough of them to connect all that meet and are.
+    nodes that connect all that meet and are similar.
 
     At first only nodes of large variants meet, each a few first ones. What is
     linked then is one group, and each group stands in a variant with one node:
@@ -357,7 +383,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: fl
     large ones meet first ones anew. That spares comparisons, but one node isn't
     its group: so at last all nodes that share a variant and aren't in one group
     yet are compared, with no limit."""
-    most_bits = bits_for(similarity, 64, 4)
+    most_bits, most_wide = bits_for(similarity, 64, 4), bits_for(similarity, 64 * LANES, 4)
 
     def linked(near: DataFrame, found: DataFrame | None) -> DataFrame | None:
         pairs = written(near, "simhash-pairs")
@@ -367,13 +393,14 @@ def similar_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: fl
         return fresh if found is None else found.union(fresh)
 
     ordered = lambda rows: rows.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    whole = written(shared(wide_variants(nodes, similarity), most_bits), "simhash-met")
+    whole = written(shared(wide_variants(nodes, similarity), most_bits, 0, most_wide), "simhash-met")
     whole, found = whole.filter(F.size("variants") > 0), linked(ordered(whole.select("node", F.explode("centres").alias("other"))), None)
-    each = in_groups(whole, found).select("node", "group", F.explode("variants").alias("variant")).groupBy("variant", "group")
+    grouped, found = in_groups(whole, found)
+    each = grouped.select("node", "group", F.explode("variants").alias("variant")).groupBy("variant", "group")
     level = written(each.agg(F.min_by("node", F.xxhash64("node", F.lit(1))).alias("node")).select("variant", "node"), "simhash-level")
-    own = shared(level, most_bits, 1)
+    own = shared(level.join(nodes.select("node", *other_lanes()), "node"), most_bits, 1, most_wide)
     found = linked(ordered(own.select("node", F.explode(F.array_union("centres", "few")).alias("other"))), found)
-    rest = in_groups(whole.select("node", "variants").join(nodes.select("node", "w", "n", "p"), "node"), found)
+    rest, found = in_groups(whole.select("node", "variants").join(nodes.select("node", "w", "n", "p"), "node"), found)
     found = linked(unlinked(rest, most_bits, similarity), found)
     return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if found is None else found
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.components import connected_components
 from tallymark.llm.queries import op7_simhash_dedup
-from tallymark.llm.simhash_dedup import ALL_MEET, _Sharing, fingerprint, fingerprints, keep_similar, links, near_duplicates, parities, shared, shingle_hashes, similar_links
+from tallymark.llm.simhash_dedup import ALL_MEET, LANES, _Sharing, bits_for, fingerprint, fingerprints, keep_similar, links, near_duplicates, parities, shared, shingle_hashes, similar_links, wide_variants
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -240,3 +240,44 @@ def test_parities_never_part_similar_sets():
             a, b = x[: n + alone // 2], np.concatenate((x[:n], x[n + alone // 2 :]))
             differ = sum((p ^ q).bit_count() if p ^ q >= 0 else ((p ^ q) + 2**64).bit_count() for p, q in zip(parities(a), parities(b), strict=True))
             assert differ <= alone and (alone != 1 or differ == 1)
+
+
+def test_nodes_that_only_share_a_segment_dont_go_on(spark):
+    """First lanes that are near by chance, in small variants and in large ones: only nodes near in all lanes meet."""
+    rng = random.Random(8)
+    long = lambda: rng.getrandbits(64) - 2**63
+    base, nodes = [long() for _ in range(5)], []
+    for i in range(5):  # their first lanes differ by 2 bits of the last segment
+        w = [base[0] ^ 1 << 40 + i, *(long() for _ in range(LANES - 1))]
+        nodes.append((w[0], w, 100))
+    alike = [long() for _ in range(LANES)]
+    nodes += [(w[0], w, 100) for w in (alike, [x ^ 8 for x in alike])]
+    variants = wide_variants(spark.createDataFrame(nodes, "node bigint, w array<bigint>, n bigint"), 0.8)
+    found = {r.node: r for r in shared(variants, bits_for(0.8, 64, 4), 0, bits_for(0.8, 64 * LANES, 4)).collect()}
+    assert set(found) == {alike[0], alike[0] ^ 8} and all(r.variants and not r.large for r in found.values())
+    assert sorted(len(r.few) for r in found.values()) == [0, 1]
+
+
+def test_lanes_are_compared_over_batches():
+    rng = np.random.default_rng(4)
+    none = np.zeros(0, np.int64)
+    for most in (2, 9, 30):
+        for _ in range(30):
+            sizes = rng.integers(1, most + 1, rng.integers(1, 12))
+            key = np.repeat(np.arange(len(sizes)), sizes).astype(np.int64)
+            node, kind = rng.permutation(256)[: len(key)] if len(key) <= 256 else rng.integers(0, 256, len(key)), rng.integers(0, 2, len(key))
+            node, lanes, own, rows, at = node.astype(np.int64), np.repeat(-kind[:, None], LANES - 1, axis=1).astype(np.int64), _Sharing(64, 64), [], 0
+            while at < len(key):
+                n = int(rng.integers(1, 20))
+                rows += own.rows(key[at : at + n], node[at : at + n], lanes[at : at + n]).to_pylist()
+                at += n
+            rows += own.rows(none, none, end=True).to_pylist()
+            want = []
+            for g in range(len(sizes)):
+                its, kinds = node[key == g].tolist(), kind[key == g].tolist()
+                large = len(its) > ALL_MEET
+                for i, x in enumerate(its):
+                    others = {y for j, y in enumerate(its) if (j == 0 < i and y != x if large else j < i) and kinds[j] == kinds[i]}
+                    if large or kinds.count(kinds[i]) > 1:
+                        want.append((g, x, others, large, True))
+            assert [(r["variant"], r["node"], set(r["others"]), r["large"], r["near"]) for r in rows] == want
