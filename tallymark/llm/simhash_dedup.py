@@ -353,17 +353,24 @@ def unlinked(grouped: DataFrame, most_bits: int, similarity: float) -> DataFrame
     most_bits or fewer, but for those that can't be similar.
 
     Of each variant, the nodes outside its largest group are joined with all of
-    its nodes, so a large group isn't joined with itself."""
+    its nodes, so a large group isn't joined with itself. Segments that are equal
+    share all of their variants, so the first bit's is enough for them: in the
+    others a node only stays if a node of another group there differs in that bit."""
     per_lane = 64 // SEGMENT
     rows = grouped.select("node", "group", "w", "n", "p", F.explode("variants").alias("variant"))
     bit, s = F.expr(f"shiftright(variant, {SEGMENT}) % {SEGMENT}"), f"shiftright(variant, {SEGMENT}) div {SEGMENT} % {LANES * per_lane}"
     wiped = F.expr(f"shiftrightunsigned(w[cast({s} div {per_lane} as int)], cast({s} % {per_lane} * {SEGMENT} + shiftright(variant, {SEGMENT}) % {SEGMENT} as int)) & 1")
     rows = written(rows.select("variant", "node", "group", "n", "p", (bit == 0).alias("first_bit"), wiped.alias("wiped")), "simhash-shared")
-    each = rows.groupBy("variant", "group").agg(F.count(F.lit(1)).alias("size"))
-    mixed = each.groupBy("variant").agg(F.max(F.struct("size", "group"))["group"].alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-    left = written(rows.join(mixed.select("variant", "main"), "variant"), "simhash-unlinked")
+    ones = F.count_if(F.col("wiped") == 1)
+    each = rows.groupBy("variant", "group").agg(F.count(F.lit(1)).alias("size"), ones.alias("ones"))
+    # of each bit's nodes, the least and the largest group
+    ends = [f(F.when(has, F.col("group"))).alias(f"{name}{x}") for x, has in ((0, F.expr("size > ones")), (1, F.expr("ones > 0"))) for name, f in (("least", F.min), ("largest", F.max))]
+    mixed = each.groupBy("variant").agg(F.max(F.struct("size", "group"))["group"].alias("main"), F.count(F.lit(1)).alias("groups"), *ends).filter("groups > 1")
+    other = lambda x: F.coalesce((F.col(f"least{x}") != F.col("group")) | (F.col(f"largest{x}") != F.col("group")), F.lit(False))
+    needed = F.col("first_bit") | F.when(F.col("wiped") == 1, other(0)).otherwise(other(1))
+    left = rows.alias("r").join(mixed.alias("m"), (F.col("r.variant") == F.col("m.variant")) & needed)
+    left = written(left.select("r.*", "main"), "simhash-unlinked")
     a, b = left.filter("group != main").alias("a"), left.alias("b")
-    # segments that are equal share all of their variants: one of them is enough
     once = (F.col("a.wiped") != F.col("b.wiped")) | F.col("a.first_bit")
     apart = (F.col("a.group") < F.col("b.group")) | ((F.col("b.group") == F.col("b.main")) & (F.col("a.group") != F.col("b.group")))
     near = F.bit_count(F.col("a.node").bitwiseXOR(F.col("b.node"))) <= most_bits
