@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.components import connected_components
 from tallymark.llm.queries import op7_simhash_dedup
-from tallymark.llm.simhash_dedup import ALL_MEET, LANES, _Sharing, bits_for, fingerprint, fingerprints, keep_similar, links, near_duplicates, parities, shared, shingle_hashes, similar_links, wide_variants
+from tallymark.llm.simhash_dedup import ALL_MEET, LANES, _Sharing, bits_for, fingerprint, fingerprints, keep_similar, links, near_duplicates, parities, shared, shingle_hashes, similar_links, unlinked, wide_variants
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -281,3 +281,19 @@ def test_lanes_are_compared_over_batches():
                     if large or kinds.count(kinds[i]) > 1:
                         want.append((g, x, others, large, True))
             assert [(r["variant"], r["node"], set(r["others"]), r["large"], r["near"]) for r in rows] == want
+
+
+def test_the_last_pass_loses_no_pair(spark):
+    """Nodes of a few groups with segments that are equal or differ by a bit, against all pairs."""
+    rng = random.Random(12)
+    segments, rows = [rng.getrandbits(20) for _ in range(3)], {}
+    for _ in range(60):
+        own = [s ^ rng.choice((0, 0, 1 << rng.randrange(20), 1 << rng.randrange(20) | 1 << rng.randrange(20))) for s in segments]
+        lane = sum(s << 20 * k for k, s in enumerate(own))
+        rows[lane] = (lane, rng.choice((1, 1, 1, 2, 3)), [lane, *(rng.getrandbits(64) - 2**63 for _ in range(LANES - 1))], 100, [0] * 4)
+    df = spark.createDataFrame(list(rows.values()), 'node bigint, "group" bigint, w array<bigint>, n bigint, p array<bigint>'.replace('"', "`"))
+    own = df.join(wide_variants(df, 0.8).groupBy("node").agg(F.collect_list("variant").alias("variants")), "node")
+    found = [tuple(r) for r in unlinked(own, 3, 0.8).collect()]
+    cut = lambda x: [x >> 20 * k & (1 << 20) - 1 for k in range(3)]
+    want = {(a, b) for a in rows for b in rows if a < b and rows[a][1] != rows[b][1] and (a ^ b).bit_count() <= 3 and any((x ^ y).bit_count() <= 1 for x, y in zip(cut(a), cut(b), strict=True))}
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 50
